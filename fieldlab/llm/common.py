@@ -94,3 +94,34 @@ def with_text_columns(
 
     bounded_batches(docs.sparkSession)
     return docs.select(*needed).mapInArrow(run, schema)
+
+
+def filter_by_text(docs: DataFrame, accept: Callable[[list[str]], object], text: str = "text") -> DataFrame:
+    """The rows of docs whose text accept(texts) is true for, with all their columns; no shuffle, repeated rows stay."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = ["" if t is None else t for t in batch.column(at).to_pylist()]
+            for a, b in steps(texts):
+                yield batch.slice(a, b - a).filter(pa.array(accept(texts[a:b]), pa.bool_()))
+
+    bounded_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
+def with_position(df: DataFrame, order: Sequence, name: str) -> DataFrame:
+    """df with its rows' positions from 0 in the given order, without bringing all rows into one task: rows are dealt
+    out by ranges, staged, and numbered within a range; the driver sees one count for each range."""
+    from pyspark.sql import Window
+
+    spark = df.sparkSession
+    dealt = stage(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = sorted((r["__range"], r["n"]) for r in dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect())
+    starts, total = [], 0
+    for part, n in counts:
+        starts.append((part, total))
+        total += n
+    offsets = F.broadcast(spark.createDataFrame(starts, "__range int, __start long"))  # a row for each range
+    number = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
+    return dealt.join(offsets, "__range").withColumn(name, F.col("__start") + number).drop("__range", "__start")

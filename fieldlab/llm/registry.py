@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from fieldlab.llm import byte_bpe, media, plane_store, token_counts
+from fieldlab.llm import byte_bpe, canonical, language, media, mixing, plane_store, quality, token_counts
 
 QUERIES = {
     "op1_plane_store": plane_store.op1_plane_store,
     "op3_media": media.op3_media,
+    "op4_mixing": mixing.op4_mixing,
+    "op5_canonical": canonical.op5_canonical,
     "op6_token_counts": token_counts.op6_token_counts,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
+    "op8_language": language.op8_language,
+    "op9_quality": quality.op9_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.OP4_SQL}
