@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldlab.llm import byte_bpe, canonical, language, media, mixing, plane_store, quality, token_counts
+from fieldlab.llm import byte_bpe, canonical, language, media, mixing, near_dups, plane_store, quality, token_counts
 
 QUERIES = {
     "op1_plane_store": plane_store.op1_plane_store,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_language": language.op8_language,
     "op9_quality": quality.op9_quality,
+    "op10_near_dups": near_dups.op10_near_dups,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.OP4_SQL}
