@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from fieldlab.llm import byte_bpe, canonical, language, media, mixing, near_dups, plane_store, quality, token_counts
+from fieldlab.llm import byte_bpe, canonical, language, licenses, media, mixing, near_dups, plane_store, quality, token_counts
 
 QUERIES = {
     "op1_plane_store": plane_store.op1_plane_store,
+    "op2_licenses": licenses.op2_licenses,
     "op3_media": media.op3_media,
     "op4_mixing": mixing.op4_mixing,
     "op5_canonical": canonical.op5_canonical,
