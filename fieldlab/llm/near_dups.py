@@ -410,7 +410,7 @@ def _blocks(big: DataFrame, sizes: DataFrame, n: int) -> DataFrame:
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(k, F.col("mine")) * F.col("blocks") + F.greatest(k, F.col("mine"))
     )
     held = big.join(_few(sizes, n), "root").withColumns({"blocks": blocks, "mine": mine})
-    return held.select(F.col("root").alias("unit"), F.explode(pairs).cast("int").alias("part"), "node", "text")
+    return held.select(F.col("root").alias("unit"), F.explode(pairs).alias("part"), "node", "text")
 
 
 def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
