@@ -41,7 +41,7 @@ from fieldlab.llm.common import bounded_batches, stage, steps, table
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 END_ID = 1
 CHUNK_IDS, SEGMENT_IDS, LEVEL = 65_536, 1_048_576, 3
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_500_000
 BYTES, BITS = 0, 1
 _HEAD = struct.Struct("<4sBIIQ")
 #: Characters that aren't plain: separators that only Python splits at, and all from dotted I and the letters beyond
@@ -209,7 +209,7 @@ class WordEncoder:
                 whole.append(k)
                 own = []
             else:
-                own = text.lower().split()
+                own = _STOPS.sub(r" \1", text.lower()).split()
             words += own
             words.append(None)
             each[k] = len(own) + 1
@@ -232,6 +232,9 @@ class WordEncoder:
         return flat, lengths
 
 
+#: A stop between a letter and white space is a pre-token of its own.
+_STOPS = re.compile(r"(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])([.,])(?=\s)")
+
 #: Signs of which a tail may consist; no apostrophe, which may belong to letters.
 _SIGNS = ".,;:!?|%&*$#()[]{}+=-_/@\"\\<>~^`"
 
