@@ -22,11 +22,15 @@ from fieldlab.llm.common import stage, table
 #: the driver holds of them.
 BUCKETS_A_PARTITION, MAX_BUCKETS, SMALL_ROWS = 4, 4096, 100_000
 _HANGUL, _HANGUL_END = 0xAC00, 0xD7A3
+#: A mark that case folding makes a letter: only after marks are in order.
+_IOTA_MARK, _IOTA = "\u0345", "\u03b9"
 
 
 def _fold(c: str) -> str:
-    folded = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", c).casefold())
-    return unicodedata.normalize("NFKD", folded.casefold())
+    for _ in range(2):
+        parts = unicodedata.normalize("NFKD", c)
+        c = unicodedata.normalize("NFKD", "".join(x if x == _IOTA_MARK else x.casefold() for x in parts))
+    return c
 
 
 @lru_cache(maxsize=1)
@@ -83,7 +87,7 @@ def _decomposed(text: Column) -> Column:
             .otherwise(F.coalesce(_page(pages, point), part))
         )
 
-    return F.array_join(F.transform(F.split(text, "(?<=[^\\x00-\\x7f])|(?=[^\\x00-\\x7f])"), one), "")
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("[\\x00-\\x7f]+|[^\\x00-\\x7f]"), F.lit(0)), one), "")
 
 
 def _ordered(text: Column) -> Column:
@@ -95,16 +99,16 @@ def _ordered(text: Column) -> Column:
         keyed = F.transform(
             F.split(cluster, ""), lambda c, k: F.struct(F.coalesce(_page(pages, F.ascii(c)), F.lit(0)).alias("class"), k.alias("at"), c.alias("c"))
         )
-        return F.when(F.length(cluster) < 3, cluster).otherwise(F.array_join(F.transform(F.array_sort(keyed), lambda x: x["c"]), ""))
+        return F.when(F.length(cluster) < 2, cluster).otherwise(F.array_join(F.transform(F.array_sort(keyed), lambda x: x["c"]), ""))
 
-    parts = F.split(text, f"(?=[^{body}])")
+    parts = F.regexp_extract_all(text, F.lit(f"[^{body}][{body}]*|[{body}]+"), F.lit(0))
     return F.when(text.rlike(f"[{body}]{{2}}"), F.array_join(F.transform(parts, sort), "")).otherwise(text)
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a non-null text. Plain ASCII takes only the last two steps."""
     low = F.lower(text)
-    folded = F.when(low.rlike("[^\\x00-\\x7f]"), _ordered(_decomposed(low))).otherwise(low)
+    folded = F.when(low.rlike("[^\\x00-\\x7f]"), F.translate(_ordered(_decomposed(low)), _IOTA_MARK, _IOTA)).otherwise(low)
     return F.trim(F.regexp_replace(folded, "[\\s\\x{85}\\p{Z}]+", " "))
 
 
