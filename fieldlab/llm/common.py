@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -13,35 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructField, StructType
 
-#: Rows and text bytes that one Python step holds at a time; a single longer text makes a step of its own.
-BATCH_ROWS, STEP_CHARS = 1000, 4_000_000
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the input folder, read by Spark so that any store works."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from fieldlab.sources.shared import shared_dir, stage, with_position
+from fieldlab.sources.tables import table
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of this machine only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        named = os.path.join(tempfile.gettempdir(), "checkpoints", uuid.uuid4().hex)
-        spark.sparkContext.setCheckpointDir(named)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return named
+__all__ = ["bounded_batches", "filter_by_text", "shared_dir", "stage", "steps", "table", "with_position", "with_text_columns"]
 
-
-def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """df written once as Parquet in the shared folder and read back: later readers neither recompute it nor depend on
-    an executor's disk. The folder is the caller's to clear after the job."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/fieldlab-{uuid.uuid4().hex}/{name}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows and text bytes that one Python step holds at a time; a single longer text makes a step of its own.
+BATCH_ROWS, STEP_CHARS = 1000, 4_000_000
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -108,20 +83,3 @@ def filter_by_text(docs: DataFrame, accept: Callable[[list[str]], object], text:
 
     bounded_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
-
-
-def with_position(df: DataFrame, order: Sequence, name: str) -> DataFrame:
-    """df with its rows' positions from 0 in the given order, without bringing all rows into one task: rows are dealt
-    out by ranges, staged, and numbered within a range; the driver sees one count for each range."""
-    from pyspark.sql import Window
-
-    spark = df.sparkSession
-    dealt = stage(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
-    counts = sorted((r["__range"], r["n"]) for r in dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect())
-    starts, total = [], 0
-    for part, n in counts:
-        starts.append((part, total))
-        total += n
-    offsets = F.broadcast(spark.createDataFrame(starts, "__range int, __start long"))  # a row for each range
-    number = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
-    return dealt.join(offsets, "__range").withColumn(name, F.col("__start") + number).drop("__range", "__start")
