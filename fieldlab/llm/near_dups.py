@@ -169,26 +169,44 @@ def _alike(some: np.ndarray, others: np.ndarray) -> np.ndarray:
     return out
 
 
+def _spanning(links: list[tuple[int, int]], root: list[int]) -> list[tuple[int, int]]:
+    """The links that join two parts which no earlier link had joined; root is updated."""
+    out = []
+    for pair in links:
+        tops = []
+        for k in pair:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            tops.append(k)
+        if tops[0] != tops[1]:
+            root[max(tops)] = min(tops)
+            out.append(pair)
+    return out
+
+
 def leader_links(rows: np.ndarray, edge: float = EDGE) -> tuple[list[tuple[int, int]], list[int]]:
-    """(leader, row) at an estimate of edge or more, and the leaders, of the signatures of a bucket."""
+    """Links (leader, row) that connect the rows of a bucket just as all links at an estimate of edge or more would,
+    fewer than there are rows; and the leaders."""
     if len(rows) == 2:
         near = float((rows[0] == rows[1]).mean())
         return ([(0, 1)] if near >= edge else []), ([0] if near >= LEADER else [0, 1])
     leaders: list[int] = []
     links: list[tuple[int, int]] = []
+    root = list(range(len(rows)))
     for a in range(0, len(rows), 256):
         block = rows[a : a + 256]
         led = np.zeros(len(block), bool)
         if leaders:
             near = _alike(block, rows[leaders])
             led = (near >= LEADER).any(axis=1)
-            links += [(leaders[j], a + i) for i, j in np.argwhere(near >= edge).tolist()]
+            links += _spanning([(leaders[j], a + i) for i, j in np.argwhere(near >= edge).tolist()], root)
         while not led.all():
             new = int(np.flatnonzero(~led)[0])
             near = (block == block[new]).mean(axis=1)
             led |= near >= LEADER
             led[new] = True
-            links += [(a + new, a + i) for i in np.flatnonzero(near >= edge).tolist() if i != new]
+            links += _spanning([(a + new, a + i) for i in np.flatnonzero(near >= edge).tolist() if i != new], root)
             leaders.append(a + new)
     return links, leaders
 
