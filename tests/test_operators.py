@@ -1,0 +1,74 @@
+"""Operators on small tables: merges, sources, history frames, streams."""
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from fieldlab.operators.history import History, exponential_mean, with_history
+from fieldlab.operators.merge import classify, deactivate_absent, upsert
+from fieldlab.sources import exports
+from fieldlab.sources.shared import with_position
+from fieldlab.streaming import feeds
+
+
+def test_merge_classes_and_idempotence(spark):
+    old = spark.createDataFrame([(1, "a", None), (2, "b", 1.0), (3, "c", 2.0)], "id int, name string, x double")
+    new = spark.createDataFrame([(1, "a", None), (2, "z", 1.0), (4, "d", 3.0)], "id int, name string, x double")
+    got = {r.id: (r.action, r.changed) for r in classify(old, new, ["id"]).collect()}
+    assert got == {1: ("unchanged", []), 2: ("updated", ["name"]), 3: ("absent", []), 4: ("created", [])}
+    once = upsert(old, new, ["id"])
+    assert sorted(map(tuple, upsert(once, new, ["id"]).collect()), key=str) == sorted(map(tuple, once.collect()), key=str)
+    assert {r.id: r.is_active for r in deactivate_absent(old, new, ["id"]).collect()} == {1: True, 2: True, 3: False}
+
+
+def test_ties_do_not_leak(spark):
+    rows = [(1, 1, 1, 5), (1, 2, 2, 7), (1, 2, 3, 9), (1, 3, 4, 1)]
+    log = spark.createDataFrame(rows, "e int, t int, k int, x int")
+    h = History("e", "t", "k")
+    got = {r.k: (r.s, r.m) for r in with_history(log, {"s": h.last(2, F.sum("x")), "m": h.last(None, F.max("x"))}, h).collect()}
+    assert got == {1: (None, None), 2: (5, 5), 3: (5, 5), 4: (16, 9)}
+
+
+def test_exponential_mean(spark):
+    xs, a = [3.0, 1.0, 4.0], 1 - 0.5 ** (1 / 3)
+    want = xs[0]
+    for x in xs[1:]:
+        want = want * (1 - a) + x * a
+    row = spark.createDataFrame([(xs,), ([],)], "x array<double>").select(exponential_mean(F.col("x"), 3).alias("m")).collect()
+    assert row[0].m == pytest.approx(want, abs=1e-12) and row[1].m is None
+
+
+def test_positions_are_dense(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")).repartition(5)
+    got = with_position(df, ["v"], "p").collect()
+    assert len(got) == 1000 and all(r.p == r.v for r in got)
+
+
+def test_csv_scan_and_types(spark, tmp_path):
+    (tmp_path / "exit_velocity.csv").write_text('﻿Name,Hard Hit %,PA,\nAda,45%,"1,200",x\nBo,n/a,--,y\n', encoding="utf-8")
+    rows = exports.scan_csv(spark, [str(tmp_path)])
+    assert rows.columns == ["Name", "Hard Hit %", "PA", "source_file"]
+    got = exports.typed_load(rows, {"name": (["player", "name"], "text"), "rate": (["hard_hit_%"], "rate"), "pa": (["pa"], "int")}).orderBy("name").collect()
+    assert [(r.name, r.rate, r.pa) for r in got] == [("Ada", 0.45, 1200), ("Bo", None, None)]
+    best = exports.classify_files(rows, {"exit": (["exit_velocity"], ["pa"]), "tempo": (["tempo"], [])}).first()
+    assert (best.category, best.score, best.rows_seen, best.confidence) == ("exit", 110, 2, "high")
+
+
+def test_upsert_stream(spark, tmp_path):
+    for k, rows in enumerate(([(1, "a"), (2, "b")], [(2, "c"), (3, "d")])):
+        spark.createDataFrame(rows, "id int, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema("id int, v string").parquet(str(tmp_path / "in"))
+        feeds.upsert_feed(stream, str(tmp_path / "out"), ["id"], str(tmp_path / "cp")).awaitTermination(60)
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out/v1")).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_conversation_stream(spark, tmp_path):
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    rows = [(1, 0, at(0), "x", False), (1, 1, at(1), None, False), (1, 2, at(30), None, False), (2, 0, at(0), "y", False), (2, 1, at(1), None, True)]
+    spark.createDataFrame(rows, "conv_id long, turn long, ts timestamp, entity string, reset boolean").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("conv_id long, turn long, ts timestamp, entity string, reset boolean").parquet(str(tmp_path / "in"))
+    out = feeds.carry_entities(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    out.awaitTermination(90)
+    got = sorted((r.conv_id, r.turn, r.entity) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [(1, 0, "x"), (1, 1, "x"), (1, 2, None), (2, 0, "y"), (2, 1, None)]
