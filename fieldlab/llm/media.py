@@ -174,7 +174,7 @@ def media_features(media: DataFrame, column: str = "media", side: int = TILE) ->
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *new], names=[*kept, *_FEATURES])
 
     schema = media.select(*kept).schema
-    for name, kind in zip(_FEATURES, ("int", "int", "binary", "string")):
+    for name, kind in zip(_FEATURES, ("integer", "integer", "binary", "string")):
         schema = schema.add(name, kind)
     return media.select(*kept, column).mapInArrow(run, schema)
 
