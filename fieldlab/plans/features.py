@@ -47,7 +47,7 @@ def rolling_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Least-squares slope of plate appearances over the last 10 earlier games."""
     log = game_log(spark, sf_dir).withColumn("at", F.row_number().over(GAME.order))
     found = with_history(log, {"trend": GAME.last(10, F.regr_slope("plate_appearances", "at"))})
-    return found.select("player_id", "game_id", F.round(F.coalesce("trend", F.lit(0.0)), 6).alias("trend"))
+    return found.select("player_id", "game_id", (F.round(F.coalesce("trend", F.lit(0.0)), 6) + 0.0).alias("trend"))
 
 
 def ewm_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,15 +187,15 @@ ORACLE_SQL = {
         round(coalesce(avg(hits) @, 0), 6) AS hits_mean_{n}, round(coalesce(stddev_pop(hits) @, 0), 6) AS hits_std_{n},
         coalesce(sum(home_runs) @, 0)::DOUBLE AS home_runs_sum_{n}''') for n in LASTS)} FROM past GROUP BY 1, 2""",
     "rolling_rates": f"""{_PAST} SELECT player_id, game AS game_id, {', '.join(_upto(n, f"{ratio(f'(sum({RATES[r][0]}) @)', f'(sum({RATES[r][1]}) @)')} AS {r}_{n}") for n in (5, 10) for r in ('avg', 'obp', 'slg', 'k_rate', 'hr_rate'))} FROM past GROUP BY 1, 2""",
-    "rolling_trend": f"""{_PAST} SELECT player_id, game AS game_id, round(CASE WHEN count(back) FILTER (back <= 10 AND game_id IS NOT NULL) < 2 THEN 0 ELSE coalesce(regr_slope(plate_appearances, -back) FILTER (back <= 10), 0) END, 6) AS trend FROM past GROUP BY 1, 2""",
+    "rolling_trend": f"""{_PAST} SELECT player_id, game AS game_id, round(CASE WHEN count(back) FILTER (back <= 10 AND game_id IS NOT NULL) < 2 THEN 0 ELSE coalesce(regr_slope(plate_appearances, -back) FILTER (back <= 10), 0) END, 6) + 0 AS trend FROM past GROUP BY 1, 2""",
     "ewm_features": f"""{_PAST}, lists AS (SELECT player_id, game, list(hits::DOUBLE ORDER BY back DESC) FILTER (hits IS NOT NULL) AS xs FROM past GROUP BY 1, 2)
         SELECT player_id, game AS game_id, {', '.join(f"round(coalesce(CASE WHEN len(xs) > 0 THEN list_reduce(xs, lambda m, x: m * {0.5 ** (1 / h)!r} + x * {1 - 0.5 ** (1 / h)!r}) END, 0), 6) AS ewm_{h}" for h in (3, 7, 14))} FROM lists""",
     "history_expanding": f"""{_PAST}, sums AS (SELECT player_id, game, count(game_id) AS n, coalesce(sum(plate_appearances), 0)::BIGINT AS pa, stddev_pop(hits) AS sd FROM past GROUP BY 1, 2)
         SELECT player_id, game AS game_id, n AS prior_games, pa AS prior_pa, round(ln(1 + pa), 6) AS log_pa, pa >= 50 AS sufficient,
         round(1 - exp(-pa / 100.0::DOUBLE), 6) AS certainty, round(coalesce(sd, 0), 6) AS volatility FROM sums""",
     "calendar_features": """SELECT o_orderkey, year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, (isodow(o_orderdate) - 1)::INT AS weekday,
-        dayofyear(o_orderdate)::INT AS day_of_year, isodow(o_orderdate) >= 6 AS weekend, round(sin(2 * pi() * month(o_orderdate) / 12), 6) AS month_sin,
-        round(cos(2 * pi() * dayofyear(o_orderdate) / 366), 6) AS day_cos,
+        dayofyear(o_orderdate)::INT AS day_of_year, isodow(o_orderdate) >= 6 AS weekend, round(sin(2 * pi() * month(o_orderdate) / 12), 6) + 0 AS month_sin,
+        round(cos(2 * pi() * dayofyear(o_orderdate) / 366), 6) + 0 AS day_cos,
         round(least(greatest((dayofyear(o_orderdate) - 80) / 210.0::DOUBLE, 0), 1), 6) AS season_progress FROM orders""",
     "split_rates": f"""{_LOG} SELECT player_id, {', '.join(f"count(*) FILTER ({w}) AS games_{s}" for s, w in _SPLITS.items())},
         {', '.join(f"{ratio(f'(sum({a}) FILTER ({w}))', f'(sum({b}) FILTER ({w}))')} AS {n}_{s}" for s, w in _SPLITS.items() for n, a, b in (('avg', 'hits', 'at_bats'), ('hr', 'home_runs', 'plate_appearances'), ('k', 'strikeouts', 'plate_appearances')))}
