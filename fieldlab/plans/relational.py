@@ -102,7 +102,7 @@ def drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missing and new keys between two states, and an order-free checksum of each."""
     old = table(spark, sf_dir, "customer")
     new = _snapshot(old)
-    digest = lambda df, name: df.agg(F.sum(F.crc32(F.concat_ws("|", "c_custkey", "c_name", "c_mktsegment").cast("binary"))).alias(name), F.count(F.lit(1)).alias(f"{name}_rows"))
+    digest = lambda df, name: df.agg(F.sum(F.conv(F.substring(F.md5(F.concat_ws("|", "c_custkey", "c_name", "c_mktsegment")), 1, 8), 16, 10).cast("long")).alias(name), F.count(F.lit(1)).alias(f"{name}_rows"))
     missing = old.join(new, "c_custkey", "left_anti").agg(F.count(F.lit(1)).alias("missing"), F.min("c_custkey").alias("first_missing"))
     added = new.join(old, "c_custkey", "left_anti").agg(F.count(F.lit(1)).alias("added"), F.min("c_custkey").alias("first_added"))
     return missing.join(added).join(digest(old, "old_sum")).join(digest(new, "new_sum"))
@@ -210,6 +210,11 @@ ORACLE_SQL = {
     "reconcile": f"""WITH {_NEW}, j AS (SELECT o.c_custkey, o.c_acctbal AS ob, n.c_acctbal AS nb, o.c_mktsegment AS os, n.c_mktsegment AS ns FROM customer o JOIN new n USING (c_custkey))
         SELECT c_custkey, 'c_acctbal' AS field, round(ob, 2) AS before, round(nb, 2) AS after FROM j WHERE ob <> nb
         UNION ALL SELECT c_custkey, 'c_mktsegment', length(os)::DOUBLE, length(ns)::DOUBLE FROM j WHERE upper(os) <> upper(ns)""",
+    "drift": f"""WITH {_NEW}, d AS (SELECT 'old' AS side, c_custkey, c_name, c_mktsegment FROM customer UNION ALL SELECT 'new', c_custkey, c_name, c_mktsegment FROM new),
+        h AS (SELECT side, ('0x' || substr(md5(concat_ws('|', c_custkey, c_name, c_mktsegment)), 1, 8))::BIGINT AS x FROM d)
+        SELECT (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM new)) AS missing, (SELECT min(c_custkey) FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM new)) AS first_missing,
+        (SELECT count(*) FROM new WHERE c_custkey NOT IN (SELECT c_custkey FROM customer)) AS added, (SELECT min(c_custkey) FROM new WHERE c_custkey NOT IN (SELECT c_custkey FROM customer)) AS first_added,
+        (sum(x) FILTER (side = 'old'))::BIGINT AS old_sum, count(*) FILTER (side = 'old') AS old_sum_rows, (sum(x) FILTER (side = 'new'))::BIGINT AS new_sum, count(*) FILTER (side = 'new') AS new_sum_rows FROM h""",
     "freshness_report": f"""WITH t AS (SELECT 'events' AS name, max(ts) AS newest, count(*) AS n FROM events UNION ALL SELECT 'orders', max(o_orderdate), count(*) FROM orders UNION ALL SELECT 'lineitem', max(l_shipdate), count(*) FROM lineitem),
         h AS (SELECT *, greatest((epoch(TIMESTAMP '{AS_OF}') - floor(epoch(newest))) / 3600, 0) AS x FROM t)
         SELECT name, newest, n, round(x, 4) AS hours, CASE WHEN n = 0 THEN 'empty' WHEN x <= 36 THEN 'current' WHEN x <= 96 THEN 'stale' ELSE 'critical' END AS state FROM h""",
