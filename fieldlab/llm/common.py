@@ -20,11 +20,14 @@ BATCH_ROWS, STEP_CHARS = 1000, 4_000_000
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches small enough that long texts fit a Python worker; a smaller setting of the session stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key, "10000"))
+    """Arrow batches small enough, in rows and in bytes, that long texts fit a Python worker; smaller settings of the
+    session stay."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int(spark.conf.get(rows, "10000"))
     if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+        spark.conf.set(rows, BATCH_ROWS)
+    if spark.conf.get(size, "64m") in ("64m", "67108864b", "67108864"):
+        spark.conf.set(size, "16m")
 
 
 def steps(texts: Sequence[str], limit: int = STEP_CHARS) -> Iterator[tuple[int, int]]:

@@ -327,7 +327,8 @@ def read_documents(store: DataFrame) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return _few_rows(store).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    bounded_batches(store.sparkSession)
+    return store.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_ids(store: DataFrame) -> DataFrame:
@@ -341,13 +342,8 @@ def read_ids(store: DataFrame) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), lists], names=["doc_id", "ids"])
 
-    return _few_rows(store).mapInArrow(run, "doc_id long, ids array<int>")
-
-
-def _few_rows(store: DataFrame) -> DataFrame:
-    """A segment is a few MB: few of them at a time are handed to Python."""
-    store.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 8)
-    return store
+    bounded_batches(store.sparkSession)
+    return store.mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def op1_plane_store(spark: SparkSession, sf_dir: str) -> DataFrame:
