@@ -6,7 +6,9 @@ between anchors are aligned the same way. Coverage is the share of the template'
 from the first to the last aligned word of the text.
 
 A long text holds a notice anywhere, so windows of it are aligned: the stretches where enough of the template's words
-stand close together to reach the least coverage, found by counting, which loses no window that could. Every template
+stand close together to reach the least coverage, found by counting, which loses no window that could. Where a notice
+stands twice, no word of a stretch is an anchor; so a template that the stretches do not hold whole is looked for once
+more in every window of twice its length, by the longest common run of words with gaps, and the better one is taken. Every template
 that reaches the least coverage gives a row; a document without one gives none. Null and empty texts have no rows;
 repeated rows have rows each.
 """
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -108,6 +111,61 @@ def _windows(places: np.ndarray, need: int, width: int, length: int) -> list[tup
     return [(a, b) for a, b in out]
 
 
+def longest_common(text: list[str], template: list[str]) -> list[tuple[int, int]]:
+    """As align, but the most words that rise in both: a row of bits for each word of the text, walked back."""
+    bits: dict[str, int] = {}
+    for k, word in enumerate(template):
+        bits[word] = bits.get(word, 0) | 1 << k
+    full = (1 << len(template)) - 1
+    rows = [full]  # a bit of a row is 0 where one more word of the template is reached
+    for word in text:
+        row = rows[-1]
+        same = row & bits.get(word, 0)
+        rows.append(((row + same) | (row - same)) & full)
+    out, k = [], len(template) - 1
+    for x in range(len(text) - 1, -1, -1):
+        while k >= 0 and rows[x + 1] >> k & 1:
+            k -= 1
+        if k < 0:
+            break
+        if rows[x] >> k & 1:
+            out.append((x, k))
+            k -= 1
+    return out[::-1]
+
+
+def _closest(words: list[str], places: np.ndarray, template: list[str], above: int) -> list[tuple[int, int]]:
+    """The longest common words of the template and a window of twice its length, if more than `above`; places in words.
+
+    Every template word of the text begins a window. One is left out only if it cannot be longer: by the words that it
+    shares with the template, or by the last one's length and the template words that came in since."""
+    width, wanted, held = 2 * len(template), Counter(template), Counter()
+    at = places.tolist()
+    best: list[tuple[int, int]] = []
+    shared = most = end = 0
+    for k, first in enumerate(at):
+        while end < len(at) and at[end] < first + width:
+            word = words[at[end]]
+            shared += held[word] < wanted[word]
+            held[word] += 1
+            most += 1
+            end += 1
+        if min(shared, most) > above:
+            pairs = longest_common(words[first : at[end - 1] + 1], template)
+            most = len(pairs)
+            if most > above:
+                best, above = [(first + x, y) for x, y in pairs], most
+                if above == len(template):
+                    break
+        word = words[first]
+        held[word] -= 1
+        shared -= held[word] < wanted[word]
+    if not best:
+        return best
+    a, b, last = best[0][0], best[-1][0] + 1, len(template) - 1  # once more from its end, for the latest first word
+    return [(b - 1 - x, last - y) for x, y in longest_common(words[a:b][::-1], template[::-1])[::-1]]
+
+
 def scan(text: str, templates: dict[str, list[str]], least: float = LEAST) -> list[tuple[str, float, int, int]]:
     """(license, coverage, first, end in characters) of the best window of each template that reaches `least`."""
     low = text.lower()
@@ -129,6 +187,10 @@ def scan(text: str, templates: dict[str, list[str]], least: float = LEAST) -> li
             cover = len(pairs) / len(template)
             if best is None or cover > best[0]:
                 best = cover, spans[a + pairs[0][0]][0], spans[a + pairs[-1][0]][1]
+        if len(places) >= need and (best is None or best[0] < 1):
+            pairs = _closest(words, places, template, max(need - 1, round(best[0] * len(template)) if best else 0))
+            if pairs:
+                best = len(pairs) / len(template), spans[pairs[0][0]][0], spans[pairs[-1][0]][1]
         if best:
             out.append((name, *best))
     return out

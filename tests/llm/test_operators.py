@@ -91,6 +91,30 @@ def test_scan(spark, odd):
     assert licenses.scan_licenses(odd).count() == 0
 
 
+@pytest.mark.parametrize("name", licenses.TEMPLATES)
+@pytest.mark.parametrize("times, between", [(2, 0), (2, 7), (2, 20), (50, 0), (50, 20)])
+def test_scan_of_repeated_notices(name, times, between):
+    notice, filler = licenses.TEMPLATES[name], "filler " * 20
+    template = licenses._WORD.findall(notice.lower())
+    for text in (notice, " ".join(w for k, w in enumerate(notice.split()) if k != 1)):
+        joined = filler + (text + " " + "filler " * between) * times + filler
+        (found,) = licenses.scan(joined, {name: template}) or [None]
+        assert found and found[1] >= (1 if text == notice else 1 - 1 / len(template) - 1e-9)
+        assert licenses._WORD.findall(joined[found[2] : found[3]].lower())[0] == template[0]
+
+
+def test_longest_common_words():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        a, b = (rng.integers(0, 5, rng.integers(0, 14)).astype(str).tolist() for _ in range(2))
+        table = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, j in np.ndindex(len(a), len(b)):
+            table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
+        pairs = licenses.longest_common(a, b)
+        assert len(pairs) == table[-1, -1] and all(a[x] == b[y] for x, y in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
 # --- 3
 
 
