@@ -8,6 +8,8 @@ largest cosine with it.
 At most about MAX_TEXTS texts of each language (those of low hashes) are learned; the number of languages is taken to
 be bounded (MAX_LANGUAGES; more raise an error). Null texts and texts without a letter are `und` with score 0; so is
 every text if there is nothing to learn from.
+
+A filter by language rejects texts whose cosine is below the one that all but LOW_QUANTILE of the learned texts reach.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from fieldlab.llm.common import bounded_batches, filter_by_text, steps, table, w
 
 DIMENSIONS, GRAM, SEED, FOLDS, HELD_OUT = 1024, 3, 23, 4, 2
 MAX_TEXTS, MAX_LANGUAGES, UNKNOWN = 2000, 1000, "und"
+#: The share of learned texts (the shortest and oddest) that may lie below the threshold of rejection.
+LOW_QUANTILE = 0.005
 
 
 class Letters:
@@ -108,6 +112,11 @@ class Profiles:
     seed: int = SEED
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        names, cosines = self.nearest(texts)
+        return names, np.clip(cosines, 0, 1)
+
+    def nearest(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """Languages and their cosines, which may be negative."""
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         names: list[str] = []
@@ -118,7 +127,7 @@ class Profiles:
             near = found @ self.prototypes.T
             best = near.argmax(axis=1)
             some = found.any(axis=1)
-            scores[a:b] = np.where(some, np.clip(near[np.arange(b - a), best], 0, 1), 0)
+            scores[a:b] = np.where(some, near[np.arange(b - a), best], 0)
             names += [self.languages[k] if ok else UNKNOWN for k, ok in zip(best, some)]
         return names, scores
 
@@ -128,16 +137,44 @@ def learn_profiles(docs: DataFrame, max_texts: int = MAX_TEXTS, dimensions: int
 
     Tasks add up vectors by language, and the sums are added by language and place; one number for each of them reaches
     the driver."""
+    counts, picked = _learned(docs, max_texts)
+    return _profiles(docs, counts, picked, dimensions, seed)
+
+
+def learn_with_threshold(docs: DataFrame, quantile: float = LOW_QUANTILE) -> tuple[Profiles, float]:
+    """As learn_profiles, and the cosine that all but `quantile` of the learned texts reach; -1 without a learned text."""
+    counts, picked = _learned(docs, MAX_TEXTS)
+    profiles = _profiles(docs, counts, picked, DIMENSIONS, SEED)
+    if not profiles.languages:
+        return profiles, -1.0
+    held = docs.sparkSession.sparkContext.broadcast(profiles)
+
+    def compute(texts: list[str]) -> dict:
+        names, cosines = held.value.nearest(texts)
+        return {"cosine": [None if name == UNKNOWN else x for name, x in zip(names, cosines.tolist())]}
+
+    own = with_text_columns(picked, [StructField("cosine", DoubleType())], compute, [])
+    least = own.agg(F.percentile_approx("cosine", quantile, 10_000)).first()[0]
+    return profiles, -1.0 if least is None else least - 1e-5  # sums of other batches differ in their last digits
+
+
+def _learned(docs: DataFrame, max_texts: int) -> tuple[dict[str, int], DataFrame | None]:
+    """The number of texts that can be learned by language, and those that are."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(key.cast("binary")) % FOLDS != HELD_OUT))
     counts = {r.lang: r.n for r in learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
-        return Profiles((), np.zeros((0, dimensions), np.float32), seed)
+        return counts, None
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, max_texts / n))])
     draw = F.pmod(F.xxhash64(F.lit("learn"), key), F.lit(1 << 30)) / float(1 << 30)
-    picked = learn.where(draw < share[F.col("lang")]).select("lang", "text")
+    return counts, learn.where(draw < share[F.col("lang")]).select("lang", "text")
+
+
+def _profiles(docs: DataFrame, counts: dict[str, int], picked: DataFrame | None, dimensions: int, seed: int) -> Profiles:
+    if picked is None:
+        return Profiles((), np.zeros((0, dimensions), np.float32), seed)
     bounded_batches(docs.sparkSession)
 
     def run(batches):
@@ -190,12 +227,15 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def keep_known(docs: DataFrame, profiles: Profiles, least: float = 0.0) -> DataFrame:
-    """The documents in one of the learned languages, with a cosine of at least `least`, with their own columns."""
+def keep_known(docs: DataFrame, profiles: Profiles, least: float = -1.0) -> DataFrame:
+    """The documents in one of the learned languages, with a cosine of at least `least`, with their own columns; all
+    documents if no text with a letter was learned."""
+    if not profiles.prototypes.any():
+        return docs
     held = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def accept(texts: list[str]) -> list[bool]:
-        names, scores = held.value.predict(texts)
-        return [name != UNKNOWN and score >= least for name, score in zip(names, scores)]
+        names, cosines = held.value.nearest(texts)
+        return [name != UNKNOWN and cosine >= least for name, cosine in zip(names, cosines)]
 
     return filter_by_text(docs, accept)

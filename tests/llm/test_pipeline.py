@@ -1,5 +1,7 @@
 """The pipeline's stages against brute force on the smallest tables."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from fieldlab.llm import byte_bpe, language, mixing, near_dups, quality
 
@@ -28,3 +30,20 @@ def test_stages(spark):
     last = corpus_pipeline.STAGES[4][1](spark, mixed, DATA)
     assert last.count() == mixed.count()
     assert sorted(map(tuple, corpus_pipeline.run(spark, DATA).collect())) == sorted(map(tuple, byte_bpe.encoding_digests(mixed, keep=("doc_id", "source")).collect()))
+
+
+def test_language_stage_rejects(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    texts = ["Привет как дела это русский текст и он нигде не выучен " * 5, "漢字文書の言語識別は難しい問題です" * 9, "שלום עולם זה טקסט בעברית שלא נלמד " * 5, "नमस्ते दुनिया यह हिंदी है " * 5, "xqzjk wvqxz kjqzx zzxqj vkwqz qjxkz " * 9]
+    odd = spark.createDataFrame([(-1 - k, t, None, "src1", len(t)) for k, t in enumerate(texts)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(odd), DATA).select("doc_id").collect()}
+    assert not [k for k in kept if k < 0]
+    clean = {r.doc_id for r in docs.where("length(text) > 200 and lang is not null").collect()}
+    assert len(clean - kept) <= 0.01 * len(clean)
+
+
+def test_language_stage_without_languages(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_id(spark, docs, DATA).count() == docs.count()
+    blank = docs.withColumns({"lang": F.lit("en"), "text": F.lit("123")})
+    assert corpus_pipeline.language_id(spark, blank, DATA).count() == docs.count()
