@@ -33,7 +33,8 @@ def opponent_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ordered_key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers found by number, else by name, else by nation: a union of equi joins with a priority instead of an OR."""
+    """Customers of every tenth event, as the query's SQL has it, found by number, else by name: a union of equi joins with
+    a priority instead of an OR. `ordered_key_lookup_all` has every event and all keys."""
     asked = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("key")).where("event_id % 10 = 0").withColumn("name", F.concat(F.lit("Customer#"), F.lpad(F.col("event_id").cast("string"), 9, "0")))
     people = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     by_key = asked.join(people, F.col("key") == F.col("c_custkey")).select("event_id", F.lit(1).alias("priority"), "c_custkey")
@@ -42,6 +43,24 @@ def ordered_key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("event_id").join(best, "event_id", "left").select("event_id", "x.priority", "x.c_custkey")
 
 
+def lookup_keys(events: DataFrame, customers: DataFrame) -> DataFrame:
+    """The customer of each event whose number is user_id, else whose name holds event_id, else the first of the nation
+    whose number is user_id; events without one stay, with nulls."""
+    asked = events.select("event_id", F.col("user_id").alias("key"), F.concat(F.lit("Customer#"), F.lpad(F.col("event_id").cast("string"), 9, "0")).alias("name"))
+    people = customers.select("c_custkey", "c_name")
+    nations = customers.groupBy(F.col("c_nationkey").cast("long").alias("key")).agg(F.min("c_custkey").alias("c_custkey"))
+    by_key = asked.join(people, F.col("key") == F.col("c_custkey")).select("event_id", F.lit(1).alias("priority"), "c_custkey")
+    by_name = asked.join(people, F.col("name") == F.col("c_name")).select("event_id", F.lit(2).alias("priority"), "c_custkey")
+    by_nation = asked.join(nations, "key").select("event_id", F.lit(3).alias("priority"), "c_custkey")
+    best = by_key.unionByName(by_name).unionByName(by_nation).groupBy("event_id").agg(F.min(F.struct("priority", "c_custkey")).alias("x"))
+    return asked.select("event_id").join(best, "event_id", "left").select("event_id", "x.priority", "x.c_custkey")
+
+
+def ordered_key_lookup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of all events by number, else by name, else by nation."""
+    return lookup_keys(table(spark, sf_dir, "events"), table(spark, sf_dir, "customer"))
+
+
 def prediction_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hit forecast from the career before each game against the game: error, correctness and training weight."""
     log = game_log(spark, sf_dir)
@@ -76,7 +95,7 @@ def privacy_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.regexp_replace(local, "(?<=.).", "*"), F.lit("@"), F.lower("c_mktsegment")).alias("masked"), tier.alias("tier"))
 
 
-QUERIES = {f.__name__: f for f in (player_mart, opponent_history, ordered_key_lookup, prediction_resolution, feedback_summary, validation_rules, privacy_mask)}
+QUERIES = {f.__name__: f for f in (player_mart, opponent_history, ordered_key_lookup, ordered_key_lookup_all, prediction_resolution, feedback_summary, validation_rules, privacy_mask)}
 
 _SUMS = ", ".join(f"sum({c})::BIGINT AS {c}" for c in COUNTS)
 _RESOLVED = f"""WITH {GAME_LOG_SQL}, s AS (SELECT c.player_id, c.game_id, any_value(c.hits) AS hits, any_value(c.plate_appearances) AS n, (27.6::DOUBLE + coalesce(sum(h.hits), 0)) / (120 + coalesce(sum(h.plate_appearances), 0)) AS rate
@@ -94,6 +113,9 @@ ORACLE_SQL = {
         SELECT player_id, game_id, {ratio('h', 'ab')} AS team_avg_vs_hand FROM log JOIN p USING (team_id, pitcher_throws, game_date)""",
     "ordered_key_lookup": """SELECT e.event_id, CASE WHEN k.c_custkey IS NOT NULL THEN 1 WHEN n.c_custkey IS NOT NULL THEN 2 END::INT AS priority, coalesce(k.c_custkey, n.c_custkey) AS c_custkey
         FROM events e LEFT JOIN customer k ON k.c_custkey = e.user_id LEFT JOIN customer n ON n.c_name = 'Customer#' || lpad(e.event_id::VARCHAR, 9, '0') WHERE e.event_id % 10 = 0""",
+    "ordered_key_lookup_all": """WITH f AS (SELECT c_nationkey, min(c_custkey) AS first FROM customer GROUP BY 1)
+        SELECT e.event_id, CASE WHEN k.c_custkey IS NOT NULL THEN 1 WHEN n.c_custkey IS NOT NULL THEN 2 WHEN f.first IS NOT NULL THEN 3 END::INT AS priority, coalesce(k.c_custkey, n.c_custkey, f.first) AS c_custkey
+        FROM events e LEFT JOIN customer k ON k.c_custkey = e.user_id LEFT JOIN customer n ON n.c_name = 'Customer#' || lpad(e.event_id::VARCHAR, 9, '0') LEFT JOIN f ON f.c_nationkey = e.user_id""",
     "prediction_resolution": f"{_RESOLVED} SELECT * FROM f",
     "feedback_summary": f"{_RESOLVED} SELECT weight, count(*) AS n, count(*) FILTER (was_correct) AS correct, round(avg(error), 5) AS mean_error FROM f GROUP BY 1",
     "validation_rules": """SELECT * FROM (SELECT l_orderkey, l_linenumber, concat_ws(',', CASE WHEN l_quantity > 48 THEN 'quantity_high' END, CASE WHEN l_discount < 0.01 THEN 'discount_range' END, CASE WHEN l_tax > 0.075 THEN 'tax_range' END,
