@@ -69,8 +69,8 @@ def exact_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lev_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Misspelt part names back to catalogue names: blocked by phonetic key or first token, scored by edit similarity,
-    accepted at 0.7 with the best first."""
+    """Part names without their third character back to catalogue names, as the query's SQL has it: blocked by the first
+    two characters, scored by edit similarity, accepted at 0.7 with the best first. `lev_match_all` loses no pair."""
     names = table(spark, sf_dir, "part").select("p_name").distinct()
     typo = F.concat(F.substring("p_name", 1, 2), F.substring("p_name", 4, 1000))
     asked = names.select(typo.alias("asked"), F.substring("p_name", 1, 2).alias("block")).distinct()
@@ -81,6 +81,41 @@ def lev_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("place = 1 and score >= 0.7").select("asked", "p_name", F.round("score", 6).alias("score"), F.round(F.coalesce("margin", F.lit(1.0)), 6).alias("margin"))
 
 
+def similar_pairs(asked: DataFrame, names: DataFrame) -> DataFrame:
+    """All pairs of distinct (asked, name) whose edit distance is at most 0.3 of the longer one's length, with their score.
+
+    A name cut in d + 1 pieces has one that d edits leave whole, moved by d places at most. So equi joins on length, d,
+    number of the piece and its text find every pair, wherever its edits are."""
+    start, to = "i * {n} div (d + 1)", "(i + 1) * {n} div (d + 1)"
+
+    def piece(n: str, text: str, shift: str) -> str:
+        first, end = start.format(n=n), to.format(n=n)
+        return f"named_struct('n', int({n}), 'd', int(d), 'i', int(i), 'piece', substring({text}, int({first} + {shift} + 1), int({end} - {first})))"
+
+    own = "length(name)"
+    in_name = f"flatten(transform(sequence({own} * 3 div 10, {own} * 3 div 7), d -> transform(sequence(0L, d), i -> {piece(own, 'name', '0')})))"
+    inside = f"s -> {start.format(n='x.n')} + s >= 0 and {to.format(n='x.n')} + s <= length(asked)"
+    moved = f"flatten(transform(sequence(0L, d), i -> transform(filter(sequence(-d, d), {inside}), s -> {piece('x.n', 'asked', 's')})))"
+    sizes = "transform(sequence(greatest(1L, length(asked) * 7 div 10), length(asked) * 10 div 7), n -> named_struct('n', n, 'd', greatest(n, length(asked)) * 3 div 10))"
+    in_asked = f"array_distinct(flatten(transform({sizes}, x -> flatten(transform(array(x.d), d -> {moved})))))"
+    left = asked.where("asked <> ''").distinct().select("asked", F.explode(F.expr(in_asked)).alias("key"))
+    right = names.where("name <> ''").distinct().select("name", F.explode(F.expr(in_name)).alias("key"))
+    pairs = left.join(right, "key").select("asked", "name").distinct()
+    longer = F.greatest(F.length("asked"), F.length("name"))
+    return pairs.withColumn("d", F.levenshtein("asked", "name")).where(10 * F.col("d") <= 3 * longer).select("asked", "name", (1 - F.col("d") / longer).alias("score"))
+
+
+def lev_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names with a character left out or replaced, at a place that the part's number gives, back to catalogue names:
+    the best of all names at an edit similarity of 0.7 at least, with its margin to the next of those."""
+    parts = table(spark, sf_dir, "part").where("p_name <> ''").select("p_name", F.expr("p_partkey % length(p_name)").cast("int").alias("at"), F.expr("p_partkey div length(p_name) % 2 = 0").alias("cut"))
+    asked = parts.select(F.expr("concat(substring(p_name, 1, at), if(cut, '', 'q'), substring(p_name, at + 2))").alias("asked"))
+    best = Window.partitionBy("asked").orderBy(F.desc("score"), "name")
+    found = similar_pairs(asked, parts.select(F.col("p_name").alias("name")))
+    found = found.withColumns({"place": F.row_number().over(best), "margin": F.col("score") - F.lead("score").over(best)})
+    return found.where("place = 1").select("asked", F.col("name").alias("p_name"), F.round("score", 6).alias("score"), F.round(F.coalesce("margin", F.lit(1.0)), 6).alias("margin"))
+
+
 def conversation_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last number and year said so far in a conversation, carried on through turns; a turn that says `stop` or is
     blank starts anew."""
@@ -102,7 +137,7 @@ def learning_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", importance.alias("importance"), F.explode(signals).alias("signal"))
 
 
-QUERIES = {f.__name__: f for f in (message_extractors, intent_scores, exact_entities, lev_match, conversation_state, learning_signals)}
+QUERIES = {f.__name__: f for f in (message_extractors, intent_scores, exact_entities, lev_match, lev_match_all, conversation_state, learning_signals)}
 
 _X = r"""x AS (SELECT conv_id, turn, len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))::INT AS n_tokens,
     nullif(regexp_extract(coalesce(text, ''), '\b(20\d\d)\b', 1), '') AS year, nullif(regexp_extract(coalesce(text, ''), '(\d+)', 1), '') AS number,
@@ -121,6 +156,11 @@ ORACLE_SQL = {
         p AS (SELECT asked, p_name, 1 - levenshtein(asked, p_name) / greatest(length(asked), length(p_name)) AS score FROM a JOIN n ON substr(p_name, 1, 2) = block),
         r AS (SELECT *, row_number() OVER w AS place, score - lead(score) OVER w AS margin FROM p WINDOW w AS (PARTITION BY asked ORDER BY score DESC, p_name))
         SELECT asked, p_name, round(score, 6) AS score, round(coalesce(margin, 1), 6) AS margin FROM r WHERE place = 1 AND score >= 0.7""",
+    "lev_match_all": """WITH n AS (SELECT DISTINCT p_name FROM part WHERE p_name <> ''), k AS (SELECT p_name, (p_partkey % length(p_name))::INT AS pos, p_partkey // length(p_name) % 2 = 0 AS cut FROM part WHERE p_name <> ''),
+        a AS (SELECT DISTINCT substr(p_name, 1, pos) || CASE WHEN cut THEN '' ELSE 'q' END || substr(p_name, pos + 2) AS asked FROM k),
+        p AS (SELECT asked, p_name, levenshtein(asked, p_name) AS d, greatest(length(asked), length(p_name)) AS longer FROM a CROSS JOIN n WHERE asked <> ''),
+        r AS (SELECT asked, p_name, 1 - d / longer AS score FROM p WHERE 10 * d <= 3 * longer), o AS (SELECT *, row_number() OVER w AS place, score - lead(score) OVER w AS margin FROM r WINDOW w AS (PARTITION BY asked ORDER BY score DESC, p_name))
+        SELECT asked, p_name, round(score, 6) AS score, round(coalesce(margin, 1), 6) AS margin FROM o WHERE place = 1""",
     "conversation_state": f"""WITH {_X}, g AS (SELECT *, sum((n_tokens = 0)::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS segment FROM x)
         SELECT conv_id, turn, last_value(number IGNORE NULLS) OVER w AS number, last_value(year IGNORE NULLS) OVER w AS year, row_number() OVER w::INT AS turns FROM g WINDOW w AS (PARTITION BY conv_id, segment ORDER BY turn)""",
     "learning_signals": f"""WITH {_X}, i AS (SELECT conv_id, turn, CASE WHEN guarded THEN 20 ELSE least(35 + (number IS NOT NULL)::INT * 10 + (question_type <> 'other')::INT * 10 + (n_tokens > 20)::INT * 5, 95) END::INT AS importance,
