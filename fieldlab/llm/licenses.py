@@ -15,6 +15,8 @@ repeated rows have rows each.
 
 from __future__ import annotations
 
+import json
+import pkgutil
 import re
 from bisect import bisect_left
 from collections import Counter
@@ -43,6 +45,8 @@ TEMPLATES = {
         "following conditions are met"
     ),
 }
+#: Whole texts and the standard headers of common licenses.
+TEMPLATES |= json.loads(pkgutil.get_data(__package__, "licenses.json"))
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -166,19 +170,35 @@ def _closest(words: list[str], places: np.ndarray, template: list[str], above: i
     return [(b - 1 - x, last - y) for x, y in longest_common(words[a:b][::-1], template[::-1])[::-1]]
 
 
-def scan(text: str, templates: dict[str, list[str]], least: float = LEAST) -> list[tuple[str, float, int, int]]:
+def number_words(templates: dict[str, list[str]]) -> tuple[dict[str, int], np.ndarray]:
+    """Numbers of the templates' words, and how often each template (a row) has each; the last column is of no word."""
+    number: dict[str, int] = {}
+    for template in templates.values():
+        for word in template:
+            number.setdefault(word, len(number))
+    wanted = np.zeros((len(templates), len(number) + 1), np.int64)
+    for row, template in zip(wanted, templates.values()):
+        np.add.at(row, [number[w] for w in template], 1)
+    return number, wanted
+
+
+def scan(
+    text: str, templates: dict[str, list[str]], least: float = LEAST, numbered: tuple[dict[str, int], np.ndarray] | None = None
+) -> list[tuple[str, float, int, int]]:
     """(license, coverage, first, end in characters) of the best window of each template that reaches `least`."""
     low = text.lower()
-    spans: list[tuple[int, int]] | None = None
-    words: list[str] = []
+    number, wanted = numbered or number_words(templates)
+    spans = [m.span() for m in _WORD.finditer(low)]
+    words = [low[a:b] for a, b in spans]
+    codes = np.fromiter((number.get(w, len(number)) for w in words), np.int64, len(words))
+    there, often = np.unique(codes, return_counts=True)
+    shared = np.minimum(wanted[:, there], often).sum(axis=1)
     out = []
-    for name, template in templates.items():
-        if template and not words and spans is None:
-            spans = [m.span() for m in _WORD.finditer(low)]
-            words = [low[a:b] for a, b in spans]
-        wanted = set(template)
-        places = np.fromiter((k for k, w in enumerate(words) if w in wanted), np.int64)
+    for row, (name, template) in enumerate(templates.items()):
         need = max(1, int(np.ceil(least * len(template) - 1e-9)))
+        if shared[row] < need:
+            continue
+        places = np.flatnonzero(wanted[row][codes])
         best: tuple[float, int, int] | None = None
         for a, b in _windows(places, need, 2 * len(template), len(words)):
             pairs = align(words[a:b], template)
@@ -199,6 +219,7 @@ def scan(text: str, templates: dict[str, list[str]], least: float = LEAST) -> li
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
     """doc_id, license, coverage, start, end of every template found in every row. No shuffle."""
     split = {name: _WORD.findall(t.lower()) for name, t in (TEMPLATES if templates is None else templates).items()}
+    numbered = number_words(split)
     bounded_batches(docs.sparkSession)
     names = ["doc_id", "license", "coverage", "start", "end"]
     kinds = (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32())
@@ -206,7 +227,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
     def run(batches):
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows = [(ids[k], *hit) for a, b in steps(texts) for k in range(a, b) for hit in scan(texts[k], split, least)]
+            rows = [(ids[k], *hit) for a, b in steps(texts) for k in range(a, b) for hit in scan(texts[k], split, least, numbered)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=names)
 
