@@ -23,7 +23,7 @@ def player_mart(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def opponent_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each game with what left- and right-handed opponents had allowed the player's team before its date: two time lines
+    """Each game with what the player's own team had batted against opponents of that hand before its date: two time lines
     joined by running sums, settled on the last row of each date."""
     log = game_log(spark, sf_dir)
     daily = log.groupBy("team_id", "pitcher_throws", "game_date").agg(F.sum("hits").alias("hits"), F.sum("at_bats").alias("at_bats"))

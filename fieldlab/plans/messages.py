@@ -117,8 +117,8 @@ def lev_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last number and year said so far in a conversation, carried on through turns; a turn that says `stop` or is
-    blank starts anew."""
+    """The last number and year said so far in a conversation, carried on through turns; a turn without tokens starts
+    anew."""
     rows = message_extractors(spark, sf_dir)
     turn = Window.partitionBy("conv_id").orderBy("turn")
     segment = F.sum(F.when(F.col("n_tokens") == 0, 1).otherwise(0)).over(turn)

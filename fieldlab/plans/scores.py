@@ -93,7 +93,7 @@ def player_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every outcome of every player: observed rate, shrunk probability, sample weight and mixed probability."""
+    """Four outcomes (PRIORS) of every player: observed rate, shrunk probability, sample weight and mixed probability."""
     rows = totals(spark, sf_dir).select(
         "player_id",
         "plate_appearances",
