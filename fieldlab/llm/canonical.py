@@ -102,7 +102,9 @@ def _ordered(text: Column) -> Column:
         return F.when(F.length(cluster) < 2, cluster).otherwise(F.array_join(F.transform(F.array_sort(keyed), lambda x: x["c"]), ""))
 
     parts = F.regexp_extract_all(text, F.lit(f"[^{body}][{body}]*|[{body}]+"), F.lit(0))
-    return F.when(text.rlike(f"[{body}]{{2}}"), F.array_join(F.transform(parts, sort), "")).otherwise(text)
+    # no mark lies below x300: that is asked first, for most characters need not be looked up in hundreds of ranges
+    two = f"[\\x{{300}}-\\x{{10ffff}}&&[{body}]]{{2}}"
+    return F.when(text.rlike(two), F.array_join(F.transform(parts, sort), "")).otherwise(text)
 
 
 def canonical(text: Column) -> Column:
