@@ -4,13 +4,15 @@ The canonical form of a text: lower case, every character beyond ASCII replaced
 case folded, combining marks in canonical order, runs of white space one space, none at the ends. Texts are grouped by
 two xxhash64 values of it with different seeds (128 bits); inside a group of equal digests the canonical bytes are
 compared, and a group with several byte strings is parted by a number at the end of the fingerprint. Null texts are
-empty. Rows of one doc_id are ordered by length and hash, null doc_ids come first; repeated rows stay.
+empty. Rows of one doc_id are ordered by a hash of their text, null doc_ids come first; repeated rows stay. An empty
+table gives an empty one. Of the input only doc_id and text are read, so other columns, of whatever names, don't matter.
 """
 
 from __future__ import annotations
 
 import json
 import unicodedata
+from collections import Counter
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,7 +22,9 @@ from fieldlab.llm.common import stage, table
 
 #: Documents in a window's bucket are about rows / (BUCKETS_A_PARTITION x shuffle partitions); MAX_BUCKETS bounds what
 #: the driver holds of them.
-BUCKETS_A_PARTITION, MAX_BUCKETS, SMALL_ROWS = 4, 4096, 100_000
+BUCKETS_A_PARTITION, MAX_BUCKETS, SMALL_ROWS = 4, 65_536, 100_000
+#: The part of a bucket that holds the rows of no hot doc_id: after all parts of hot ones.
+REST = 1 << 30
 _HANGUL, _HANGUL_END = 0xAC00, 0xD7A3
 #: A mark that case folding makes a letter: only after marks are in order.
 _IOTA_MARK, _IOTA = "\u0345", "\u03b9"
@@ -184,36 +188,52 @@ def _bucket(bounds: list[int]) -> Column:
     return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(at * width + below(rest))
 
 
+def _part(hot: dict[int | None, int]) -> Column:
+    """Parts of a hot doc_id's rows by ranges of their texts' hashes, in the order of the rows; REST for other rows. A
+    hot doc_id is the lowest of its bucket, so its parts come before the rest."""
+    shares = [F.lit(x) for v, k in hot.items() if v is not None for x in (v, k)]
+    known = F.element_at(F.create_map(*shares), F.col("doc_id")) if shares else F.lit(None).cast("int")
+    parts = F.when(F.col("doc_id").isNull(), F.lit(hot.get(None, 1))).otherwise(known)
+    place = F.floor((F.col("raw") / float(1 << 64) + 0.5) * parts)
+    return F.when(parts.isNull(), REST).otherwise(F.least(place, parts - 1)).cast("int")
+
+
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     """Of every document its fingerprint and that of an edited text, whose last quarter is the start of the next document
     by doc_id (after the last: the first).
 
-    Texts are shuffled once, into buckets of neighbouring doc_ids (bounds by approximate quantiles); a bucket's last row
-    takes the first row of the next bucket that has rows."""
+    Texts are shuffled once, into buckets of neighbouring doc_ids (bounds by approximate quantiles); a doc_id that fills
+    several quantiles, or null, is dealt out further by hash. A bucket's last row takes the first row of the next bucket
+    that has rows. The forms are computed here and for `collisions` anew: a stored second copy of all texts costs more."""
     spark = docs.sparkSession
     found = stage(collisions(docs), "collisions")
     n_found = found.count()
     texts = _texts(docs)
     n = min(MAX_BUCKETS, BUCKETS_A_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = texts.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 20 * n).alias("cuts")).first().cuts if n > 1 else []
+    spread = F.percentile_approx("doc_id", [k / n for k in range(1, n)] or [0.5], 8 * n)
+    found_cuts = texts.agg(spread.alias("cuts"), F.count(F.lit(1)).alias("rows"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    cuts = Counter(found_cuts.cuts or [])
+    hot = {v: k for v, k in cuts.items() if k > 2} | {None: max(1, n * found_cuts.nulls // max(1, found_cuts.rows))}
     form = canonical(F.col("text"))
     high, low = digests(F.col("form"))
-    rows = texts.withColumns({"bucket": _bucket(sorted(set(cuts or []))), "n_chars": F.length("text").cast("long"), "raw": F.xxhash64("text")})
-    order = ["doc_id", "n_chars", "raw"]
-    heads = rows.groupBy("bucket").agg(F.min(F.struct(*order)).alias("head")).collect()  # a row for each bucket
-    heads = sorted((r.bucket, r["head"].doc_id, r["head"].n_chars, r["head"].raw) for r in heads)
-    serves = [(heads[k - 1][0], *heads[k][1:]) for k in range(len(heads))]
-    side = spark.createDataFrame(serves, "serves int, h_doc long, h_chars long, h_raw long")
+    rows = texts.withColumns({"n_chars": F.length("text").cast("long"), "raw": F.xxhash64("text")})
+    rows = rows.withColumns({"bucket": _bucket(sorted(cuts)), "part": _part(hot)})
+    order = ["doc_id", "raw"]
+    heads = rows.groupBy("bucket", "part").agg(F.min(F.struct(*order)).alias("head")).collect()  # a row for each bucket
+    heads = sorted((r.bucket, r.part, r["head"].doc_id, r["head"].raw) for r in heads)
+    serves = [(*heads[k - 1][:2], *heads[k][2:]) for k in range(len(heads))]
+    side = spark.createDataFrame(serves, "s_bucket int, s_part int, h_doc long, h_raw long")
     head_texts = (
         texts.withColumn("raw", F.xxhash64("text"))
         .join(F.broadcast(side), (F.col("raw") == F.col("h_raw")) & F.col("doc_id").eqNullSafe(F.col("h_doc")))
-        .dropDuplicates(["serves"])
-        .select("serves", F.col("text").alias("head_text"))
+        .dropDuplicates(["s_bucket", "s_part"])
+        .select("s_bucket", "s_part", F.col("text").alias("head_text"))
     )
-    keyed = rows.withColumn("form", form).select(*order, "bucket", "text", high.alias("high"), low.alias("low"), F.sha2("form", 256).alias("sha"))
-    within = Window.partitionBy("bucket").orderBy(*order)
+    keyed = rows.withColumn("form", form).select(*order, "n_chars", "bucket", "part", "text", high.alias("high"), low.alias("low"), F.sha2("form", 256).alias("sha"))
+    within = Window.partitionBy("bucket", "part").orderBy(*order)
     led = keyed.withColumn("next", F.lead(F.struct("text", "high", "low")).over(within))
-    ends = led.join(head_texts, (F.col("bucket") == F.col("serves")) & F.col("next").isNull(), "left")
+    last = (F.col("bucket") == F.col("s_bucket")) & (F.col("part") == F.col("s_part")) & F.col("next").isNull()
+    ends = led.join(head_texts, last, "left")
     next_text = F.coalesce(F.col("next.text"), F.col("head_text"))
     cut = (F.col("n_chars") / 4).cast("int")
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - cast(n_chars / 4 as int) as int))"), F.substring(next_text, F.lit(1), cut))
@@ -249,4 +269,5 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def op5_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """edited_fingerprints of the table `documents`."""
     return edited_fingerprints(table(spark, sf_dir, "documents"))

@@ -213,6 +213,22 @@ def test_edited_fingerprints(spark, docs, odd):
         groups.setdefault(fold(text), set()).add(r.fingerprint)
     assert all(len(x) == 1 for x in groups.values()) and len({y for x in groups.values() for y in x}) == len(groups)
     assert canonical.edited_fingerprints(odd).count() == len(ODD)
+    assert canonical.edited_fingerprints(odd.limit(0)).count() == 0
+
+
+def test_hot_doc_ids_are_dealt_out(spark):
+    """A third of all rows without doc_id and a third with one: the same rows in the same order, whatever the buckets."""
+    rows = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, f"text {k} " * (k % 5 + 1)) for k in range(300)]
+    got = canonical.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    ordered = spark.createDataFrame(rows, "doc_id long, text string").orderBy("doc_id", F.xxhash64("text")).collect()
+    want = Counter()
+    for k, (doc_id, text) in enumerate(ordered):
+        n, after = len(text), ordered[(k + 1) % len(ordered)].text
+        want[doc_id, hashlib.sha256((text[: n - n // 4] + after[: n // 4]).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.edited_sha256) for r in got) == want
+
+
+def test_exact_groups_of_nothing(spark, odd):
     assert canonical.exact_groups(odd.limit(0)).count() == 0
 
 

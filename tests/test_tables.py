@@ -1,4 +1,4 @@
-"""Operators on small tables: merges, sources, history frames, streams."""
+"""Operators on small tables (a file name of its own, so that both test folders can be collected): merges, sources, history frames, streams."""
 
 import datetime as dt
 
