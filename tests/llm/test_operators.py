@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import unicodedata
 import zlib
 from collections import Counter
@@ -250,6 +251,21 @@ def test_merging_overlaps():
     assert held.count_texts(texts).tolist() == [len(x) for x in library.encode(texts)]
 
 
+def test_long_runs_are_counted_in_time():
+    library = sentencepiece.SentencePieceProcessor(model_file=token_counts.MODEL)
+    held = token_counts.Merger(open(token_counts.MODEL, "rb").read())
+    r = random.Random(8)
+    runs = [c * n + end for c in " #=-a0.\n_x/*éア漢" for n in (1, 2, 3, 15, 16, 17, 31, 33, 100, 1000, 10_007) for end in ("", "the", "#", " x")]
+    mixed = ["".join(r.choice(" #=-a0.xABth_/+") * r.choice((1, 2, 5, 40)) for _ in range(300)) for _ in range(200)]
+    base = ["".join(r.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(20_000)) for _ in range(2)]
+    for texts in (runs, mixed, base):
+        assert held.count_texts(texts).tolist() == [len(x) for x in library.encode(texts)]
+    began = time.perf_counter()
+    spaces, hashes = held.count_texts([" " * 1_000_000, "#" * 1_000_000]).tolist()
+    assert time.perf_counter() - began < 10
+    assert [spaces, hashes] == [len(library.encode(c * 1_000_000)) for c in " #"]
+
+
 def test_byte_bpe(spark, docs, odd):
     encoding = byte_bpe._encoding(open(byte_bpe.RANKS, "rb").read(), public_tokenizers.PATTERN)
     for table in (docs, odd):
