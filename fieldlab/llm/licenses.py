@@ -2,15 +2,23 @@
 
 Text and template are compared as words. Anchors are words that occur once in the text's range and once in the
 template's; the longest run of anchors that rises in both is kept, equal words next to an anchor join it, and the gaps
-between anchors are aligned the same way. Coverage is the share of the template's words that are aligned; the span runs
-from the first to the last aligned word of the text.
-
-A long text holds a notice anywhere, so windows of it are aligned: the stretches where enough of the template's words
-stand close together to reach the least coverage, found by counting, which loses no window that could. Where a notice
-stands twice, no word of a stretch is an anchor; so a template that the stretches do not hold whole is looked for once
-more in every window of twice its length, by the longest common run of words with gaps, and the better one is taken. Every template
-that reaches the least coverage gives a row; a document without one gives none. Null and empty texts have no rows;
-repeated rows have rows each.
+between anchors are aligned the same way; a gap without anchors is aligned by its longest common words. Coverage is the
+share of the template's words that are aligned; the span runs from the first to the last aligned word of the text.
+
+Where a template is looked for:
+
+* A notice of a few words names its license by one or two of them, so those (REQUIRED) must be aligned: every place of the
+  first of them is an anchor, and what stands before and after it, up to SPREAD words for each word of the notice, is
+  aligned to the notice's two sides.
+* A longer template is looked for in the stretches where enough of its words stand close together, then, by the longest
+  common words, in windows of up to twice its length (where it stands twice, no word is an anchor), and then in the whole rest
+  of the text, however far its words lie apart. What stands before and after a span is searched again, so every copy
+  gives a span.
+
+Spans that overlap are one passage: the template with the most aligned words has it (then the higher coverage, the
+shorter span, the name), so that a license whose words another one holds doesn't give a row beside it. A document without
+a span of the least coverage gives no row. Null and empty texts have no rows; repeated rows have rows each; an empty table
+gives an empty one. Of the input only doc_id and text are read, whatever other columns are named.
 """
 
 from __future__ import annotations
@@ -28,13 +36,24 @@ from pyspark.sql import functions as F
 
 from fieldlab.llm.common import bounded_batches, steps, table
 
-LEAST = 0.8
+LEAST, SPREAD = 0.8, 4
 #: Notices, as fixed values.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
+    "BSD-notice": "Released under the BSD License.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
+    "MPL-2.0-notice": "Licensed under the Mozilla Public License, version 2.0.",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
+    "LGPL-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "CC-BY-4.0-notice": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0-notice": "Licensed under CC BY-ND 4.0.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-NC-SA-4.0-notice": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0-notice": "Licensed under CC BY-NC-ND 4.0.",
     "MIT-grant": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
         "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation "
@@ -45,8 +64,28 @@ TEMPLATES = {
         "following conditions are met"
     ),
 }
+#: The words that tell a notice from others of its kind, the one to search by first.
+REQUIRED = {
+    "MIT-notice": ["mit"],
+    "BSD-notice": ["bsd"],
+    "Apache-2.0-notice": ["apache", "2", "0"],
+    "MPL-2.0-notice": ["mozilla", "2", "0"],
+    "GPL-2.0-notice": ["gnu", "2"],
+    "GPL-3.0-notice": ["gnu", "3"],
+    "LGPL-2.1-notice": ["lesser", "gnu", "2", "1"],
+    "LGPL-3.0-notice": ["lesser", "gnu", "3"],
+    "AGPL-3.0-notice": ["affero", "gnu", "3"],
+    "CC-BY-4.0-notice": ["cc", "by", "4"],
+    "CC-BY-SA-4.0-notice": ["cc", "by", "sa", "4"],
+    "CC-BY-ND-4.0-notice": ["cc", "by", "nd", "4"],
+    "CC-BY-NC-4.0-notice": ["cc", "by", "nc", "4"],
+    "CC-BY-NC-SA-4.0-notice": ["cc", "by", "nc", "sa", "4"],
+    "CC-BY-NC-ND-4.0-notice": ["cc", "by", "nc", "nd", "4"],
+}
 #: Whole texts and the standard headers of common licenses.
 TEMPLATES |= json.loads(pkgutil.get_data(__package__, "licenses.json"))
+#: Cells of the table of a gap that is aligned at once; larger ones are halved first.
+CELLS = 200_000_000
 _WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -92,6 +131,8 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
                 held[2 + side] = k
         anchors = sorted((x, y) for n, m, x, y in places.values() if n == m == 1)
         x, y = a, c
+        if not anchors:
+            out += [(a + p, c + q) for p, q in common_words(text[a:b], template[c:d])]
         for p, q in [*_rising(anchors), (b, d)] if anchors else []:
             todo.append((x, p, y, q))
             if p < b and q < d:
@@ -138,12 +179,42 @@ def longest_common(text: list[str], template: list[str]) -> list[tuple[int, int]
     return out[::-1]
 
 
-def _closest(words: list[str], places: np.ndarray, template: list[str], above: int) -> list[tuple[int, int]]:
-    """The longest common words of the template and a window of twice its length, if more than `above`; places in words.
+def common_words(text: list[str], template: list[str]) -> list[tuple[int, int]]:
+    """longest_common in bounded memory: a large table is halved at the middle of the text, at the place of the template
+    where both halves together reach the most words."""
+    known = set(template)
+    places = [k for k, word in enumerate(text) if word in known]
+    words = [text[k] for k in places]
+    if len(words) * len(template) <= CELLS or len(words) < 2:
+        return [(places[x], y) for x, y in longest_common(words, template)]
+    half, n = len(words) // 2, len(template)
+    before = _reached(words[:half], template)
+    after = _reached(words[half:][::-1], template[::-1])[::-1]
+    cut = int(np.argmax(before + after))
+    low = common_words(words[:half], template[:cut])
+    high = common_words(words[half:], template[cut:n])
+    return [(places[x], y) for x, y in low] + [(places[half + x], cut + y) for x, y in high]
+
+
+def _reached(text: list[str], template: list[str]) -> np.ndarray:
+    """The number of common words of the text and the template's first 0, 1, ... words."""
+    bits: dict[str, int] = {}
+    for k, word in enumerate(template):
+        bits[word] = bits.get(word, 0) | 1 << k
+    full = row = (1 << len(template)) - 1
+    for word in text:
+        same = row & bits.get(word, 0)
+        row = ((row + same) | (row - same)) & full
+    zeros = 1 - np.unpackbits(np.frombuffer(row.to_bytes(len(template) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(template)]
+    return np.concatenate(([0], np.cumsum(zeros)))
+
+
+def _closest(words: list[str], places: np.ndarray, template: list[str], above: int, width: int) -> list[tuple[int, int]]:
+    """The longest common words of the template and a window of `width`, if more than `above`; places in words.
 
     Every template word of the text begins a window. One is left out only if it cannot be longer: by the words that it
     shares with the template, or by the last one's length and the template words that came in since."""
-    width, wanted, held = 2 * len(template), Counter(template), Counter()
+    wanted, held = Counter(template), Counter()
     at = places.tolist()
     best: list[tuple[int, int]] = []
     shared = most = end = 0
@@ -182,10 +253,65 @@ def number_words(templates: dict[str, list[str]]) -> tuple[dict[str, int], np.nd
     return number, wanted
 
 
+def _anchored(words: list[str], places: list[int], template: list[str], required: list[str], need: int) -> list[list[tuple[int, int]]]:
+    """Alignments of a notice around each place of its first required word, with all required words."""
+    at = template.index(required[0])
+    out = []
+    once = template.count(required[0]) == 1  # then the neighbouring places belong to other notices
+    for k, p in enumerate(places):
+        start, stop = max(0, p - SPREAD * at), min(len(words), p + 1 + SPREAD * (len(template) - at - 1))
+        if once:
+            start = max(start, places[k - 1] + 1 if k else 0)
+            stop = min(stop, places[k + 1] if k + 1 < len(places) else len(words))
+        before = _nearest(words[start:p], template[:at])
+        after = _nearest(words[p + 1 : stop][::-1], template[at + 1 :][::-1])
+        pairs = [(start + x, y) for x, y in before] + [(p, at)] + [(stop - 1 - x, len(template) - 1 - y) for x, y in after[::-1]]
+        if len(pairs) >= need and {template[y] for _, y in pairs}.issuperset(required):
+            out.append(pairs)
+    return out
+
+
+def _nearest(text: list[str], template: list[str]) -> list[tuple[int, int]]:
+    """The alignment of a side of a notice: by anchors if they reach all of it, else its longest common words, the last ones."""
+    pairs = align(text, template)
+    return pairs if len(pairs) == len(template) else longest_common(text, template)
+
+
+def _copies(words: list[str], places: np.ndarray, template: list[str], need: int) -> list[list[tuple[int, int]]]:
+    """Alignments of a longer template; no two share a word of the text."""
+    out = []
+    todo = [(0, len(words))]
+    while todo:
+        start, stop = todo.pop()
+        own = places[np.searchsorted(places, start) : np.searchsorted(places, stop)]
+        wanted = Counter(template)
+        if len(own) < need or sum(min(n, wanted[w]) for w, n in Counter(words[k] for k in own.tolist()).items()) < need:
+            continue
+        best: list[tuple[int, int]] = []
+        for a, b in _windows(own, need, 2 * len(template), stop):
+            a = max(a, start)
+            pairs = align(words[a:b], template)
+            if len(pairs) > max(need - 1, len(best)) and pairs[-1][0] - pairs[0][0] < len(template) * 5 // 4:
+                best = [(a + x, y) for x, y in pairs]
+        for width in (len(template) * 5 // 4 + 1, 2 * len(template)):  # close ones first, for copies may stand side by side
+            if not best or len(best) < len(template) and width < 2 * len(template):
+                best = _closest(words, own, template, max(need - 1, len(best)), width) or best
+        if not best:
+            best = [(start + x, y) for x, y in align(words[start:stop], template)]
+        if len(best) >= need:
+            out.append(best)
+            todo += [(start, best[0][0]), (best[-1][0] + 1, stop)]
+    return out
+
+
 def scan(
-    text: str, templates: dict[str, list[str]], least: float = LEAST, numbered: tuple[dict[str, int], np.ndarray] | None = None
+    text: str,
+    templates: dict[str, list[str]],
+    least: float = LEAST,
+    numbered: tuple[dict[str, int], np.ndarray] | None = None,
+    required: dict[str, list[str]] = REQUIRED,
 ) -> list[tuple[str, float, int, int]]:
-    """(license, coverage, first, end in characters) of the best window of each template that reaches `least`."""
+    """(license, coverage, first, end in characters) of every passage that a template covers by `least`, in order."""
     low = text.lower()
     number, wanted = numbered or number_words(templates)
     spans = [m.span() for m in _WORD.finditer(low)]
@@ -193,31 +319,37 @@ def scan(
     codes = np.fromiter((number.get(w, len(number)) for w in words), np.int64, len(words))
     there, often = np.unique(codes, return_counts=True)
     shared = np.minimum(wanted[:, there], often).sum(axis=1)
-    out = []
+    found = []
     for row, (name, template) in enumerate(templates.items()):
         need = max(1, int(np.ceil(least * len(template) - 1e-9)))
         if shared[row] < need:
             continue
-        places = np.flatnonzero(wanted[row][codes])
-        best: tuple[float, int, int] | None = None
-        for a, b in _windows(places, need, 2 * len(template), len(words)):
-            pairs = align(words[a:b], template)
-            if len(pairs) < need:
+        if required.get(name):
+            marks = [number[w] for w in required[name]]
+            if not all((there == m).any() for m in marks):
                 continue
-            cover = len(pairs) / len(template)
-            if best is None or cover > best[0]:
-                best = cover, spans[a + pairs[0][0]][0], spans[a + pairs[-1][0]][1]
-        if len(places) >= need and (best is None or best[0] < 1):
-            pairs = _closest(words, places, template, max(need - 1, round(best[0] * len(template)) if best else 0))
-            if pairs:
-                best = len(pairs) / len(template), spans[pairs[0][0]][0], spans[pairs[-1][0]][1]
-        if best:
-            out.append((name, *best))
-    return out
+            hits = _anchored(words, np.flatnonzero(codes == marks[0]).tolist(), template, required[name], need)
+        else:
+            hits = _copies(words, np.flatnonzero(wanted[row][codes]), template, need)
+        found += [(-len(p), -len(p) / len(template), p[-1][0] - p[0][0], name, p[0][0], p[-1][0]) for p in hits]
+    return sorted(((name, -cover, spans[a][0], spans[b][1]) for _, cover, _, name, a, b in _apart(found)), key=lambda x: x[2:])
+
+
+def _apart(found: list[tuple]) -> list[tuple]:
+    """The best of the spans, and of the others those that share no word with a better one."""
+    kept: list[tuple] = []
+    firsts: list[int] = []
+    for hit in sorted(found):
+        a, b = hit[4:]
+        k = bisect_left(firsts, a)
+        if (k == 0 or kept[k - 1][5] < a) and (k == len(kept) or kept[k][4] > b):
+            kept.insert(k, hit)
+            firsts.insert(k, a)
+    return kept
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
-    """doc_id, license, coverage, start, end of every template found in every row. No shuffle."""
+    """doc_id, license, coverage, start, end of every passage of every row that a template covers. No shuffle."""
     split = {name: _WORD.findall(t.lower()) for name, t in (TEMPLATES if templates is None else templates).items()}
     numbered = number_words(split)
     bounded_batches(docs.sparkSession)
@@ -236,4 +368,5 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of the whole texts of `documents` that a template covers: doc_id, license, coverage, start, end."""
     return scan_licenses(table(spark, sf_dir, "documents"))

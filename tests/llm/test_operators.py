@@ -99,9 +99,56 @@ def test_scan_of_repeated_notices(name, times, between):
     template = licenses._WORD.findall(notice.lower())
     for text in (notice, " ".join(w for k, w in enumerate(notice.split()) if k != 1)):
         joined = filler + (text + " " + "filler " * between) * times + filler
-        (found,) = licenses.scan(joined, {name: template}) or [None]
-        assert found and found[1] >= (1 if text == notice else 1 - 1 / len(template) - 1e-9)
-        assert licenses._WORD.findall(joined[found[2] : found[3]].lower())[0] == template[0]
+        found = licenses.scan(joined, {name: template})
+        assert len(found) == times  # every copy, and nothing between them
+        for hit in found:
+            assert hit[1] >= (1 if text == notice else 1 - 1 / len(template) - 1e-9)
+            assert licenses._WORD.findall(joined[hit[2] : hit[3]].lower())[0] == template[0]
+
+
+def test_notices_of_other_licenses():
+    split = {k: licenses._WORD.findall(v.lower()) for k, v in licenses.TEMPLATES.items()}
+    cases = {
+        "This text is licensed under CC BY 4.0 as it is": ["CC-BY-4.0-notice"],
+        "licensed under CC BY-NC-SA 4.0": ["CC-BY-NC-SA-4.0-notice"],
+        "Released under the Apache License.": [],
+        "Released under the BSD License.": ["BSD-notice"],
+        "Released under the Zope License.": [],
+        "This work is licensed under the GNU General Public License, version 2.": ["GPL-2.0-notice"],
+        "This work is licensed under the GNU Affero General Public License, version 3.": ["AGPL-3.0-notice"],
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.": ["LGPL-2.1-notice"],
+        "Licensed under the Apache License, Version 1.0.": [],
+        "Licensed under the Academic License, version 2.0.": [],
+        "Licensed under the Apache License, Version 2.0. And released under the MIT License.": ["Apache-2.0-notice", "MIT-notice"],
+    }
+    for text, names in cases.items():
+        assert [x[0] for x in licenses.scan("some words " + text + " more words", split)] == names, text
+
+
+def test_spread_templates_are_found():
+    """The words of a long template may lie far apart, in several copies, and in large tables."""
+    grant = licenses.TEMPLATES["MIT-grant"].split()
+    split = {"MIT-grant": licenses._WORD.findall(licenses.TEMPLATES["MIT-grant"].lower())}
+    for between in (1, 3, 40):
+        for times in (1, 2):
+            text = " ".join(w + " foo bar baz"[: 4 * min(between, 3)] + " qux" * max(0, between - 3) for w in grant * times)
+            found = licenses.scan("filler " * 50 + text, split)
+            assert found and found[0][1] == 1.0 and (times == 1 or between > 1 or len(found) == 2)
+
+
+@pytest.mark.parametrize("cells", [1, 40, 10**9])
+def test_halved_tables_have_the_most_common_words(cells, monkeypatch):
+    monkeypatch.setattr(licenses, "CELLS", cells)
+    rng = np.random.default_rng(11)
+    for _ in range(200):
+        a, b = (rng.integers(0, 5, rng.integers(0, 20)).astype(str).tolist() for _ in range(2))
+        pairs = licenses.common_words(a, b)
+        assert len(pairs) == len(licenses.longest_common(a, b)) and all(a[x] == b[y] for x, y in pairs)
+        assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
+def test_scan_of_nothing(spark, odd):
+    assert licenses.scan_licenses(odd.limit(0)).count() == 0
 
 
 def test_scan_of_whole_licenses():
