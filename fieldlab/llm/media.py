@@ -1,9 +1,13 @@
 """Media columns: Netpbm and BMP images as numpy arrays, area-resized tiles and difference hashes.
 
 Images decode to (height, width, channels) uint8 arrays. Area resizing takes the mean of the source area under each
-target cell, edges weighted by what they cover, from one integral image: its cost does not depend on the scale. Tiles
-are stored in NPY form; the difference hash compares neighbours of an 8 x 9 grey tile. `store_payloads` keeps any bytes
-losslessly as 8-bit grey samples of a PGM image.
+target cell, edges weighted by what they cover, from the integral image: its cost does not depend on the scale, and the
+integral is run through in blocks of rows, of which only the rows at cell edges are kept. Tiles are stored in NPY form;
+the difference hash compares neighbours of an 8 x 9 grey tile. `store_payloads` keeps any bytes losslessly as 8-bit grey
+samples of a PGM image, with their tile beside them.
+
+Null texts are empty ones. An image that is null, has no pixels or can't be read has nulls. Repeated rows stay, an empty
+table gives an empty one, equal images have equal features, and a column that has the name of a new one gives way.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from pyspark.sql import functions as F
 from fieldlab.llm.common import bounded_batches, stage, steps, table
 
 UNIT, WIDTH, TILE = 576, 24, 16
+#: Samples of which sums are held at a time.
+BLOCK_SAMPLES = 1_000_000
 _SPACE = re.compile(rb"(?:\s|#[^\n\r]*[\n\r])+")
 
 
@@ -117,26 +123,72 @@ def decode_image(data: bytes) -> np.ndarray:
 # --- resizing and hashes
 
 
-def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean of the source area under each cell of a height x width grid, as floats (height, width, channels)."""
+def _integral_rows(image: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The wanted rows (ascending, from 0) of the integral image, whose row r sums up the r rows above it."""
+    rows, columns, bands = image.shape
+    out = np.zeros((len(wanted), columns + 1, bands))
+    held, block = np.zeros((columns, bands)), max(1, BLOCK_SAMPLES // (columns * bands))
+    for a in range(0, rows, block):
+        sums = np.cumsum(image[a : a + block], axis=0, dtype=np.float64)
+        sums += held
+        first, stop = np.searchsorted(wanted, [a + 1, a + len(sums) + 1])
+        out[first:stop, 1:] = np.cumsum(sums[wanted[first:stop] - a - 1], axis=1)
+        held = sums[-1]
+    return out
+
+
+def area_grids(image: np.ndarray, shapes: list[tuple[int, int]]) -> list[np.ndarray]:
+    """Mean of the source area under each cell of height x width grids, as floats (height, width, channels); one pass."""
     image = image.reshape(*image.shape[:2], -1)
     rows, columns = image.shape[:2]
-    total = np.zeros((rows + 1, columns + 1, image.shape[2]))
-    total[1:, 1:] = np.cumsum(np.cumsum(image, axis=0, dtype=np.float64), axis=1)
+    if not image.size:
+        raise ValueError("an image without pixels")
+
+    def edges(cells: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the cells' edges: a row and the share of the next one."""
+        at = np.arange(cells + 1) * (size / cells)
+        low = np.minimum(at.astype(np.int64), size - 1)
+        return low, at - low
+
+    down = [edges(height, rows) for height, _ in shapes]
+    wanted = np.unique(np.concatenate([x for low, _ in down for x in (low, low + 1)]))
+    total = _integral_rows(image, wanted)
+    out = []
+    for (height, width), (low, part) in zip(shapes, down):
+        above, below = total[np.searchsorted(wanted, low)], total[np.searchsorted(wanted, low + 1)]
+        strips = np.diff(above + (below - above) * part[:, None, None], axis=0)
+        low, part = edges(width, columns)
+        cells = np.diff(strips[:, low] + (strips[:, low + 1] - strips[:, low]) * part[:, None], axis=1)
+        out.append(cells * (height * width / (rows * columns)))
+    return out
+
 
-    def along(edges: np.ndarray, values: np.ndarray) -> np.ndarray:
-        """The integral at fractional rows: linear between its rows."""
-        low = np.minimum(edges.astype(np.int64), len(values) - 2)
-        part = (edges - low).reshape(-1, *[1] * (values.ndim - 1))
-        return values[low] * (1 - part) + values[low + 1] * part
+def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    return area_grids(image, [(height, width)])[0]
 
-    down = np.diff(along(np.arange(height + 1) * (rows / height), total), axis=0)
-    cells = np.diff(along(np.arange(width + 1) * (columns / width), down.transpose(1, 0, 2)), axis=0).transpose(1, 0, 2)
-    return cells * (height * width / (rows * columns))
+
+def _rounded(grid: np.ndarray) -> np.ndarray:
+    return np.clip(np.rint(grid), 0, 255).astype(np.uint8)
+
+
+def _brighter(grid: np.ndarray) -> str:
+    grey = grid.mean(axis=2)
+    return np.packbits(grey[:, 1:] > grey[:, :-1] + 1e-9).tobytes().hex()
 
 
 def tile(image: np.ndarray, side: int = TILE) -> np.ndarray:
-    return np.clip(np.rint(area_resize(image, side, side)), 0, 255).astype(np.uint8)
+    return _rounded(area_resize(image, side, side))
+
+
+def difference_hash(image: np.ndarray) -> str:
+    """16 hex digits: whether each cell of an 8 x 9 grey tile is brighter than its left neighbour."""
+    return _brighter(area_resize(image, 8, 9))
+
+
+def tile_and_hash(image: np.ndarray, side: int = TILE) -> tuple[bytes, str]:
+    """The tile in NPY form and the difference hash, from one integral image."""
+    square, wide = area_grids(image, [(side, side), (8, 9)])
+    return to_npy(_rounded(square)), _brighter(wide)
 
 
 def to_npy(array: np.ndarray) -> bytes:
@@ -145,12 +197,6 @@ def to_npy(array: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def difference_hash(image: np.ndarray) -> str:
-    """16 hex digits: whether each cell of an 8 x 9 grey tile is brighter than its left neighbour."""
-    grey = area_resize(image, 8, 9).mean(axis=2)
-    return np.packbits(grey[:, 1:] > grey[:, :-1] + 1e-9).tobytes().hex()
-
-
 # --- Spark
 
 
@@ -166,7 +212,7 @@ def media_features(media: DataFrame, column: str = "media", side: int = TILE) ->
             for value in batch.column(len(kept)).to_pylist():
                 try:
                     image = decode_image(value or b"")
-                    rows.append((*image.shape[:2], to_npy(tile(image, side)), difference_hash(image)))
+                    rows.append((*image.shape[:2], *tile_and_hash(image, side)))
                 except (ValueError, struct.error):
                     rows.append((None,) * 4)
             new = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.string()))]
@@ -189,35 +235,38 @@ def payload_image(text: str) -> tuple[int, bytes]:
     return len(data), encode_netpbm(np.frombuffer(payload, np.uint8).reshape(-1, WIDTH))
 
 
-def store_payloads(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media of every text, written in the shared folder and read back. Null texts are empty."""
+def store_payloads(docs: DataFrame, side: int = TILE) -> DataFrame:
+    """doc_id, n_bytes, media, tile (NPY bytes), dhash of every text, written in the shared folder and read back."""
     bounded_batches(docs.sparkSession)
+    names = ["doc_id", "n_bytes", "media", "tile", "dhash"]
 
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in steps(texts):
                 made = [payload_image(t) for t in texts[a:b]]
-                sizes, images = pa.array([n for n, _ in made], pa.int64()), pa.array([m for _, m in made], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), sizes, images], names=["doc_id", "n_bytes", "media"])
+                found = [tile_and_hash(decode_image(m), side) for _, m in made]
+                new = [[n for n, _ in made], [m for _, m in made], *zip(*found)]
+                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.string())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *[pa.array(x, t) for x, t in zip(new, kinds)]], names=names)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    made = texts.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    made = texts.mapInArrow(run, "doc_id long, n_bytes long, media binary, tile binary, dhash string")
     return stage(made, "media", compression="zstd")
 
 
-def payload_features(stored: DataFrame, side: int = TILE) -> DataFrame:
-    """Digests and features of stored payloads, all from the decoded image."""
+def payload_features(stored: DataFrame) -> DataFrame:
+    """Digests of stored payloads, from the decoded image, and their feature: width x height, difference hash, and the
+    checksum of the stored tile's samples."""
     bounded_batches(stored.sparkSession)
 
     def run(batches):
         for batch in batches:
             rows = []
-            for media in batch.column(2).to_pylist():
+            for media, small, dhash in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
                 image = decode_image(media)
                 payload = image.tobytes()
-                shape = f"{image.shape[1]}x{image.shape[0]}"
-                small = to_npy(tile(image, side))
+                samples = np.load(io.BytesIO(small), allow_pickle=False)
                 rows.append(
                     (
                         len(payload),
@@ -225,7 +274,7 @@ def payload_features(stored: DataFrame, side: int = TILE) -> DataFrame:
                         zlib.crc32(payload[-32:]),
                         len(media),
                         hashlib.sha256(media).hexdigest(),
-                        f"{shape}:{difference_hash(image)}:{zlib.crc32(small):08x}",
+                        f"{image.shape[1]}x{image.shape[0]}:{dhash}:{zlib.crc32(samples.tobytes()):08x}",
                     )
                 )
             if rows:
@@ -233,7 +282,7 @@ def payload_features(stored: DataFrame, side: int = TILE) -> DataFrame:
                 new = [pa.array(x, t) for x, t in zip(zip(*rows), types)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *new], names=_DIGESTS)
 
-    return stored.mapInArrow(
+    return stored.select("doc_id", "n_bytes", "media", "tile", "dhash").mapInArrow(
         run,
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
         "media_sha256 string, feature string",
@@ -244,4 +293,5 @@ _DIGESTS = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32"
 
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and features of the stored payloads of every whole text of `documents`."""
     return payload_features(store_payloads(table(spark, sf_dir, "documents")))

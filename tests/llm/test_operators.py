@@ -1,6 +1,7 @@
 """The operators against brute force, exact round trips and held-out accuracy, on small tables with awkward rows."""
 
 import hashlib
+import io
 import random
 import re
 import time
@@ -193,6 +194,46 @@ def test_area_resize_is_the_mean():
     assert np.isclose(media.area_resize(image, 5, 7).mean(), image.mean())
 
 
+def brute_grid(image, height, width):
+    """Cell by cell: every sample by the part of it that the cell covers."""
+    rows, columns = image.shape[:2]
+    out = np.zeros((height, width, image.shape[2]))
+    for y, x in np.ndindex(height, width):
+        down = np.clip(np.minimum(np.arange(rows) + 1, (y + 1) * rows / height) - np.maximum(np.arange(rows), y * rows / height), 0, 1)
+        right = np.clip(np.minimum(np.arange(columns) + 1, (x + 1) * columns / width) - np.maximum(np.arange(columns), x * columns / width), 0, 1)
+        out[y, x] = np.einsum("r,c,rcb->b", down, right, image.astype(float)) / (down.sum() * right.sum())
+    return out
+
+
+@pytest.mark.parametrize("block", [1, 50, 10**6])
+def test_grids_in_blocks_equal_brute_force(block, monkeypatch):
+    monkeypatch.setattr(media, "BLOCK_SAMPLES", block)
+    rng = np.random.default_rng(4)
+    for shape in ((1, 1, 1), (3, 5, 3), (24, 24, 1), (97, 24, 1), (40, 7, 3)):
+        image = rng.integers(0, 256, shape, dtype=np.uint8)
+        for got, (h, w) in zip(media.area_grids(image, [(16, 16), (8, 9)]), [(16, 16), (8, 9)]):
+            assert np.allclose(got, brute_grid(image, h, w))
+    with pytest.raises(ValueError):
+        media.area_grids(np.zeros((0, 4, 1), np.uint8), [(8, 9)])
+
+
+def test_stored_tiles(spark, docs):
+    """The tile that was stored is that of the stored image; the query's feature is made of both."""
+    stored = media.store_payloads(docs)
+    rows = {r.doc_id: r for r in stored.collect()}
+    got = {r.doc_id: r.feature for r in media.payload_features(stored).collect()}
+    for doc_id, r in list(rows.items())[:40]:
+        image = media.decode_image(bytes(r.media))
+        small = np.load(io.BytesIO(bytes(r.tile)))
+        want = np.clip(np.rint(brute_grid(image, 16, 16)), 0, 255).astype(np.uint8)
+        grey = brute_grid(image, 8, 9).mean(axis=2)
+        assert small.shape == (16, 16, 1) and (abs(small.astype(int) - want) <= 1).all()
+        assert r.dhash == np.packbits(grey[:, 1:] > grey[:, :-1] + 1e-9).tobytes().hex()
+        assert got[doc_id] == f"24x{image.shape[0]}:{r.dhash}:{zlib.crc32(small.tobytes()):08x}"
+    assert media.payload_features(media.store_payloads(docs.limit(0))).count() == 0
+    assert media.media_features(stored.select("doc_id", "media", "tile", "dhash")).where("tile is null").count() == 0
+
+
 def test_payloads(spark, docs, odd):
     for table in (docs, odd):
         got = Counter((r.doc_id, r.n_bytes, r.payload_sha256, r.tail_crc32) for r in media.payload_features(media.store_payloads(table)).collect())
