@@ -2,7 +2,8 @@
 
 Every match of the split pattern is encoded on its own, special strings are plain text. Texts over SPLIT_CHARS are cut
 at safe boundaries first: before a single space with a non-space on either side, where no match of the pattern can
-reach across. Decoding goes through raw bytes. Null and empty texts have no ids. Work is per row: nothing is shuffled.
+reach across. Decoding goes through raw bytes. Null and empty texts have no ids. Work is per row: nothing is shuffled,
+repeated rows stay, an empty table gives an empty one, and a kept column that has the name of a new one gives way.
 """
 
 from __future__ import annotations
@@ -112,4 +113,5 @@ def encoding_digests(
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text of `documents`, and what they decode to, as digests."""
     return encoding_digests(table(spark, sf_dir, "documents"))

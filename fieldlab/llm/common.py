@@ -58,7 +58,8 @@ def with_text_columns(
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in new]
     schema = StructType([docs.schema[c] for c in kept] + list(fields))
     types = [to_arrow_type(f.dataType) for f in fields]
-    needed = [F.col(f"`{c}`") for c in kept] + [F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text")]
+    read = "text_" + "_" * max((len(c) for c in kept), default=0)  # longer than any name that is kept
+    needed = [F.col(f"`{c}`") for c in kept] + [F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias(read)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,6 +9,9 @@ At most about MAX_TEXTS texts of each language (those of low hashes) are learned
 be bounded (MAX_LANGUAGES; more raise an error). Null texts and texts without a letter are `und` with score 0; so is
 every text if there is nothing to learn from.
 
+A text equally near to several languages gets the first of them by name; repeated rows stay, an empty table gives an
+empty one, and a kept column that has the name of a new one gives way.
+
 A filter by language rejects texts whose cosine is below the one that all but LOW_QUANTILE of the learned texts reach.
 """
 
@@ -220,6 +223,7 @@ def identify(docs: DataFrame, profiles: Profiles, keep: list[str] | None = None)
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every whole text of `documents`, learned from the texts that are not held out."""
     docs = table(spark, sf_dir, "documents")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     return identify(docs, learn_profiles(docs), ["doc_id"]).select(

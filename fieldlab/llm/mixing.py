@@ -9,7 +9,8 @@ runs out is the boundary, and only its documents are summed again by the next bi
 used. No document is sorted, and a hot source is summed in each task first. The document at the threshold gives the
 words that are left; rows that are equal in doc_id and text share the threshold and what is left there evenly.
 
-Sizes are words of `[^\\x20\\x09-\\x0D]+`; a null text has none. An empty table gives an empty one.
+Sizes are words of `[^\\x20\\x09-\\x0D]+`; a null text has none. An empty table gives an empty one. `mix_sizes` reads
+doc_id, source and text only; `mix_documents` carries all columns of the input in one struct, so no name clashes.
 """
 
 from __future__ import annotations
@@ -160,6 +161,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mix_sizes of the table `documents`."""
     return mix_sizes(table(spark, sf_dir, "documents"))
 
 

@@ -17,7 +17,9 @@ reach by the metric are done, what remains is compared block against block. Only
 
 Words are runs of ASCII letters, digits and other bytes beyond ASCII, in lower case. A text of one to four words has one
 shingle of them all; texts without words are duplicates of equal texts only. Null texts are empty. Rows may repeat or
-have null doc_ids; class_id is the smallest doc_id of a class, null if it has none.
+have null doc_ids; class_id is the smallest doc_id of a class, null if it has none. Of several rows that could stay, the
+one of the smallest doc_id does (null first). An empty table gives an empty one. `near_duplicates` reads doc_id and text
+only; `keep_first` carries all columns of its input in one struct, so no name clashes.
 """
 
 from __future__ import annotations
@@ -492,11 +494,13 @@ def keep_first(docs: DataFrame) -> DataFrame:
     gone = stage(marked.where("not stays").select("__doc", "__node").distinct(), "gone")
     again = marked.where("stays").groupBy("__doc", "__node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     on = F.col("__own").eqNullSafe(F.col("__node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__doc"))
-    kept = docs.withColumn("__own", _node()).join(_few(gone, gone.count()), on, "left_anti")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    kept = docs.select(row, F.col("doc_id"), _node().alias("__own")).join(_few(gone, gone.count()), on, "left_anti")
     if again.take(1):  # rows that occur more than once stay once
         kept = kept.dropDuplicates(["doc_id", "__own"])
-    return kept.select(*docs.columns)
+    return kept.select("row.*")
 
 
 def op10_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates of the table `documents`."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -14,7 +14,8 @@ almost nothing. Documents may start inside a chunk. Where a segment starts withi
 part starts is the sum of the parts before it, a few numbers for the whole store.
 
 Null and empty texts become the end id alone. Null doc_ids come first; rows of equal doc_id are ordered by text, and
-repeated rows are stored as often as they occur. An empty table gives a store without segments.
+repeated rows are stored as often as they occur. An empty table gives a store without segments. Of the input only doc_id
+and text are read, so other columns, of whatever names, don't matter.
 """
 
 from __future__ import annotations
@@ -288,7 +289,8 @@ def write_store(
             yield close()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    ordered = texts.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
+    # the beginning of the text parts the rows of a doc_id that occurs very often
+    ordered = texts.repartitionByRange(F.col("doc_id"), F.substring("text", 1, 64)).sortWithinPartitions("doc_id", "text")
     return stage(ordered.mapInArrow(run, SEGMENTS), "segments", compression="none")
 
 
@@ -347,4 +349,5 @@ def read_ids(store: DataFrame) -> DataFrame:
 
 
 def op1_plane_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store of every whole text of `documents`, written and read back."""
     return read_documents(write_store(table(spark, sf_dir, "documents")))

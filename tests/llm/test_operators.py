@@ -458,3 +458,35 @@ def test_near_classes(spark, docs, odd, monkeypatch):
         texts.append(" ".join(words))
     got = rows_of(near_dups.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
     assert [x.class_id for x in got] == brute_classes(texts)
+
+
+def test_recall_of_near_pairs(spark):
+    """Documents whose id is divisible by 50 against all documents: pairs of an overlap of 0.8 or more share a class."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    found = {r.doc_id: r.class_id for r in near_dups.near_duplicates(rows).collect()}
+    bags = {r.doc_id: bag(r.text or "") for r in rows.collect()}
+    sizes = {k: sum(b.values()) for k, b in bags.items()}
+    want = []
+    for a in (k for k in bags if k % 50 == 0):
+        for b in bags:
+            if a != b and 5 * min(sizes[a], sizes[b]) >= 4 * max(sizes[a], sizes[b]) > 0:
+                shared = sum((bags[a] & bags[b]).values())
+                if 5 * shared >= 4 * (sizes[a] + sizes[b] - shared):
+                    want.append((a, b))
+    assert want and sum(found[a] == found[b] for a, b in want) >= 0.9 * len(want)
+
+
+def test_clashing_columns_and_nothing(spark, docs):
+    """Columns named as an operator's own, in any case, and empty tables."""
+    names = ["__own", "__text", "row", "size", "hash", "key", "cut", "taken", "node", "media", "Ids", "N_tokens", "lang_pred"]
+    wide = docs.limit(60).withColumns({n: F.lit("x") for n in names})
+    assert near_dups.keep_first(wide).columns == wide.columns
+    mixed = mixing.mix_documents(wide)
+    assert mixed.columns == wide.columns and {r[0] for r in mixed.select("key").distinct().collect()} == {"x"}
+    profiles = language.learn_profiles(docs)
+    assert language.keep_known(wide, profiles).columns == wide.columns
+    assert language.identify(wide, profiles).where("lang_pred = 'x'").count() == 0
+    assert byte_bpe.encode_documents(wide).count() == token_counts.count_tokens(wide, keep=None).count() == 60
+    none = wide.limit(0)
+    for got in (near_dups.keep_first(none), near_dups.near_duplicates(none), mixing.mix_documents(none), language.keep_known(none, profiles), byte_bpe.encoding_digests(none), token_counts.count_tokens(none), language.op8_language, quality.quality_scores(none, None)):
+        assert callable(got) or got.count() == 0
