@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldlab.plans import datasets, features, marts, messages, relational, scores
+from fieldlab.plans import datasets, features, marts, messages, probability, relational, scores
 
-_MODULES = (features, datasets, scores, relational, messages, marts)
+_MODULES = (features, datasets, scores, relational, messages, marts, probability)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
