@@ -62,10 +62,15 @@ def intent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of names of parts (the catalogue) that occur in documents' first lines: an equi join of exploded tokens."""
-    parts = table(spark, sf_dir, "part").select(F.explode(tokens(F.col("p_name"))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("parts"))
+    """Catalogue entities that documents name. The catalogue is made of the tables: the first words of the benchmark's
+    passages (names of six letters and more), and brands and kinds of parts; a name has the score .99. Words of whole texts
+    and names meet by an equi join; the catalogue is sent out only where it has been counted small."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).where("length(token) >= 6")
+    parts = table(spark, sf_dir, "part").select(F.explode(F.array_distinct(tokens(F.concat_ws(" ", "p_brand", "p_type")))).alias("token"))
+    names = words.unionByName(parts).groupBy("token").agg(F.count(F.lit(1)).alias("named"))
+    names = F.broadcast(names) if names.count() <= 100_000 else names
     docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
-    return docs.join(parts, "token").select("doc_id", "token", "parts")
+    return docs.join(names, "token").select("doc_id", "token", "named", F.lit(0.99).alias("score"))
 
 
 def lev_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,11 +122,13 @@ def lev_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last number and year said so far in a conversation, carried on through turns; a turn without tokens starts
-    anew."""
+    """The last number and year said so far in a conversation, carried on through turns; a turn without tokens, or that says
+    "stop", "reset" or "start over" as words, starts anew."""
     rows = message_extractors(spark, sf_dir)
+    stops = _messages(spark, sf_dir).select("conv_id", "turn", F.lower(F.coalesce("text", F.lit(""))).rlike(r"\b(stop|reset|start over)\b").alias("stops"))
+    rows = rows.join(stops, ["conv_id", "turn"])
     turn = Window.partitionBy("conv_id").orderBy("turn")
-    segment = F.sum(F.when(F.col("n_tokens") == 0, 1).otherwise(0)).over(turn)
+    segment = F.sum(F.when((F.col("n_tokens") == 0) | F.col("stops"), 1).otherwise(0)).over(turn)
     held = Window.partitionBy("conv_id", "segment").orderBy("turn")
     return rows.withColumn("segment", segment).select(
         "conv_id", "turn", F.last("number", ignorenulls=True).over(held).alias("number"), F.last("year", ignorenulls=True).over(held).alias("year"), F.row_number().over(held).alias("turns")
@@ -150,8 +157,8 @@ ORACLE_SQL = {
         w AS (SELECT conv_id, turn, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))) AS token FROM conversations),
         s AS (SELECT conv_id, turn, intent, sum(weight) AS weight FROM w JOIN r USING (token) GROUP BY 1, 2, 3), p AS (SELECT *, 1 - exp(-weight / 10) AS score FROM s)
         SELECT conv_id, turn, intent, round(score, 6) AS score, row_number() OVER t::INT AS place, round(score - lead(score) OVER t, 6) AS margin FROM p WINDOW t AS (PARTITION BY conv_id, turn ORDER BY weight DESC, intent)""",
-    "exact_entities": """WITH p AS (SELECT unnest(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS token FROM part), c AS (SELECT token, count(*) AS parts FROM p GROUP BY 1),
-        d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))) AS token FROM documents) SELECT doc_id, token, parts FROM d JOIN c USING (token)""",
+    "exact_entities": """WITH p AS (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS token FROM benchmark), q AS (SELECT token FROM p WHERE length(token) >= 6 UNION ALL SELECT unnest(list_distinct(regexp_extract_all(lower(p_brand || ' ' || p_type), '[a-z0-9]+'))) FROM part),
+        c AS (SELECT token, count(*) AS named FROM q GROUP BY 1), d AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+'))) AS token FROM documents) SELECT doc_id, token, named, 0.99::DOUBLE AS score FROM d JOIN c USING (token)""",
     "lev_match": """WITH n AS (SELECT DISTINCT p_name FROM part), a AS (SELECT DISTINCT substr(p_name, 1, 2) || substr(p_name, 4, 1000) AS asked, substr(p_name, 1, 2) AS block FROM n),
         p AS (SELECT asked, p_name, 1 - levenshtein(asked, p_name) / greatest(length(asked), length(p_name)) AS score FROM a JOIN n ON substr(p_name, 1, 2) = block),
         r AS (SELECT *, row_number() OVER w AS place, score - lead(score) OVER w AS margin FROM p WINDOW w AS (PARTITION BY asked ORDER BY score DESC, p_name))
@@ -161,7 +168,7 @@ ORACLE_SQL = {
         p AS (SELECT asked, p_name, levenshtein(asked, p_name) AS d, greatest(length(asked), length(p_name)) AS longer FROM a CROSS JOIN n WHERE asked <> ''),
         r AS (SELECT asked, p_name, 1 - d / longer AS score FROM p WHERE 10 * d <= 3 * longer), o AS (SELECT *, row_number() OVER w AS place, score - lead(score) OVER w AS margin FROM r WINDOW w AS (PARTITION BY asked ORDER BY score DESC, p_name))
         SELECT asked, p_name, round(score, 6) AS score, round(coalesce(margin, 1), 6) AS margin FROM o WHERE place = 1""",
-    "conversation_state": f"""WITH {_X}, g AS (SELECT *, sum((n_tokens = 0)::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS segment FROM x)
+    "conversation_state": f"""WITH {_X}, y AS (SELECT conv_id, turn, regexp_matches(lower(coalesce(text, '')), '\\b(stop|reset|start over)\\b') AS stops FROM conversations), g AS (SELECT *, sum((n_tokens = 0 OR stops)::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS segment FROM x JOIN y USING (conv_id, turn))
         SELECT conv_id, turn, last_value(number IGNORE NULLS) OVER w AS number, last_value(year IGNORE NULLS) OVER w AS year, row_number() OVER w::INT AS turns FROM g WINDOW w AS (PARTITION BY conv_id, segment ORDER BY turn)""",
     "learning_signals": f"""WITH {_X}, i AS (SELECT conv_id, turn, CASE WHEN guarded THEN 20 ELSE least(35 + (number IS NOT NULL)::INT * 10 + (question_type <> 'other')::INT * 10 + (n_tokens > 20)::INT * 5, 95) END::INT AS importance,
         [CASE WHEN number IS NOT NULL THEN 'number' END, CASE WHEN question_type <> 'other' THEN 'question' END, CASE WHEN guarded THEN 'guarded' END] AS s FROM x)

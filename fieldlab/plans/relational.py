@@ -90,10 +90,9 @@ def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = table(spark, sf_dir, "customer")
     new = _snapshot(old).select("c_custkey", F.col("c_acctbal").alias("n_bal"), F.lower("c_mktsegment").alias("n_seg"))
     both = old.join(new, "c_custkey")
-    text = lambda c: F.col(c).cast("string")
     fields = F.array(
-        F.struct(F.lit("c_acctbal").alias("field"), F.round("c_acctbal", 2).alias("a"), F.round("n_bal", 2).alias("b"), (F.col("c_acctbal") == F.col("n_bal")).alias("same")),
-        F.struct(F.lit("c_mktsegment").alias("field"), F.length(text("c_mktsegment")).cast("double").alias("a"), F.length(text("n_seg")).cast("double").alias("b"), (F.upper("c_mktsegment") == F.upper("n_seg")).alias("same")),
+        F.struct(F.lit("c_acctbal").alias("field"), F.format_number("c_acctbal", 2).alias("a"), F.format_number("n_bal", 2).alias("b"), (F.col("c_acctbal") == F.col("n_bal")).alias("same")),
+        F.struct(F.lit("c_mktsegment").alias("field"), F.col("c_mktsegment").alias("a"), F.col("n_seg").alias("b"), (F.upper("c_mktsegment") == F.upper("n_seg")).alias("same")),
     )
     return both.select("c_custkey", F.explode(F.filter(fields, lambda x: ~x["same"])).alias("x")).select("c_custkey", "x.field", F.col("x.a").alias("before"), F.col("x.b").alias("after"))
 
@@ -128,12 +127,12 @@ def coverage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and mean by type, by user and over all in one pass of grouping sets."""
-    table(spark, sf_dir, "events").createOrReplaceTempView("__events_breakdown")
-    return spark.sql(
-        """SELECT coalesce(event_type, 'all') AS event_type, coalesce(user_id, -1) AS user_id, count(*) AS n, round(avg(value), 4) AS mean
-        FROM __events_breakdown GROUP BY GROUPING SETS ((event_type), (user_id), ())"""
+    """Counts and mean by type, by user and over all in one pass of grouping sets; `level` tells which a row is of."""
+    rows = table(spark, sf_dir, "events")
+    found = rows.groupingSets([["event_type"], ["user_id"], []], "event_type", "user_id").agg(
+        F.grouping_id().cast("int").alias("level"), F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean")
     )
+    return found.select("event_type", "user_id", "level", "n", "mean")
 
 
 def token_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,8 +207,8 @@ ORACLE_SQL = {
         UNION ALL SELECT 'user_without_customer', count(*), count(DISTINCT user_id) FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)""",
     "duplicate_audit": "SELECT p_name, count(*) AS n, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS keys FROM part GROUP BY 1 HAVING count(*) > 1",
     "reconcile": f"""WITH {_NEW}, j AS (SELECT o.c_custkey, o.c_acctbal AS ob, n.c_acctbal AS nb, o.c_mktsegment AS os, n.c_mktsegment AS ns FROM customer o JOIN new n USING (c_custkey))
-        SELECT c_custkey, 'c_acctbal' AS field, round(ob, 2) AS before, round(nb, 2) AS after FROM j WHERE ob <> nb
-        UNION ALL SELECT c_custkey, 'c_mktsegment', length(os)::DOUBLE, length(ns)::DOUBLE FROM j WHERE upper(os) <> upper(ns)""",
+        SELECT c_custkey, 'c_acctbal' AS field, format('{{:,.2f}}', ob) AS before, format('{{:,.2f}}', nb) AS after FROM j WHERE ob <> nb
+        UNION ALL SELECT c_custkey, 'c_mktsegment', os, lower(ns) FROM j WHERE upper(os) <> upper(ns)""",
     "drift": f"""WITH {_NEW}, d AS (SELECT 'old' AS side, c_custkey, c_name, c_mktsegment FROM customer UNION ALL SELECT 'new', c_custkey, c_name, c_mktsegment FROM new),
         h AS (SELECT side, ('0x' || substr(md5(concat_ws('|', c_custkey, c_name, c_mktsegment)), 1, 8))::BIGINT AS x FROM d)
         SELECT (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM new)) AS missing, (SELECT min(c_custkey) FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM new)) AS first_missing,
@@ -219,7 +218,7 @@ ORACLE_SQL = {
         h AS (SELECT *, greatest((epoch(TIMESTAMP '{AS_OF}') - floor(epoch(newest))) / 3600, 0) AS x FROM t)
         SELECT name, newest, n, round(x, 4) AS hours, CASE WHEN n = 0 THEN 'empty' WHEN x <= 36 THEN 'current' WHEN x <= 96 THEN 'stale' ELSE 'critical' END AS state FROM h""",
     "coverage_audit": """SELECT c_nationkey, count(*) AS eligible, count(*) FILTER (c_custkey IN (SELECT o_custkey FROM orders)) AS covered, round(covered / eligible, 6) AS share, covered / eligible >= 0.6 AS passes FROM customer GROUP BY 1""",
-    "event_breakdown": "SELECT coalesce(event_type, 'all') AS event_type, coalesce(user_id, -1) AS user_id, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY GROUPING SETS ((event_type), (user_id), ())",
+    "event_breakdown": "SELECT event_type, user_id, grouping_id(event_type, user_id)::INT AS level, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY GROUPING SETS ((event_type), (user_id), ())",
     "token_search": """SELECT p_partkey, p_name, p_type FROM part WHERE (contains(lower(p_name), 'red') OR contains(lower(p_type), 'red') OR contains(lower(p_brand), 'red'))
         AND (contains(lower(p_name), 'e') OR contains(lower(p_type), 'e') OR contains(lower(p_brand), 'e'))""",
     "ranked_search": """SELECT p_partkey, p_name, score FROM (SELECT p_partkey, p_name, CASE WHEN lower(p_name) = 'ring' THEN 100 WHEN list_contains(string_split(lower(p_name), ' '), 'ring') THEN 90

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +11,58 @@ from pyspark.sql import functions as F
 NULLS = ("", "nan", "none", "null", "n/a", "--")
 
 
+def list_csv(spark: SparkSession, paths: list[str], recursive: bool = True) -> DataFrame:
+    """path, size and header (as it stands) of every CSV file below the paths; only each file's beginning is looked at."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", recursive).load(paths)
+    head = F.substring_index(F.decode(F.substring("content", 1, 65_536), "utf-8"), "\n", 1)
+    return files.select("path", F.col("length").alias("size"), F.regexp_replace(head, "[\\r\ufeff]", "").alias("header"))
+
+
 def scan_csv(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Every value a string, no inference, columns without a name dropped, the file kept as `source_file`."""
-    rows = spark.read.option("header", True).option("inferSchema", False).csv(paths)
-    return rows.select(*[F.col(f"`{c}`") for c in rows.columns if c.strip() and not c.startswith("_c")], F.col("_metadata.file_name").alias("source_file"))
+    """Every value a string, no inference, columns without a name dropped, the file kept as `source_file`. Files are read
+    by header: those of one header together, then all of them under the union of their names (null where a file lacks
+    one). The driver sees a path and a header for each file."""
+    groups: dict[str, list[str]] = {}
+    for r in list_csv(spark, paths).select("path", "header").collect():
+        groups.setdefault(r.header, []).append(r.path)
+    parts = []
+    for _, files in sorted(groups.items()):
+        rows = spark.read.option("header", True).option("inferSchema", False).csv(files)
+        named = [F.col(f"`{c}`") for c in rows.columns if c.strip() and not c.startswith("_c")]
+        parts.append(rows.select(*named, F.col("_metadata.file_name").alias("source_file")))
+    if not parts:
+        return spark.createDataFrame([], "source_file string")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def preflight(spark: SparkSession, paths: list[str], rules: dict[str, tuple[list[str], list[str]]]) -> DataFrame:
+    """A row for each file: name, size, columns, rows, and its category with the score, the second score and the gap."""
+    files = list_csv(spark, paths).select(F.element_at(F.split("path", "/"), -1).alias("source_file"), "size", F.size(F.split("header", ",")).alias("columns"))
+    return files.join(classify_files(spark, paths, rules), "source_file", "left")
+
+
+def load_with_log(rows: DataFrame, mapping: dict[str, tuple[list[str], str]], required: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(loaded, quarantine, log): typed rows that have all required values, those that lack one with the names of what they
+    lack, and a row for each file: seen, inserted, skipped, status."""
+    typed = typed_load(rows, mapping, ["source_file"])
+    lacks = F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in required]))
+    marked = typed.withColumn("lacks", lacks)
+    log = marked.groupBy("source_file").agg(F.count(F.lit(1)).alias("rows_seen"), F.count_if(F.size("lacks") == 0).alias("rows_inserted"), F.count_if(F.size("lacks") > 0).alias("rows_skipped"))
+    status = F.when(F.col("rows_inserted") > 0, "completed").otherwise("failed")
+    return marked.where("size(lacks) = 0").drop("lacks"), marked.where("size(lacks) > 0"), log.withColumn("status", status)
+
+
+#: Typed loads of the seven metric tables: target column, its aliases in the exports, and the kind of value.
+_WHO = {"player_id": (["player_id", "mlb_player_id", "id"], "int"), "name": (["player_name", "name", "last_name,_first_name"], "text"), "season": (["year", "season"], "int")}
+METRIC_TABLES: dict[str, dict[str, tuple[list[str], str]]] = {
+    "percentiles": _WHO | {k: ([k], "int") for k in ("xwoba", "xba", "xslg", "exit_velocity", "hard_hit_percent", "barrel_percent")},
+    "batted_ball": _WHO | {k: ([k, f"{k}_rate", f"{k}_percent"], "rate") for k in ("gb", "air", "fb", "ld", "pu", "pull", "straight", "oppo")},
+    "stance": _WHO | {"side": (["side", "bat_side"], "text"), "depth": (["avg_batter_y_position"], "number"), "stance_angle": (["avg_stance_angle"], "number")},
+    "home_runs": _WHO | {"home_runs": (["hr_total", "hr"], "int"), "expected": (["xhr"], "number"), "no_doubters": (["no_doubters", "no_doubter"], "int")},
+    "advanced_batting": _WHO | {"pa": (["pa"], "int"), "woba": (["woba"], "number"), "k_rate": (["k_percent", "k%"], "rate"), "bb_rate": (["bb_percent", "bb%"], "rate")},
+    "tempo": _WHO | {"median_seconds_empty": (["median_seconds_empty"], "number"), "median_seconds_onbase": (["median_seconds_onbase"], "number"), "pitches": (["total_pitches"], "int")},
+    "team_discipline": {"team": (["team", "team_name"], "text"), "season": (["year", "season"], "int"), "zone_rate": (["zone_percent", "zone%"], "rate"), "chase_rate": (["chase_percent", "oz_swing_percent"], "rate")},
+}
 
 
 def clean_text(c: Column) -> Column:
@@ -44,30 +94,39 @@ def clean_name(name: str) -> str:
     return out.replace("(", "").replace(")", "").replace("__", "_")
 
 
-def typed_load(rows: DataFrame, mapping: dict[str, tuple[list[str], str]]) -> DataFrame:
+def typed_load(rows: DataFrame, mapping: dict[str, tuple[list[str], str]], keep: list[str] | None = None) -> DataFrame:
     """Target columns from the first non-missing of their aliases; kinds: text, int, number, rate. The row itself stays as
-    JSON in raw_json."""
+    JSON in raw_json, and the columns in `keep` as they are."""
     clean = {"text": clean_text, "int": clean_int, "number": clean_number, "rate": clean_rate}
     known = {clean_name(c): c for c in rows.columns}
     out = []
     for target, (aliases, kind) in mapping.items():
         found = [clean[kind](F.col(f"`{known[clean_name(a)]}`")) for a in aliases if clean_name(a) in known]
-        out.append((F.coalesce(*found) if found else F.lit(None)).alias(target))
-    return rows.select(*out, F.to_json(F.struct("*")).alias("raw_json"))
+        none = F.lit(None).cast({"text": "string", "int": "long"}.get(kind, "double"))
+        out.append((F.coalesce(*found) if found else none).alias(target))
+    return rows.select(*(keep or []), *out, F.to_json(F.struct("*")).alias("raw_json"))
 
 
-def classify_files(rows: DataFrame, rules: dict[str, tuple[list[str], list[str]]]) -> DataFrame:
-    """The best category of each file: name patterns (equal 100, start 70, inside 50) and 10 for each known header."""
-    header = [clean_name(c) for c in rows.columns if c != "source_file"]
+def classify_files(spark: SparkSession, paths: list[str], rules: dict[str, tuple[list[str], list[str]]]) -> DataFrame:
+    """The best category of each file: name patterns (equal 100, start 70, inside 50), 10 for each known name in its own
+    header, 150 where it has all of a category's; with the second score and the gap to it, and the file's rows."""
+    header = F.transform(F.split("header", ","), lambda c: F.trim(F.regexp_replace(c, '"', "")))
+    plain = lambda c: F.regexp_replace(F.translate(F.lower(c), "- .()", "___"), "__", "_")
+    names = F.transform(header, plain)
     stem = F.regexp_replace(F.lower("source_file"), r"\.csv$", "")
     scores = []
     for category, (patterns, signals) in rules.items():
-        score = F.lit(10 * len(set(header) & set(signals)))
+        met = F.size(F.array_intersect(names, F.array(*[F.lit(s) for s in signals]).cast("array<string>")))
+        score = 10 * met + F.when((met == len(set(signals))) & (met > 1), 150).otherwise(0)
         for p in patterns:
             score = score + F.when(stem == p, 100).when(stem.startswith(p), 70).when(F.contains(stem, F.lit(p)), 50).otherwise(0)
         scores.append(F.struct(score.alias("score"), F.lit(category).alias("category")))
-    ranked = F.sort_array(F.array(*scores), asc=False)
-    files = rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("rows_seen")).withColumn("ranked", ranked)
-    best = F.col("ranked")[0]
+    counted = scan_csv(spark, paths).groupBy("source_file").agg(F.count(F.lit(1)).alias("rows_seen"))
+    files = list_csv(spark, paths).select(F.element_at(F.split("path", "/"), -1).alias("source_file"), "header")
+    ranked = files.withColumn("ranked", F.sort_array(F.array(*scores), asc=False)).join(counted, "source_file", "left")
+    best, second = F.col("ranked")[0], F.coalesce(F.get("ranked", F.lit(1))["score"], F.lit(0))
     confidence = F.when(best["score"] >= 150, "very_high").when(best["score"] >= 90, "high").when(best["score"] >= 50, "medium").when(best["score"] > 0, "low").otherwise("none")
-    return files.select("source_file", "rows_seen", best["category"].alias("category"), best["score"].alias("score"), confidence.alias("confidence"))
+    return ranked.select(
+        "source_file", F.coalesce("rows_seen", F.lit(0)).alias("rows_seen"), best["category"].alias("category"), best["score"].alias("score"), confidence.alias("confidence"),
+        second.alias("second_score"), (best["score"] - second).alias("gap"),
+    )

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from fieldlab.operators.merge import upsert
+from fieldlab.operators.merge import one_per_key, upsert
 
 EXPIRY = pd.Timedelta(hours=24)
 
@@ -42,21 +43,59 @@ def carry_entities(messages: DataFrame) -> DataFrame:
     )
 
 
-def upsert_feed(updates: DataFrame, target_path: str, keys: list[str], checkpoint: str) -> StreamingQuery:
-    """Applies every batch to the Parquet table at target_path, version by version; a batch that runs again writes its
-    version anew, so the result is the same. Rows of one key in a batch: the last by all columns counts."""
+def upsert_feed(updates: DataFrame, target_path: str, keys: list[str], checkpoint: str, last: list[str] | None = None, parts: int = 16) -> StreamingQuery:
+    """Merges every batch into a Parquet table at target_path/v<batch>, in `parts` partitions of the key's hash. Only
+    partitions that a batch touches are written; the others are named by the version's list of where each lies, so a batch
+    costs what it touches. A batch that runs again writes its version anew, with the same rows; the version before it is
+    the newest that is complete, whatever its number. Of several rows of one key the one that `last` orders highest
+    counts. The driver keeps a list of `parts` short paths; files that no version names any more are the caller's to clear."""
+    slot = lambda df: df.withColumn("__part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int"))
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rest = [c for c in batch.columns if c not in keys]
-        latest = batch.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("x")).select(*keys, *[F.col(f"x.{c}").alias(c) for c in rest])
-        if number:
-            latest = upsert(spark.read.parquet(f"{target_path}/v{number - 1}"), latest, keys)
-        latest.write.mode("overwrite").parquet(f"{target_path}/v{number}")
+        places = _places(spark, target_path, number)
+        fresh = slot(batch).persist()
+        try:
+            for k in sorted(r["__part"] for r in fresh.select("__part").distinct().collect()):
+                rows = one_per_key(fresh.where(F.col("__part") == k).drop("__part"), keys, last)
+                if k in places:
+                    rows = upsert(spark.read.parquet(places[k]), rows, keys, last)
+                path = f"{target_path}/data/v{number}-{k}"
+                rows.write.mode("overwrite").parquet(path)
+                places[k] = path
+        finally:
+            fresh.unpersist()
+        spark.createDataFrame(sorted(places.items()), "part int, path string").coalesce(1).write.mode("overwrite").parquet(f"{target_path}/versions/v{number}")
 
     return updates.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _places(spark: SparkSession, target_path: str, before: int) -> dict[int, str]:
+    """Where each partition of the newest version before `before` lies; a version is one file, moved into place at its end."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+    try:
+        done = files.load(f"{target_path}/versions").select(F.regexp_extract("path", r"/v(\d+)/", 1).cast("int").alias("v")).where(F.col("v") < before).agg(F.max("v")).first()[0]
+    except AnalysisException:  # no version yet
+        return {}
+    return {} if done is None else {r.part: r.path for r in spark.read.parquet(f"{target_path}/versions/v{done}").collect()}
+
+
+def read_feed(spark: SparkSession, target_path: str) -> DataFrame:
+    """The newest complete version of a table that upsert_feed writes."""
+    return spark.read.parquet(*_places(spark, target_path, 1 << 31).values())
+
+
+def split_late(records: DataFrame, as_of: Column, policy: str = "drop") -> tuple[DataFrame, DataFrame]:
+    """(kept, late): records of strictly earlier times and the others. Policies: "drop" and "warn" give both tables (the
+    second marks them for a side output), "error" raises where there is a late one. Null times are kept."""
+    if policy not in ("drop", "warn", "error"):
+        raise ValueError(f"no policy {policy}")
+    late = F.coalesce(F.col("ts") >= as_of, F.lit(False))
+    if policy == "error" and records.where(late).take(1):
+        raise ValueError("records at or after their time of use")
+    return records.where(~late), records.where(late).withColumn("warning", F.lit(policy == "warn"))
+
+
 def feedback_metrics(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Count and mean value by window and type; works on streams (late rows within the watermark count) and tables."""
     marked = events.withWatermark("ts", late) if events.isStreaming else events

@@ -51,7 +51,7 @@ def test_csv_scan_and_types(spark, tmp_path):
     assert rows.columns == ["Name", "Hard Hit %", "PA", "source_file"]
     got = exports.typed_load(rows, {"name": (["player", "name"], "text"), "rate": (["hard_hit_%"], "rate"), "pa": (["pa"], "int")}).orderBy("name").collect()
     assert [(r.name, r.rate, r.pa) for r in got] == [("Ada", 0.45, 1200), ("Bo", None, None)]
-    best = exports.classify_files(rows, {"exit": (["exit_velocity"], ["pa"]), "tempo": (["tempo"], [])}).first()
+    best = exports.classify_files(spark, [str(tmp_path)], {"exit": (["exit_velocity"], ["pa"]), "tempo": (["tempo"], [])}).first()
     assert (best.category, best.score, best.rows_seen, best.confidence) == ("exit", 110, 2, "high")
 
 
@@ -60,7 +60,9 @@ def test_upsert_stream(spark, tmp_path):
         spark.createDataFrame(rows, "id int, v string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = spark.readStream.schema("id int, v string").parquet(str(tmp_path / "in"))
         feeds.upsert_feed(stream, str(tmp_path / "out"), ["id"], str(tmp_path / "cp")).awaitTermination(60)
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out/v1")).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    assert sorted(map(tuple, feeds.read_feed(spark, str(tmp_path / "out")).collect())) == [(1, "a"), (2, "c"), (3, "d")]
+    fresh = spark.createDataFrame([(3, "a", 9), (3, "z", 1)], "id int, v string, at int")
+    assert {r.id: r.v for r in upsert(spark.createDataFrame([(3, "q")], "id int, v string"), fresh, ["id"], ["at"]).collect()} == {3: "a"}
 
 
 def test_conversation_stream(spark, tmp_path):
@@ -72,3 +74,48 @@ def test_conversation_stream(spark, tmp_path):
     out.awaitTermination(90)
     got = sorted((r.conv_id, r.turn, r.entity) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == [(1, 0, "x"), (1, 1, "x"), (1, 2, None), (2, 0, "y"), (2, 1, None)]
+
+
+def test_upsert_keeps_what_the_source_lacks(spark):
+    old = spark.createDataFrame([(1, "a", 5, True), (None, "n", 6, False)], "id int, name string, x int, is_active boolean")
+    new = spark.createDataFrame([(1, "b"), (None, "m"), (7, "c")], "id int, name string")
+    assert sorted(map(tuple, upsert(old, new, ["id"]).collect()), key=str) == sorted([(1, "b", 5, True), (None, "m", 6, False), (7, "c", None, None)], key=str)
+    assert {r.id: r.action for r in classify(old, new, ["id"]).collect()} == {1: "updated", None: "updated", 7: "created"}
+    assert {r.id: r.is_active for r in deactivate_absent(old, new.where("id is not null"), ["id"]).collect()} == {1: True, None: False}
+    assert {r.id: r.is_active for r in deactivate_absent(old, new, ["id"]).collect()} == {1: True, None: False}
+
+
+def test_csv_files_of_three_headers(spark, tmp_path):
+    (tmp_path / "percentile_rankings_2024.csv").write_text("player_id,player_name,xwoba,xba\n1,Ada,90,80\n,Bo,1,2\n")
+    (tmp_path / "pitch_tempo.csv").write_text("name,id,total_pitches\nCy,3,10\n")
+    (tmp_path / "other.csv").write_text("xba,player_name\n7,Di\n")
+    rows = exports.scan_csv(spark, [str(tmp_path)])
+    got = {r.source_file: r for r in rows.where("coalesce(player_name, name) <> 'Bo'").collect()}
+    assert (got["pitch_tempo.csv"].id, got["pitch_tempo.csv"]["name"], got["other.csv"].xba, got["other.csv"].player_name) == ("3", "Cy", "7", "Di")
+    rules = {"percentiles": (["percentile_rankings"], ["xwoba", "xba"]), "tempo": (["pitch_tempo", "tempo"], ["total_pitches"])}
+    found = {r.source_file: r for r in exports.preflight(spark, [str(tmp_path)], rules).collect()}
+    assert {k: (r.category, r.rows_seen, r.columns) for k, r in found.items()} == {"percentile_rankings_2024.csv": ("percentiles", 2, 4), "pitch_tempo.csv": ("tempo", 1, 3), "other.csv": ("percentiles", 1, 2)}
+    assert found["percentile_rankings_2024.csv"].score == 240 and found["percentile_rankings_2024.csv"].gap == 240 and found["other.csv"].confidence == "low"
+    good, bad, log = exports.load_with_log(rows, exports.METRIC_TABLES["percentiles"], ["player_id"])
+    assert [(r.player_id, r.name, r.xwoba) for r in good.where("name = 'Ada'").collect()] == [(1, "Ada", 90)]
+    assert {r.source_file: (r.rows_seen, r.rows_inserted, r.rows_skipped, r.status) for r in log.collect()} == {"percentile_rankings_2024.csv": (2, 1, 1, "completed"), "pitch_tempo.csv": (1, 1, 0, "completed"), "other.csv": (1, 0, 1, "failed")}
+    assert {tuple(r.lacks) for r in bad.collect()} == {("player_id",)}
+    for name, mapping in exports.METRIC_TABLES.items():
+        assert exports.typed_load(rows, mapping).columns == [*mapping, "raw_json"], name
+
+
+def test_late_records(spark):
+    rows = spark.createDataFrame([(1, dt.datetime(2024, 1, 1)), (2, dt.datetime(2024, 2, 1)), (3, None)], "id int, ts timestamp")
+    as_of = F.lit(dt.datetime(2024, 2, 1))
+    kept, late = feeds.split_late(rows, as_of, "warn")
+    assert {r.id for r in kept.collect()} == {1, 3} and [(r.id, r.warning) for r in late.collect()] == [(2, True)]
+    with pytest.raises(ValueError):
+        feeds.split_late(rows, as_of, "error")
+
+
+def test_feedback_stream(spark, tmp_path):
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    spark.createDataFrame([(at(5), "a", 1.0), (at(20), "a", 3.0), (at(70), "b", 5.0)], "ts timestamp, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(str(tmp_path / "in"))
+    feeds.feedback_metrics(stream).writeStream.outputMode("complete").format("memory").queryName("feedback").trigger(availableNow=True).start().awaitTermination(90)
+    assert sorted((r.event_type, r.n, r["mean"]) for r in spark.table("feedback").collect()) == [("a", 2, 2.0), ("b", 1, 5.0)]
