@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldlab.operators.ranks import medians, value_at, value_places
 from fieldlab.sources.shared import with_position
 from fieldlab.sources.tables import GAME_LOG_SQL, game_log, table
 
@@ -95,24 +96,26 @@ def impute_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 def robust_zscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """0.67448975 (x - median) / MAD of balances within a nation; 0 for fewer than 3 rows or no spread."""
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
-    middle = rows.groupBy("c_nationkey").agg(F.median("c_acctbal").alias("median"), F.count(F.lit(1)).alias("n"))
-    away = rows.join(middle, "c_nationkey").withColumn("far", F.abs(F.col("c_acctbal") - F.col("median")))
-    mad = away.groupBy("c_nationkey").agg(F.median("far").alias("mad"))
+    sizes = rows.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    away = rows.join(medians(rows, ["c_nationkey"], "c_acctbal").join(sizes, "c_nationkey"), "c_nationkey").withColumn("far", F.abs(F.col("c_acctbal") - F.col("median")))
+    mad = medians(away, ["c_nationkey"], "far", "mad")
     z = F.when((F.col("n") < 3) | (F.col("mad") < 1e-12), 0.0).otherwise(0.67448975 * (F.col("c_acctbal") - F.col("median")) / F.col("mad"))
     return away.join(mad, "c_nationkey").select("c_custkey", F.round(z, 4).alias("z"))
 
 
 def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, mean, deviation, range and median of four columns; medians by places, so no column lies in one task."""
     long = table(spark, sf_dir, "lineitem").select(*_NUMBERS).unpivot([], _NUMBERS, "feature", "value")
-    return long.groupBy("feature").agg(
+    found = long.groupBy("feature").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("value").isNull()).alias("missing"),
         F.round(F.avg("value"), 4).alias("mean"),
         F.round(F.stddev_pop("value"), 4).alias("sd"),
         F.min("value").alias("least"),
         F.max("value").alias("most"),
-        F.round(F.median("value"), 4).alias("median"),
     )
+    middle = medians(long, ["feature"], "value")
+    return found.join(middle, "feature", "left").withColumn("median", F.round("median", 4))
 
 
 def feature_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,16 +127,19 @@ def feature_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def psi_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Population stability of order prices of each year against 1995, over ten equal-count bins of 1995 prices."""
+    """Population stability of order prices of each year against 1995, over ten bins cut at every tenth place of the sorted
+    1995 prices; a price above a cut moves up. 0 with fewer than ten prices to compare with."""
     orders = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("season"), F.col("o_totalprice").alias("price"))
-    cuts = F.broadcast(orders.where("season = 1995").agg(F.percentile("price", [k / 10 for k in range(1, 10)]).alias("cuts")))
-    binned = orders.join(cuts).select("season", F.size(F.filter("cuts", lambda c: F.col("price") > c)).alias("bin"))
-    counts = binned.groupBy("season", "bin").agg(F.count(F.lit(1)).alias("n"))
-    grid = counts.select("season").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    cuts = [value_at("price", F.floor(k * F.col("total") / 10)) for k in range(1, 10)]
+    cuts = F.broadcast(value_places(orders.where("season = 1995"), [], "price").agg(F.array(*cuts).alias("cuts"), F.coalesce(F.max("total"), F.lit(0)).alias("seen")))
+    binned = orders.join(cuts).select("season", "seen", F.size(F.filter("cuts", lambda c: F.col("price") > c)).alias("bin"))
+    counts = binned.groupBy("season", "seen", "bin").agg(F.count(F.lit(1)).alias("n"))
+    grid = counts.select("season", "seen").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(9))))
     share = F.greatest(F.coalesce("n", F.lit(0)) / F.sum("n").over(Window.partitionBy("season")), F.lit(1e-6))
-    shares = grid.join(counts, ["season", "bin"], "left").select("season", "bin", share.alias("share"))
+    shares = grid.join(counts.drop("seen"), ["season", "bin"], "left").select("season", "seen", "bin", share.alias("share"))
     base = F.broadcast(shares.where("season = 1995").select("bin", F.col("share").alias("expected")))  # ten rows
-    return shares.join(base, "bin").groupBy("season").agg(F.round(F.sum((F.col("share") - F.col("expected")) * F.log(F.col("share") / F.col("expected"))), 6).alias("psi"))
+    psi = F.sum((F.col("share") - F.col("expected")) * F.log(F.col("share") / F.col("expected")))
+    return shares.join(base, "bin").groupBy("season").agg(F.round(F.when(F.max("seen") < 10, 0.0).otherwise(psi), 6).alias("psi"))
 
 
 def correlation_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,7 +234,7 @@ ORACLE_SQL = {
         max(value) AS most, round(median(value), 4) AS median FROM u GROUP BY 1""",
     "feature_quality": f"WITH {_LONG} SELECT feature, count(DISTINCT value) AS distinct_values, round(stddev_pop(value), 4) AS deviation, CASE WHEN var_pop(value) <= 1e-12 THEN 'constant' ELSE 'kept' END AS reason FROM u GROUP BY 1",
     "psi_by_year": """WITH o AS (SELECT year(o_orderdate)::INT AS season, o_totalprice AS price FROM orders),
-        c AS (SELECT quantile_cont(price, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS cuts FROM o WHERE season = 1995),
+        e AS (SELECT list(price ORDER BY price) AS xs FROM o WHERE season = 1995), c AS (SELECT list_transform(range(1, 10), lambda k: xs[k * len(xs) // 10 + 1]) AS cuts FROM e),
         b AS (SELECT season, len(list_filter(cuts, lambda x: price > x))::INT AS bin FROM o, c), n AS (SELECT season, bin, count(*) AS n FROM b GROUP BY 1, 2),
         g AS (SELECT season, bin, coalesce(n, 0) AS n FROM (SELECT * FROM (SELECT DISTINCT season FROM n), (SELECT unnest(range(10))::INT AS bin)) LEFT JOIN n USING (season, bin)),
         s AS (SELECT season, bin, greatest(n / sum(n) OVER (PARTITION BY season)::DOUBLE, 1e-6) AS share FROM g)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldlab.functions.rates import COUNTS, RATES, rate_columns, rates, ratio
-from fieldlab.operators.history import GAME, exponential_mean, with_history
+from fieldlab.operators.history import GAME, exponential_means, with_history
 from fieldlab.sources.tables import GAME_LOG_SQL, game_log, table
 
 LASTS = (3, 5, 10)
@@ -51,9 +51,9 @@ def rolling_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ewm_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = with_history(game_log(spark, sf_dir), {"past": GAME.last(None, F.collect_list(F.col("hits").cast("double")))})
-    means = [F.round(F.coalesce(exponential_mean(F.col("past"), h), F.lit(0.0)), 6).alias(f"ewm_{h}") for h in (3, 7, 14)]
-    return found.select("player_id", "game_id", *means)
+    """Exponential means of hits over all earlier games, for three half-lives; 0 without an earlier game."""
+    found = exponential_means(game_log(spark, sf_dir), "hits", [3, 7, 14])
+    return found.select("player_id", "game_id", *[F.round(F.coalesce(f"ewm_{h}", F.lit(0.0)), 6).alias(f"ewm_{h}") for h in (3, 7, 14)])
 
 
 def history_expanding(spark: SparkSession, sf_dir: str) -> DataFrame:
