@@ -87,7 +87,8 @@ def feature_rows(log: DataFrame, config: FeatureConfig = DEFAULT) -> DataFrame:
         "is_home": (F.col("home_away") == "home").cast("double"),
     })
     ewm = exponential_means(log, "hits", list(config.half_lives))
-    return rows.join(ewm.drop("game_date"), ["player_id", "game_id"]).fillna(0.0, [f"ewm_{h:g}" for h in config.half_lives])
+    means = [F.round(F.coalesce(f"ewm_{h:g}", F.lit(0.0)), 6).alias(f"ewm_{h:g}") for h in config.half_lives]
+    return rows.join(ewm.select("player_id", "game_id", *means), ["player_id", "game_id"])
 
 
 def feature_names(config: FeatureConfig = DEFAULT) -> list[str]:
