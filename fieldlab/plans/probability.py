@@ -351,14 +351,14 @@ _BASE = """b0 AS (SELECT *, least(greatest((29.4e0 + least(h, ab)) / (120 + ab),
     b AS (SELECT *, least(greatest(CASE WHEN xba IS NULL THEN hit0 ELSE 1 / (1 + exp(-(0.78e0 * ln(hit0 / (1 - hit0)) + 0.22e0 * ln(greatest(least(xba, 1 - 1e-12), 1e-12) / (1 - greatest(least(xba, 1 - 1e-12), 1e-12)))))) END, 0.04), 0.5) AS r_hit,
         least(greatest((18e0 + greatest(least(h - d2 - d3 - hr, ab), 0)) / (120 + ab), 0.02), 0.36) AS r_single, least(greatest((5.4e0 + least(d2, ab)) / (120 + ab), 0.002), 0.16) AS r_double,
         least(greatest((0.48e0 + least(d3, ab)) / (120 + ab), 0.0002), 0.05) AS r_triple,
-        least(greatest((0.72e0 * hr0 + coalesce(0.16e0 * least(greatest(barrel * 0.42e0, 0.002), 0.18), 0) + coalesce(0.07e0 * least(greatest((hard - 0.2e0) * 0.13e0, 0.002), 0.12), 0)
+        least(greatest((0.72e0 * hr0 + CASE WHEN barrel IS NULL THEN 0 ELSE 0.16e0 * least(greatest(barrel * 0.42e0, 0.002), 0.18) + 0.07e0 * least(greatest((hard - 0.2e0) * 0.13e0, 0.002), 0.12) END
             + coalesce(CASE WHEN xslg IS NOT NULL THEN 0.05e0 * least(greatest((xslg - 0.25e0) * 0.1e0, 0.002), 0.15) END, 0))
             / (0.72e0 + CASE WHEN barrel IS NULL THEN 0 ELSE 0.23e0 END + CASE WHEN xslg IS NULL THEN 0 ELSE 0.05e0 END), 0.001), 0.22) AS r_home_run,
         least(greatest((9.96e0 + least(bb, pa)) / (120 + pa), 0.01), 0.3) AS r_walk, least(greatest((27e0 + least(k, pa)) / (120 + pa), 0.025), 0.55) AS r_strikeout,
         least(greatest((13.2e0 + least(rbi, pa)) / (120 + pa), 0.015), 0.4) AS r_rbi, least(greatest((13.8e0 + least(runs, pa)) / (120 + pa), 0.015), 0.4) AS r_run,
         least(greatest((9.72e0 + least(d2 + d3 + hr, ab)) / (120 + ab), 0.005), 0.3) AS r_extra_base_hit, least(greatest((39e0 + least(h + bb, pa)) / (120 + pa), 0.08), 0.65) AS r_reach_base,
         least(greatest(CASE WHEN pa > 0 THEN tb / pa ELSE 0.325 END, 0.03), 0.7) AS r_total_bases FROM b0)"""
-_LONG = """t AS (SELECT *, (0.45e0 * least(greatest(barrel * 0.42e0, 0.002), 0.2) + 0.25e0 * least(greatest((hard - 0.18e0) * 0.16e0, 0.002), 0.2)) AS power FROM b),
+_LONG = """t AS (SELECT *, CASE WHEN barrel IS NOT NULL THEN 0.45e0 * least(greatest(barrel * 0.42e0, 0.002), 0.2) + 0.25e0 * least(greatest((hard - 0.18e0) * 0.16e0, 0.002), 0.2) END AS power FROM b),
     cells AS (SELECT player_id, games, pa, unnest([
         {'outcome': 'hit', 'base': r_hit, 'recent': CASE WHEN rpa > 0 THEN least(greatest((8.575e0 + least(rh, rpa)) / (35 + rpa), 0.04), 0.5) END, 'tracking': xba},
         {'outcome': 'single', 'base': r_single, 'recent': NULL::DOUBLE, 'tracking': NULL::DOUBLE}, {'outcome': 'double', 'base': r_double, 'recent': NULL::DOUBLE, 'tracking': NULL::DOUBLE},

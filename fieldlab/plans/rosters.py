@@ -170,7 +170,7 @@ def opponent_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     zero = asked.select("team_id", "game_date", *[F.lit(0).cast("long").alias(c) for c in ("hits", "at_bats", "home_runs", "plate_appearances", "runs", "n")])
     seen = log.select("team_id", "game_date", "hits", "at_bats", "home_runs", "plate_appearances", "runs", F.lit(1).cast("long").alias("n"))
     past = _before(seen.unionByName(zero), ["team_id"], {c: c for c in ("hits", "at_bats", "home_runs", "plate_appearances", "runs", "n")})
-    rate = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
+    rate = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)) + 1e-10, 6)
     c = F.col
     found = past.select(c("team_id").alias("opponent_id"), "game_date", rate(c("hits"), c("at_bats")).alias("opponent_avg"), rate(c("home_runs"), c("plate_appearances")).alias("opponent_hr_rate"), rate(c("runs"), c("n")).alias("opponent_runs"))
     return log.select("player_id", "game_id", "opponent_id", "game_date").join(found, ["opponent_id", "game_date"]).select("player_id", "game_id", "opponent_id", "opponent_avg", "opponent_hr_rate", "opponent_runs")
@@ -182,7 +182,7 @@ def matchup_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = with_opponents(game_log(spark, sf_dir)).withColumn("pitcher_id", F.concat_ws("-", "opponent_id", "pitcher_throws"))
     rows = log.select("player_id", "pitcher_id", "game_id", "game_date", "hits", "at_bats", "home_runs", "plate_appearances")
     sums = {"h": "hits", "ab": "at_bats", "hr": "home_runs", "pa": "plate_appearances"}
-    rate = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 6)
+    rate = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)) + 1e-10, 6)
 
     def part(keys: list[str], prefix: str) -> DataFrame:
         past = _before(rows, keys, sums)
@@ -330,14 +330,14 @@ ORACLE_SQL = {
     "rostered_players": "SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "context_join": """WITH l AS (SELECT user_id, day(ts) AS d, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2) SELECT o_orderkey, value FROM orders LEFT JOIN l ON user_id = o_custkey AND d = day(o_orderdate)""",
     "opponent_features": f"""{_LOG}, x AS (SELECT *, ((team_id + 1 + game_id % 24) % 25)::INT AS opponent_id FROM log), d AS (SELECT team_id, game_date, sum(hits) AS h, sum(at_bats) AS ab, sum(home_runs) AS hr, sum(plate_appearances) AS pa, sum(runs) AS r, count(*) AS n FROM log GROUP BY 1, 2)
-        SELECT x.player_id, x.game_id, x.opponent_id, round(coalesce(sum(d.h) / nullif(sum(d.ab), 0), 0), 6) AS opponent_avg, round(coalesce(sum(d.hr) / nullif(sum(d.pa), 0), 0), 6) AS opponent_hr_rate, round(coalesce(sum(d.r) / nullif(sum(d.n), 0), 0), 6) AS opponent_runs
+        SELECT x.player_id, x.game_id, x.opponent_id, round(coalesce(sum(d.h) / nullif(sum(d.ab), 0), 0) + 1e-10, 6) AS opponent_avg, round(coalesce(sum(d.hr) / nullif(sum(d.pa), 0), 0) + 1e-10, 6) AS opponent_hr_rate, round(coalesce(sum(d.r) / nullif(sum(d.n), 0), 0) + 1e-10, 6) AS opponent_runs
         FROM x LEFT JOIN d ON d.team_id = x.opponent_id AND d.game_date < x.game_date GROUP BY 1, 2, 3""",
     "matchup_features": f"""{_LOG}, x AS (SELECT *, ((team_id + 1 + game_id % 24) % 25)::INT || '-' || pitcher_throws AS pitcher_id FROM log),
         p AS (SELECT pitcher_id, game_date, sum(hits) AS h, sum(at_bats) AS ab, sum(home_runs) AS hr, sum(plate_appearances) AS pa FROM x GROUP BY 1, 2),
         b AS (SELECT c.game_id, sum(o.hits) / nullif(sum(o.at_bats), 0) AS ba, sum(o.home_runs) / nullif(sum(o.plate_appearances), 0) AS bh, coalesce(sum(o.plate_appearances) FILTER (o.pitcher_id = c.pitcher_id), 0)::BIGINT AS mp,
             coalesce(sum(o.hits) FILTER (o.pitcher_id = c.pitcher_id), 0)::BIGINT AS mh FROM x c LEFT JOIN x o ON o.player_id = c.player_id AND o.game_date < c.game_date GROUP BY 1),
         q AS (SELECT c.game_id, sum(h) / nullif(sum(ab), 0) AS pa, sum(hr) / nullif(sum(p.pa), 0) AS ph FROM x c LEFT JOIN p ON p.pitcher_id = c.pitcher_id AND p.game_date < c.game_date GROUP BY 1)
-        SELECT player_id, game_id, pitcher_id, round(coalesce(ba, 0), 6) AS batter_avg, round(coalesce(bh, 0), 6) AS batter_hr_rate, round(coalesce(q.pa, 0), 6) AS pitcher_avg, round(coalesce(ph, 0), 6) AS pitcher_hr_rate, mp AS matchup_pa, mh AS matchup_hits
+        SELECT player_id, game_id, pitcher_id, round(coalesce(ba, 0) + 1e-10, 6) AS batter_avg, round(coalesce(bh, 0) + 1e-10, 6) AS batter_hr_rate, round(coalesce(q.pa, 0) + 1e-10, 6) AS pitcher_avg, round(coalesce(ph, 0) + 1e-10, 6) AS pitcher_hr_rate, mp AS matchup_pa, mh AS matchup_hits
         FROM x JOIN b USING (game_id) JOIN q USING (game_id)""",
     "roster_audit": """WITH c("check", n) AS (SELECT 'without_orders', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'orphaned_orders', count(DISTINCT o_custkey) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
         UNION ALL SELECT 'same_name_groups', count(*) FROM (SELECT lower(c_mktsegment), round(c_acctbal, -3) FROM customer GROUP BY 1, 2 HAVING count(*) > 1) UNION ALL SELECT 'incomplete', count(*) FROM customer WHERE c_acctbal <= -900
