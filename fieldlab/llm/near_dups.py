@@ -9,11 +9,15 @@ together, each until its next point lies beyond the largest register of its docu
 Candidates. Copies of a text are one node. Nodes with an equal band of registers meet by the band's key; members are
 compared with the leaders of their bucket (the first members at an estimated 0.8 or less from all earlier leaders) and
 linked to all leaders at an estimate of EDGE or more. As 1 - similarity is a metric, nodes at 0.8 are linked through a
-leader. No pairs within a bucket are listed; a bucket over SPLIT members is dealt out, and its parts' leaders meet again.
+leader. No pairs within a bucket are listed. A bucket over SPLIT members is dealt out by hash and its parts' leaders meet
+again, dealt out anew while they are over SPLIT but fewer than half as many as before. Where they are not (many texts that
+share a passage but are not alike), the bucket is crowded: its members meet by a later band beside the first one, and so on.
+A pair at exactly 0.8 misses all bands with a chance of 3e-6, and has but one band, crowded, with one of 5e-5 at most.
 
 Verification. Links form components, and inside a component the bags themselves decide: nodes of an overlap of 0.8 or
-more are in one class, transitively. A component over BLOCK nodes first meets its hub; nodes that no unlinked node can
-reach by the metric are done, what remains is compared block against block. Only spanning links leave a task.
+more are in one class, transitively. A component over BLOCK nodes or BLOCK_CHARS characters first meets its hub; nodes that
+no unlinked node can reach by the metric are done, what remains is compared where it shares a band, in finer buckets where
+one is over BLOCK; only what no further band parts is compared block against block. Only spanning links leave a task.
 
 Words are runs of ASCII letters, digits and other bytes beyond ASCII, in lower case. A text of one to four words has one
 shingle of them all; texts without words are duplicates of equal texts only. Null texts are empty. Rows may repeat or
@@ -39,6 +43,7 @@ REGISTERS = BANDS * BAND_ROWS
 NEAR_NUM, NEAR_DEN = 4, 5  # similarity of 4/5 and more is near
 LEADER, EDGE, FAR_EDGE = 0.8, 0.5, 0.3
 SPLIT, PART, BLOCK, SMALL_ROWS, HUB_ROUNDS = 4096, 2048, 512, 100_000, 2
+BLOCK_CHARS, DEALS = 24_000_000, 256
 _U = np.uint64
 
 
@@ -241,7 +246,9 @@ def _groups(batches, keys: int) -> Iterator[tuple[dict, pa.Table]]:
 
 
 def _bucket_links(rows: DataFrame, edge: float) -> DataFrame:
-    """kind 0: links a, b of the buckets (key, part) of rows; kind 1: leaders a of buckets that were dealt out."""
+    """kind 0: links a, b of the buckets (key, part) of rows (key, used, node, members, signature); kind 1: leaders `node`
+    of the buckets that were dealt out, as rows again."""
+    split = SPLIT
 
     def run(batches):
         out: list[tuple] = []
@@ -249,10 +256,11 @@ def _bucket_links(rows: DataFrame, edge: float) -> DataFrame:
             nodes = group.column("node").to_pylist()
             signs = np.stack([np.frombuffer(x, "<u2") for x in group.column("signature").to_pylist()])
             links, leaders = leader_links(signs, edge)
-            out += [(0, nodes[i], nodes[j], None, None) for i, j in links]
-            if group.column("members")[0].as_py() > SPLIT:
-                key = group.column("key")[0].as_py()
-                out += [(1, nodes[i], None, key, signs[i].tobytes()) for i in leaders]
+            out += [(0, nodes[i], nodes[j], *[None] * 5) for i, j in links]
+            members = group.column("members")[0].as_py()
+            if members > split:
+                key, used = group.column("key")[0].as_py(), group.column("used")[0].as_py()
+                out += [(1, None, None, key, used, nodes[i], members, signs[i].tobytes()) for i in leaders]
             if len(out) >= 5000:
                 yield _link_batch(out)
                 out = []
@@ -260,32 +268,80 @@ def _bucket_links(rows: DataFrame, edge: float) -> DataFrame:
             yield _link_batch(out)
 
     bounded_batches(rows.sparkSession)
-    ordered = rows.select("key", "part", "node", "members", "signature").repartition("key", "part").sortWithinPartitions("key", "part", "node")
-    return ordered.mapInArrow(run, "kind int, a binary, b binary, key long, signature binary")
+    part = F.when(F.col("members") > SPLIT, F.pmod(F.xxhash64("node", "members"), F.ceil(F.col("members") / PART))).otherwise(0)
+    dealt = rows.select("key", part.cast("int").alias("part"), "used", "node", "members", "signature")
+    ordered = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "node")
+    return ordered.mapInArrow(run, "kind int, a binary, b binary, key long, used int, node binary, members long, signature binary")
 
 
 def _link_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["kind", "a", "b", "key", "signature"])
+    kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary())
+    names = ["kind", "a", "b", "key", "used", "node", "members", "signature"]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=names)
+
+
+def _band(k: Column, *more: Column) -> Column:
+    """Hash of band k of the signature, and of more columns."""
+    width = 2 * BAND_ROWS
+    return F.xxhash64(*more, k, F.substring("signature", k * width + 1, F.lit(width)))
+
+
+def _keyed(rows: DataFrame, *more: str) -> DataFrame:
+    """key, used (its band), node of each band of rows (node, signature, more); keys of other values of `more` differ."""
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: _band(k, *map(F.col, more)))
+    return rows.where(F.col("signature").isNotNull()).select("node", *more, F.posexplode(bands).alias("used", "key")).select("key", "used", "node", *more)
+
+
+def _finer(rows: DataFrame, *more: str) -> DataFrame:
+    """Rows (key, used, node, signature, more) keyed by each later band as well. Two nodes that share several bands share
+    a finer key of the first of them."""
+    later = F.transform(F.sequence(F.col("used") + 1, F.lit(BANDS - 1)), lambda k: F.struct(_band(k, F.col("key")).alias("key"), k.alias("used")))
+    held = rows.where(F.col("used") < BANDS - 1).select("node", *more, F.explode(later).alias("x"))
+    return held.select("x.key", "x.used", "node", *more)
 
 
 def candidate_links(nodes: DataFrame) -> DataFrame:
     """a, b: links of nodes (node, signature), staged, that connect all nodes which may be at 0.8 or more."""
-    width = 2 * BAND_ROWS
-    bands = nodes.where(F.col("signature").isNotNull()).select(
-        "node",
-        F.explode(
-            F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(F.col("signature"), k * width + 1, F.lit(width))))
-        ).alias("key"),
-    )
-    shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    members = bands.join(shared, "key")
-    part = F.when(F.col("members") > SPLIT, F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / PART))).otherwise(0).cast("int")
-    rows = members.join(nodes.select("node", "signature"), "node").withColumn("part", part)
-    first = stage(_bucket_links(rows, EDGE), "links")
-    again = first.where("kind = 1").select("key", F.lit(0).alias("part"), F.col("a").alias("node"), F.lit(0).cast("long").alias("members"), "signature")
-    found = first.where("kind = 0").select("a", "b").unionByName(_bucket_links(again, FAR_EDGE).where("kind = 0").select("a", "b"))
-    return stage(found.distinct(), "candidates")
+    signs = nodes.select("node", "signature")
+    rows: DataFrame | None = _keyed(nodes)
+    found: list[DataFrame] = []
+    while rows is not None:
+        shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+        members = rows.join(shared, "key").join(signs, "node")
+        met = stage(_bucket_links(members, EDGE), "links")
+        crowded: list[DataFrame] = []
+        while True:
+            found.append(met.where("kind = 0").select("a", "b"))
+            leaders = met.where("kind = 1").select("key", "used", "node", F.col("members").alias("before"), "signature")
+            if not leaders.take(1):
+                break
+            counts = leaders.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.first("before").alias("before"))
+            dense = (F.col("members") > SPLIT) & (2 * F.col("members") > F.col("before"))
+            counts = stage(counts.withColumn("dense", dense).drop("before"), "leaders")
+            crowded.append(counts.where("dense").select("key"))
+            met = stage(_bucket_links(leaders.join(counts.where("not dense"), "key"), FAR_EDGE), "links")
+        keys = [k for k in crowded if k.take(1)]
+        if keys:
+            some = keys[0]
+            for k in keys[1:]:
+                some = some.unionByName(k)
+            rows = stage(_finer(members.join(some, "key", "left_semi")), "finer")
+        else:
+            rows = None
+    links = found[0]
+    for some in found[1:]:
+        links = links.unionByName(some)
+    return stage(links.distinct(), "candidates")
+
+
+def _with_whole(rows: DataFrame, key: str, deal_by: str, part: Column, whole: Column, name: str) -> DataFrame:
+    """rows with an aggregate of all rows of their key: `whole` of the parts' `part`, both over a column `name`. The rows
+    of one key are dealt over DEALS parts by deal_by, so that neither the aggregate nor its way back makes one task of a
+    key."""
+    dealt = rows.withColumn("deal_", F.pmod(F.xxhash64(deal_by), F.lit(DEALS)).cast("int"))
+    parts = dealt.groupBy(key, "deal_").agg(part.alias(name))
+    wholes = parts.groupBy(key).agg(whole.alias(name))
+    return dealt.join(parts.select(key, "deal_").join(wholes, key), [key, "deal_"]).drop("deal_")
 
 
 # --- components
@@ -299,12 +355,12 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         if not large:
             both = both.where("v < u")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        met = both.join(low, "u")
-        if large:
-            out = met.where("v > u").select(F.col("v").alias("b"), F.col("m").alias("a"))
-        else:
-            out = met.select(F.col("v").alias("b"), F.col("m").alias("a")).unionByName(low.select(F.col("u").alias("b"), F.col("m").alias("a")))
+        met = _with_whole(both, "u", "v", F.min("v"), F.min("m"), "m").withColumn("m", F.least("u", "m"))
+        out = met.where("v > u") if large else met
+        out = out.select(F.col("v").alias("b"), F.col("m").alias("a"))
+        if not large:
+            low = both.groupBy("u").agg(F.min("v").alias("m"))
+            out = out.unionByName(low.select(F.col("u").alias("b"), F.least("u", "m").alias("a")))
         return stage(out.where("a != b").select("a", "b").distinct(), "stars")
 
     def mark(edges: DataFrame) -> tuple:
@@ -393,8 +449,10 @@ def _hub_links(big: DataFrame, pending: DataFrame) -> tuple[DataFrame, DataFrame
     unlinked. Nobody but the hub is compared twice."""
     hubs = pending.groupBy("root").agg(F.min("node").alias("hub"))
     n = hubs.count()
-    texts = big.join(_few(hubs, n), "root").where("node = hub").select("root", "hub", F.col("text").alias("hub_text")).dropDuplicates(["root"])
-    met = big.join(texts, "root")
+    deals = F.ceil(F.col("size") / BLOCK).cast("int")  # a hub's text goes to as many parts as its component has blocks
+    texts = big.join(_few(hubs, n), "root").where("node = hub").dropDuplicates(["root"])
+    texts = texts.select("root", "hub", F.col("text").alias("hub_text"), F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"))
+    met = big.withColumn("deal", F.pmod(F.xxhash64("node"), deals)).join(texts, ["root", "deal"])
 
     def run(batches):
         for batch in batches:
@@ -404,12 +462,16 @@ def _hub_links(big: DataFrame, pending: DataFrame) -> tuple[DataFrame, DataFrame
                 both = Bags([text, hub])
                 shared = int(both.overlap(1, np.array([0]))[0]) if both.size.all() else 0
                 far.append((int(both.size.sum()) - 2 * shared) / max(1, int(both.size.sum()) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("root", "node", "hub", "text")] + [pa.array(far)], names=["root", "node", "hub", "text", "far"])
+            kept = ["root", "size", "node", "hub", "text"]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(far, pa.float64())], names=[*kept, "far"])
 
     bounded_batches(big.sparkSession)
     limit = 1 - NEAR_NUM / NEAR_DEN
     seen = stage(
-        met.select("root", "node", "hub", "text", "hub_text").mapInArrow(run, "root binary, node binary, hub binary, text string, far double"), "hubs"
+        met.select("root", "size", "node", "hub", "text", "hub_text").mapInArrow(
+            run, "root binary, size long, node binary, hub binary, text string, far double"
+        ),
+        "hubs",
     )
     near = F.col("far") <= limit + 1e-12
     links = seen.where(near & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
@@ -417,20 +479,53 @@ def _hub_links(big: DataFrame, pending: DataFrame) -> tuple[DataFrame, DataFrame
     rest = (
         seen.join(_few(reach, n), "root")
         .where((F.col("node") != F.col("hub")) & (~near | (F.col("far") >= F.col("nearest") - limit - 1e-9)))
-        .select("root", "node", "text", (~near).alias("open"))
+        .select("root", "size", "node", "text", (~near).alias("open"))
     )
     return links, rest
 
 
-def _blocks(big: DataFrame, sizes: DataFrame, n: int) -> DataFrame:
-    """Units of two blocks each, so that any two nodes of a component meet in one."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Units of one or two blocks each of rows (key, node, text, size, chars of the key), so that any two nodes of a key
+    meet in one."""
+    blocks = _many("size", "chars")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.least(k, F.col("mine")) * F.col("blocks") + F.greatest(k, F.col("mine"))
     )
-    held = big.join(_few(sizes, n), "root").withColumns({"blocks": blocks, "mine": mine})
-    return held.select(F.col("root").alias("unit"), F.explode(pairs).alias("part"), "node", "text")
+    held = rows.withColumn("blocks", blocks).withColumn("mine", mine)
+    return held.select(F.col("key").alias("unit"), F.explode(pairs).alias("part"), "node", "text")
+
+
+def _many(size: str, chars: str) -> Column:
+    """How many blocks hold so many texts of so many characters."""
+    return F.greatest(F.ceil(F.col(size) / BLOCK), F.ceil(F.col(chars) / BLOCK_CHARS), F.lit(1)).cast("int")
+
+
+def _banded(rest: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Units of the nodes that are left of large components (root, node, text, open): those of a component that share a
+    band, keyed by further bands where they are more than a block. Buckets without an open node have no link to find."""
+    texts = rest.select("root", "node", "text")
+    signs = stage(rest.select("root", "node", "open", F.length("text").alias("chars")).join(nodes.select("node", "signature"), "node"), "left")
+    rows, units = _keyed(signs, "root"), []
+    while True:
+        held = rows.join(signs.select("root", "node", "open", "chars", "signature"), ["root", "node"])
+        sizes = held.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("chars").alias("chars"), F.max("open").alias("open"))
+        sizes = stage(sizes.where("size > 1 and open").select("key", "size", F.col("chars").alias("all_chars")), "sizes")
+        asked = held.join(sizes, "key")
+        over = _many("size", "all_chars") > 1
+        units.append(asked.where(~over | (F.col("used") == BANDS - 1)))
+        big = asked.where(over & (F.col("used") < BANDS - 1))
+        if not big.take(1):
+            break
+        finer = stage(_finer(big, "root"), "finer")
+        if finer.count() > BANDS * signs.count():  # no band parts them any more
+            units.append(big)
+            break
+        rows = finer
+    found = units[0]
+    for some in units[1:]:
+        found = found.unionByName(some)
+    return _blocks(found.select("key", "root", "node", "size", F.col("all_chars").alias("chars")).join(texts, ["root", "node"]))
 
 
 def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -445,13 +540,13 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     held = stage(
         texts.join(_few(asked, n_found), "node").where(F.col("doc_id").eqNullSafe(F.col("first_id"))).select("root", "node", "text"), "compared"
     )
-    sizes = stage(found.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "sizes")
-    large = sizes.where(F.col("size") > BLOCK)
+    sizes = held.groupBy("root").agg(F.count_distinct("node").alias("size"), F.sum(F.length("text")).alias("chars"))
+    large = stage(sizes.where(_many("size", "chars") > 1).select("root", "size"), "large")
     n_large = large.count()
     small = held.join(_few(large, n_large), "root", "left_anti") if n_large else held
     links = _verified(small.select(F.col("root").alias("unit"), F.lit(0).alias("part"), "node", "text"))
     if n_large:
-        big = held.join(_few(large, n_large), "root", "left_semi").dropDuplicates(["root", "node"])
+        big = held.join(_few(large, n_large), "root").dropDuplicates(["root", "node"])
         pending = big.select("root", "node")
         for _ in range(HUB_ROUNDS):
             some, rest = _hub_links(big, pending)
@@ -461,8 +556,7 @@ def near_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             if not pending.take(1):
                 break
         else:
-            left = stage(big.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "left")
-            links = links.unionByName(_verified(_blocks(big, left, left.count())))
+            links = links.unionByName(_verified(_banded(big, nodes)))
     classes = components(stage(links, "verified"))
     return signed.select("doc_id", "node", "n_shingles"), classes
 
@@ -473,8 +567,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
     rooted = nodes.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = stage(rooted, "rooted")
-    groups = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    named = rooted.select("node", "root").join(groups, "root").select("node", "class_id", "class_size")
+    of_part = F.struct(F.min("first_id").alias("class_id"), F.sum("copies").alias("class_size"))
+    of_all = F.struct(F.min("of.class_id").alias("class_id"), F.sum("of.class_size").alias("class_size"))
+    named = _with_whole(rooted, "root", "node", of_part, of_all, "of").select("node", "of.class_id", "of.class_size")
     return rows.join(named, "node").select("doc_id", "class_id", "class_size", "n_shingles")
 
 
@@ -484,8 +579,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     rooted = rows.join(classes, "node", "left").select("doc_id", "node", F.coalesce("root", "node").alias("root"))
     rooted = stage(rooted, "rooted")
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "node")
-    best = rooted.groupBy("root").agg(F.min(order).alias("best"))
-    marked = rooted.join(best, "root").select(
+    best = _with_whole(rooted.withColumn("order", order), "root", "node", F.min("order"), F.min("best"), "best")
+    marked = best.select(
         F.col("doc_id").alias("__doc"),
         F.col("node").alias("__node"),
         (F.col("node") == F.col("best.node")).alias("stays") & F.col("doc_id").eqNullSafe(F.col("best.doc_id")),

@@ -460,6 +460,37 @@ def test_near_classes(spark, docs, odd, monkeypatch):
     assert [x.class_id for x in got] == brute_classes(texts)
 
 
+def test_shared_passages_are_no_classes(spark, monkeypatch):
+    """Many texts that share a passage crowd their bands and hang together as candidates; the classes stay those of brute force."""
+    for name, value in (("BLOCK", 8), ("SPLIT", 12), ("PART", 6), ("DEALS", 3)):
+        monkeypatch.setattr(near_dups, name, value)
+    finer, calls = near_dups._finer, []
+    monkeypatch.setattr(near_dups, "_finer", lambda rows, *more: calls.append(more) or finer(rows, *more))
+    r = random.Random(11)
+    words = lambda n: [f"p{r.randrange(10**5)}" for _ in range(n)]
+    passage, texts = words(150), []
+    for k in range(60):
+        own = words(60)
+        texts += [" ".join(passage + own)]
+        if k % 4 == 0:  # a near copy
+            own[-1] = "changed"
+            texts += [" ".join(passage + own)]
+    got = rows_of(near_dups.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    want = brute_classes(texts)
+    assert len(set(want)) == 60 and [x.class_id for x in got] == want
+    assert {(), ("root",)} <= set(calls)  # both the candidates and the comparison met crowded bands
+
+
+def test_long_components_are_compared_in_blocks(spark, monkeypatch):
+    """Components of few but long texts take the way of large ones."""
+    monkeypatch.setattr(near_dups, "BLOCK_CHARS", 400)
+    r = random.Random(12)
+    base = [f"q{r.randrange(10**5)}" for _ in range(100)]
+    texts = [" ".join(base[:-1] + [f"z{k}"]) for k in range(5)] + [" ".join(base[:70] + [f"y{k}_{j}" for j in range(30)]) for k in range(4)]
+    got = rows_of(near_dups.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))
+    assert [x.class_id for x in got] == brute_classes(texts)
+
+
 def test_recall_of_near_pairs(spark):
     """Documents whose id is divisible by 50 against all documents: pairs of an overlap of 0.8 or more share a class."""
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
