@@ -400,6 +400,78 @@ def test_quality_accuracy(spark, odd):
     assert none is None and all(r.score == 0.5 for r in quality.quality_scores(odd, None, ["doc_id"]).collect())
 
 
+def test_language_equals_brute_force(spark, docs):
+    """Every document's language and cosine, gram by gram."""
+    size, vectors = language.DIMENSIONS, {}
+
+    def vector(letter):
+        if letter not in vectors:
+            rng = np.random.Generator(np.random.PCG64([language.SEED, ord(letter)]))
+            vectors[letter] = rng.integers(0, 2, size, np.int8).astype(float) * 2 - 1
+        return vectors[letter]
+
+    def bundle(text):
+        plain = "".join(c if c.isalpha() else " " for c in f" {(text or '').lower()} ")
+        plain = re.sub(" +", " ", plain)
+        grams = Counter(plain[k : k + 3] for k in range(len(plain) - 2) if plain[k + 1] != " ")
+        total = np.zeros(size)
+        for (a, b, c), n in grams.items():
+            total += n * np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c)
+        return total / (np.linalg.norm(total) or 1)
+
+    rows = docs.select("doc_id", "text", "lang").collect()
+    found = {r.doc_id: bundle(r.text) for r in rows}
+    learn = [r for r in rows if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    names = sorted({r.lang for r in learn})
+    sums = np.array([sum(found[r.doc_id] for r in learn if r.lang == name) for name in names])
+    sums /= np.linalg.norm(sums, axis=1, keepdims=True)
+    sums -= sums.mean(axis=0) / 2
+    sums /= np.linalg.norm(sums, axis=1, keepdims=True)
+    for r in language.op8_language(spark, DATA).collect():
+        near = sums @ found[r.doc_id]
+        if not found[r.doc_id].any():
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        assert abs(r.score - max(0, near.max())) < 1e-4 and near[names.index(r.lang_pred)] > near.max() - 1e-4
+
+
+def plain_features(text):
+    if not text:
+        return [0.0] * len(quality.NAMES)
+    data = [chr(b) for b in text.encode()]
+    kinds = [str.isupper, str.isdigit, " \t\r\n".__contains__, ".,".__contains__, "!?".__contains__, "|".__contains__, "#$%&*@^~_=+<>{}[]\\/".__contains__]
+    ascii_ = [c for c in data if c < "\x80"]
+    shares = [sum(map(kind, ascii_)) / len(data) for kind in kinds]
+    other = sum(not c.islower() and not any(kind(c) for kind in kinds) for c in ascii_) / len(data)
+    words, lines = text.split(), [x for x in text.split("\n") if x]
+    n = max(1, len(words))
+    repeats = sum(words[k] == words[k - 1] for k in range(1, len(words)))
+    return shares + [other, repeats / n, len(set(words)) / n**0.85, np.log(1 + len(data) / n), 1 - len(set(lines)) / max(1, len(lines)), float(any(len(w) > 40 for w in words)), np.log(1 + n)]
+
+
+def test_quality_equals_brute_force(spark):
+    """Every document's score, with features character by character and weights by plain descent over the same pairs."""
+    data = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    ids = sorted(i for i in labels if i in texts and labels[i] in (0, 1) and zlib.crc32(str(i).encode()) % 5 != 0)
+    x, y = np.array([plain_features(texts[i]) for i in ids]), np.array([labels[i] for i in ids])
+    mean, scale = x.mean(axis=0), np.where(x.std(axis=0) < 1e-9, 1, x.std(axis=0))
+    z, rng, n = (x - mean) / scale, np.random.default_rng(quality.SEED), max((y == 1).sum(), (y == 0).sum())
+    sides = [np.concatenate([rng.permutation(np.resize(np.flatnonzero(y == label), n)) for _ in range(quality.PAIR_ROUNDS)]) for label in (1, 0)]
+    diff, w = z[sides[0]] - z[sides[1]], np.zeros(x.shape[1])
+    rate = 1 / (np.linalg.eigvalsh(diff.T @ diff / len(diff)).max() / 4 + quality.RIDGE)
+    ahead, before = w, w
+    for k in range(20_000):
+        wrong = 1 / (1 + np.exp(diff @ ahead))
+        before, w = w, ahead + rate * (diff.T @ wrong / len(diff) - quality.RIDGE * ahead)
+        ahead = w + k / (k + 3) * (w - before)
+    cut = np.quantile(z @ w, (y == 0).mean())
+    for r in quality.op9_quality(spark, data).collect():
+        raw = ((np.array(plain_features(texts[r.doc_id])) - mean) / scale) @ w - cut
+        assert abs(r.score - 1 / (1 + 7 / 3 * np.exp(-raw))) < 1e-3 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
 # --- 10
 
 
