@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldlab.llm import byte_bpe, canonical, language, licenses, media, mixing, near_dups, plane_store, quality, token_counts
+from fieldlab.llm import byte_bpe, canonical, language, licenses, media, mixing, near_dups, plane_store, quality, stream_dedup, token_counts
 
 QUERIES = {
     "op1_plane_store": plane_store.op1_plane_store,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_language": language.op8_language,
     "op9_quality": quality.op9_quality,
     "op10_near_dups": near_dups.op10_near_dups,
+    "op11_stream_dedup": stream_dedup.op11_stream_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.OP4_SQL, "op11_stream_dedup": stream_dedup.OP11_SQL}
