@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldlab.llm import byte_bpe, canonical, language, licenses, media, mixing, near_dups, plane_store, quality, stream_dedup, token_counts
+from fieldlab.llm import byte_bpe, canonical, language, licenses, manifest, media, mixing, near_dups, plane_store, quality, stream_dedup, token_counts
 
 QUERIES = {
     "op1_plane_store": plane_store.op1_plane_store,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_near_dups": near_dups.op10_near_dups,
     "op11_stream_dedup": stream_dedup.op11_stream_dedup,
+    "op12_manifest": manifest.op12_manifest,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.OP4_SQL, "op11_stream_dedup": stream_dedup.OP11_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.OP4_SQL, "op11_stream_dedup": stream_dedup.OP11_SQL, "op12_manifest": manifest.OP12_SQL}
