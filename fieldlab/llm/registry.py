@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldlab.llm import byte_bpe, canonical, language, licenses, manifest, media, mixing, near_dups, plane_store, quality, stream_dedup, token_counts
+from fieldlab.llm import byte_bpe, canonical, divergence, language, licenses, manifest, media, mixing, near_dups, plane_store, quality, stream_dedup, token_counts
 
 QUERIES = {
     "op1_plane_store": plane_store.op1_plane_store,
@@ -17,6 +17,12 @@ QUERIES = {
     "op10_near_dups": near_dups.op10_near_dups,
     "op11_stream_dedup": stream_dedup.op11_stream_dedup,
     "op12_manifest": manifest.op12_manifest,
+    "op13_divergence": divergence.op13_divergence,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.OP4_SQL, "op11_stream_dedup": stream_dedup.OP11_SQL, "op12_manifest": manifest.OP12_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op4_mixing": mixing.OP4_SQL,
+    "op11_stream_dedup": stream_dedup.OP11_SQL,
+    "op12_manifest": manifest.OP12_SQL,
+    "op13_divergence": divergence.OP13_SQL,
+}

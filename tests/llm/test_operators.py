@@ -42,7 +42,7 @@ def rows_of(df, key="doc_id"):
 def test_queries_keep_every_document(spark, docs):
     n = docs.count()
     for name, query in registry.QUERIES.items():
-        if name != "op2_licenses":
+        if name not in ("op2_licenses", "op13_divergence"):
             assert query(spark, DATA).select("doc_id").distinct().count() == n, name
 
 
