@@ -243,8 +243,8 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP12_SQL = """
 WITH RECURSIVE crcs AS (
   SELECT doc_id, source, lang, n_chars, text,
-         xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), c -> ascii(c)::BIGINT)),
-             (crc, byte) -> list_reduce(list_prepend(xor(crc, byte), range(8)), (x, _) -> CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) AS crc
+         xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+             lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))) AS crc
   FROM documents),
 fields AS (
   SELECT *, CASE WHEN crc % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS presented,
@@ -258,28 +258,28 @@ leaves AS (
          row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS rank
   FROM fields),
 nodes AS (
-  SELECT place, 0 AS height, rank AS at, leaf AS digest, count(*) OVER (PARTITION BY place) AS n FROM leaves
+  SELECT place, 0 AS height, rank AS pos, leaf AS digest, count(*) OVER (PARTITION BY place) AS n FROM leaves
   UNION ALL
-  SELECT place, height + 1, at // 8, sha256(string_agg(digest, '' ORDER BY at)), (any_value(n) + 7) // 8
-  FROM nodes WHERE n > 1 GROUP BY place, height, at // 8, n),
+  SELECT place, height + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 7) // 8
+  FROM nodes WHERE n > 1 GROUP BY place, height, pos // 8, n),
 subroots AS (
   SELECT place, height AS top, digest AS subroot FROM nodes WHERE n = 1),
 tops AS (
-  SELECT 0 AS height, place AS at, subroot AS digest, count(*) OVER () AS n FROM subroots
+  SELECT 0 AS height, place AS pos, subroot AS digest, count(*) OVER () AS n FROM subroots
   UNION ALL
-  SELECT height + 1, at // 8, sha256(string_agg(digest, '' ORDER BY at)), (any_value(n) + 7) // 8
-  FROM tops WHERE n > 1 GROUP BY height, at // 8, n),
+  SELECT height + 1, pos // 8, sha256(string_agg(digest, '' ORDER BY pos)), (any_value(n) + 7) // 8
+  FROM tops WHERE n > 1 GROUP BY height, pos // 8, n),
 tree AS (
-  SELECT l.doc_id, n.height, n.at, n.digest, l.rank // (8 ** n.height)::BIGINT AS own
+  SELECT l.doc_id, n.height, n.pos, n.digest, l.rank // (8 ** n.height)::BIGINT AS own
   FROM leaves l JOIN subroots s ON s.place = l.place
-  JOIN nodes n ON n.place = l.place AND n.height < s.top AND n.at // 8 = l.rank // (8 ** (n.height + 1))::BIGINT
+  JOIN nodes n ON n.place = l.place AND n.height < s.top AND n.pos // 8 = l.rank // (8 ** (n.height + 1))::BIGINT
   UNION ALL
-  SELECT l.doc_id, s.top + t.height, t.at, t.digest, l.place // (8 ** t.height)::BIGINT
+  SELECT l.doc_id, s.top + t.height, t.pos, t.digest, l.place // (8 ** t.height)::BIGINT
   FROM leaves l JOIN subroots s ON s.place = l.place
-  JOIN tops t ON t.n > 1 AND t.at // 8 = l.place // (8 ** (t.height + 1))::BIGINT),
+  JOIN tops t ON t.n > 1 AND t.pos // 8 = l.place // (8 ** (t.height + 1))::BIGINT),
 segments AS (
-  SELECT doc_id, height, coalesce(string_agg(digest, '' ORDER BY at) FILTER (at < own), '') AS before,
-         coalesce(string_agg(digest, '' ORDER BY at) FILTER (at > own), '') AS after
+  SELECT doc_id, height, coalesce(string_agg(digest, '' ORDER BY pos) FILTER (pos < own), '') AS before,
+         coalesce(string_agg(digest, '' ORDER BY pos) FILTER (pos > own), '') AS after
   FROM tree GROUP BY doc_id, height),
 fold AS (
   SELECT doc_id, 0 AS height, shown AS node FROM leaves
