@@ -2,18 +2,21 @@
 
 Text and template are compared as words. Anchors are words that occur once in the text's range and once in the
 template's; the longest run of anchors that rises in both is kept, equal words next to an anchor join it, and the gaps
-between anchors are aligned the same way; a gap without anchors is aligned by its longest common words. Coverage is the
-share of the template's words that are aligned; the span runs from the first to the last aligned word of the text.
+between anchors are aligned the same way; a gap without anchors is aligned by its longest common words, if it is of the
+order of the template's gap (SPREAD + 1 times it and SLACK at most), else left alone. Coverage is the
+share of the template's words that are aligned, density the share of the span's words that are aligned; the span runs from
+the first to the last aligned word of the text.
 
 Where a template is looked for:
 
 * A notice of a few words names its license by one or two of them, so those (REQUIRED) must be aligned: every place of the
   first of them is an anchor, and what stands before and after it, up to SPREAD words for each word of the notice, is
   aligned to the notice's two sides.
-* A longer template is looked for in the stretches where enough of its words stand close together, then, by the longest
-  common words, in windows of up to twice its length (where it stands twice, no word is an anchor), and then in the whole rest
-  of the text, however far its words lie apart. What stands before and after a span is searched again, so every copy
-  gives a span.
+* A longer template is found by its anchors: the words that stand once in it. Where at least ANCHORED of them stand close
+  enough in the text, chains of anchors are formed that rise in both and whose steps in the text are at most SPREAD + 1
+  times those in the template; the best chain (most anchors, less a little for foreign words in between) carries a hit,
+  and what stands before and after it is searched again, so every copy gives a span. Only the gaps between two anchors
+  of a chain, and as much beside its ends as the template has there, are aligned further.
 
 Spans that overlap are one passage: the template with the most aligned words has it (then the higher coverage, the
 shorter span, the name), so that a license whose words another one holds doesn't give a row beside it. A document without
@@ -36,7 +39,9 @@ from pyspark.sql import functions as F
 
 from fieldlab.llm.common import bounded_batches, steps, table
 
-LEAST, SPREAD = 0.8, 4
+#: Least coverage; foreign words for each word of a template, and beside them, in a gap; the share of a longer template's
+#: anchors that a hit must have; anchors that foreign words cost a chain, for each anchor's worth of them.
+LEAST, SPREAD, SLACK, ANCHORED, FOREIGN = 0.8, 4, 8, 0.5, 0.05
 #: Notices, as fixed values.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
@@ -131,7 +136,7 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
                 held[2 + side] = k
         anchors = sorted((x, y) for n, m, x, y in places.values() if n == m == 1)
         x, y = a, c
-        if not anchors:
+        if not anchors and b - a <= (SPREAD + 1) * (d - c) + SLACK:
             out += [(a + p, c + q) for p, q in common_words(text[a:b], template[c:d])]
         for p, q in [*_rising(anchors), (b, d)] if anchors else []:
             todo.append((x, p, y, q))
@@ -141,21 +146,6 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _windows(places: np.ndarray, need: int, width: int, length: int) -> list[tuple[int, int]]:
-    """Merged ranges of the text that hold `need` of the template's words within `width` words."""
-    if len(places) < need:
-        return []
-    first = np.flatnonzero(places[need - 1 :] - places[: len(places) - need + 1] < width)
-    out: list[list[int]] = []
-    for k in first.tolist():
-        a, b = max(0, int(places[k]) - width), min(length, int(places[k + need - 1]) + width)
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
 def longest_common(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     """As align, but the most words that rise in both: a row of bits for each word of the text, walked back."""
     bits: dict[str, int] = {}
@@ -209,38 +199,6 @@ def _reached(text: list[str], template: list[str]) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(zeros)))
 
 
-def _closest(words: list[str], places: np.ndarray, template: list[str], above: int, width: int) -> list[tuple[int, int]]:
-    """The longest common words of the template and a window of `width`, if more than `above`; places in words.
-
-    Every template word of the text begins a window. One is left out only if it cannot be longer: by the words that it
-    shares with the template, or by the last one's length and the template words that came in since."""
-    wanted, held = Counter(template), Counter()
-    at = places.tolist()
-    best: list[tuple[int, int]] = []
-    shared = most = end = 0
-    for k, first in enumerate(at):
-        while end < len(at) and at[end] < first + width:
-            word = words[at[end]]
-            shared += held[word] < wanted[word]
-            held[word] += 1
-            most += 1
-            end += 1
-        if min(shared, most) > above:
-            pairs = longest_common(words[first : at[end - 1] + 1], template)
-            most = len(pairs)
-            if most > above:
-                best, above = [(first + x, y) for x, y in pairs], most
-                if above == len(template):
-                    break
-        word = words[first]
-        held[word] -= 1
-        shared -= held[word] < wanted[word]
-    if not best:
-        return best
-    a, b, last = best[0][0], best[-1][0] + 1, len(template) - 1  # once more from its end, for the latest first word
-    return [(b - 1 - x, last - y) for x, y in longest_common(words[a:b][::-1], template[::-1])[::-1]]
-
-
 def number_words(templates: dict[str, list[str]]) -> tuple[dict[str, int], np.ndarray]:
     """Numbers of the templates' words, and how often each template (a row) has each; the last column is of no word."""
     number: dict[str, int] = {}
@@ -277,30 +235,81 @@ def _nearest(text: list[str], template: list[str]) -> list[tuple[int, int]]:
     return pairs if len(pairs) == len(template) else longest_common(text, template)
 
 
-def _copies(words: list[str], places: np.ndarray, template: list[str], need: int) -> list[list[tuple[int, int]]]:
-    """Alignments of a longer template; no two share a word of the text."""
-    out = []
-    todo = [(0, len(words))]
+def _dense(places: list[int], marks: list[int], least: int, width: int) -> list[tuple[int, int]]:
+    """Ranges of the anchors (indices) in which, within `width` words of the text, `least` different ones stand."""
+    held: Counter[int] = Counter()
+    out: list[list[int]] = []
+    first = 0
+    for k, mark in enumerate(marks):
+        held[mark] += 1
+        while places[k] - places[first] >= width:
+            held[marks[first]] -= 1
+            if not held[marks[first]]:
+                del held[marks[first]]
+            first += 1
+        if len(held) >= least:
+            if out and first < out[-1][1]:
+                out[-1][1] = k + 1
+            else:
+                out.append([first, k + 1])
+    return [(a, b) for a, b in out]
+
+
+def _chain(places: np.ndarray, marks: np.ndarray, each: float) -> list[int]:
+    """The best chain of anchors: indices. `each`: template words to an anchor."""
+    n = len(places)
+    score, before = np.ones(n), np.full(n, -1)
+    starts = np.searchsorted(places, places - (SPREAD + 1) * marks - SLACK)  # no step is longer
+    for k in range(n):
+        a = starts[k]
+        step, rise = places[k] - places[a:k], marks[k] - marks[a:k]
+        fits = np.flatnonzero((rise > 0) & (step <= (SPREAD + 1) * rise + SLACK))
+        if len(fits):
+            reached = score[a:k][fits] - FOREIGN / each * np.maximum(step[fits] - rise[fits], 0)
+            best = int(reached.argmax())
+            if reached[best] > 0:
+                score[k], before[k] = reached[best] + 1, a + fits[best]
+    out, k = [], int(score.argmax()) if n else -1
+    while k >= 0:
+        out.append(k)
+        k = int(before[k])
+    return out[::-1]
+
+
+def _filled(words: list[str], template: list[str], chain: list[tuple[int, int]], start: int, stop: int) -> list[tuple[int, int]]:
+    """The chain's anchors with what is aligned between them and beside its ends, within the text's range."""
+    out = list(chain)
+    for (x, y), (u, v) in zip(chain, chain[1:]):
+        out += [(x + 1 + p, y + 1 + q) for p, q in align(words[x + 1 : u], template[y + 1 : v])]
+    (x, y), (u, v) = chain[0], chain[-1]
+    a = max(start, x - (SPREAD + 1) * y - SLACK)
+    out += [(a + p, q) for p, q in _nearest(words[a:x], template[:y])]
+    rest = template[v + 1 :]
+    b = min(stop, u + 1 + (SPREAD + 1) * len(rest) + SLACK)
+    out += [(b - 1 - p, len(template) - 1 - q) for p, q in _nearest(words[u + 1 : b][::-1], rest[::-1])]
+    return sorted(out)
+
+
+def _copies(words: list[str], anchors: tuple[np.ndarray, np.ndarray], template: list[str], n_anchors: int, need: int) -> list[list[tuple[int, int]]]:
+    """Alignments of a longer template; no two share a word of the text. anchors: their places in text and template."""
+    least = max(1, int(np.ceil(ANCHORED * n_anchors)))
+    places, marks = anchors
+    width = (SPREAD + 1) * len(template) + SLACK
+    out, todo = [], [(0, len(words), a, b) for a, b in _dense(places.tolist(), marks.tolist(), least, width)]
     while todo:
-        start, stop = todo.pop()
-        own = places[np.searchsorted(places, start) : np.searchsorted(places, stop)]
-        wanted = Counter(template)
-        if len(own) < need or sum(min(n, wanted[w]) for w, n in Counter(words[k] for k in own.tolist()).items()) < need:
+        start, stop, a, b = todo.pop()
+        if b - a < least or len(np.unique(marks[a:b])) < least:
+            continue
+        found = [a + k for k in _chain(places[a:b], marks[a:b], len(template) / n_anchors)]
+        if len(found) < least:
             continue
-        best: list[tuple[int, int]] = []
-        for a, b in _windows(own, need, 2 * len(template), stop):
-            a = max(a, start)
-            pairs = align(words[a:b], template)
-            if len(pairs) > max(need - 1, len(best)) and pairs[-1][0] - pairs[0][0] < len(template) * 5 // 4:
-                best = [(a + x, y) for x, y in pairs]
-        for width in (len(template) * 5 // 4 + 1, 2 * len(template)):  # close ones first, for copies may stand side by side
-            if not best or len(best) < len(template) and width < 2 * len(template):
-                best = _closest(words, own, template, max(need - 1, len(best)), width) or best
-        if not best:
-            best = [(start + x, y) for x, y in align(words[start:stop], template)]
-        if len(best) >= need:
-            out.append(best)
-            todo += [(start, best[0][0]), (best[-1][0] + 1, stop)]
+        pairs = _filled(words, template, [(int(places[k]), int(marks[k])) for k in found], start, stop)
+        first, last = pairs[0][0], pairs[-1][0]
+        if len(pairs) >= need and last - first < width:
+            out.append(pairs)
+        for low, high in ((start, first), (last + 1, stop)):
+            c, d = np.searchsorted(places[a:b], [low, high]) + a
+            todo.append((low, high, int(c), int(d)))
     return out
 
 
@@ -310,8 +319,8 @@ def scan(
     least: float = LEAST,
     numbered: tuple[dict[str, int], np.ndarray] | None = None,
     required: dict[str, list[str]] = REQUIRED,
-) -> list[tuple[str, float, int, int]]:
-    """(license, coverage, first, end in characters) of every passage that a template covers by `least`, in order."""
+) -> list[tuple[str, float, int, int, float]]:
+    """(license, coverage, first, end in characters, density) of every passage that a template covers by `least`, in order."""
     low = text.lower()
     number, wanted = numbered or number_words(templates)
     spans = [m.span() for m in _WORD.finditer(low)]
@@ -330,9 +339,15 @@ def scan(
                 continue
             hits = _anchored(words, np.flatnonzero(codes == marks[0]).tolist(), template, required[name], need)
         else:
-            hits = _copies(words, np.flatnonzero(wanted[row][codes]), template, need)
+            once = wanted[row] == 1
+            at = np.flatnonzero(once[codes])
+            order = {number[w]: k for k, w in enumerate(template) if once[number[w]]}
+            if (wanted[row][there] == 1).sum() < ANCHORED * len(order):
+                continue
+            hits = _copies(words, (at, np.fromiter((order[c] for c in codes[at].tolist()), np.int64, len(at))), template, len(order), need)
         found += [(-len(p), -len(p) / len(template), p[-1][0] - p[0][0], name, p[0][0], p[-1][0]) for p in hits]
-    return sorted(((name, -cover, spans[a][0], spans[b][1]) for _, cover, _, name, a, b in _apart(found)), key=lambda x: x[2:])
+    kept = [(name, -cover, spans[a][0], spans[b][1], -n / (b - a + 1)) for n, cover, _, name, a, b in _apart(found)]
+    return sorted(kept, key=lambda x: x[2:])
 
 
 def _apart(found: list[tuple]) -> list[tuple]:
@@ -349,12 +364,12 @@ def _apart(found: list[tuple]) -> list[tuple]:
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
-    """doc_id, license, coverage, start, end of every passage of every row that a template covers. No shuffle."""
+    """doc_id, license, coverage, start, end, density of every passage of every row that a template covers. No shuffle."""
     split = {name: _WORD.findall(t.lower()) for name, t in (TEMPLATES if templates is None else templates).items()}
     numbered = number_words(split)
     bounded_batches(docs.sparkSession)
-    names = ["doc_id", "license", "coverage", "start", "end"]
-    kinds = (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32())
+    names = ["doc_id", "license", "coverage", "start", "end", "density"]
+    kinds = (pa.int64(), pa.string(), pa.float64(), pa.int32(), pa.int32(), pa.float64())
 
     def run(batches):
         for batch in batches:
@@ -364,9 +379,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=names)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return texts.mapInArrow(run, "doc_id long, license string, coverage double, start int, end int")
+    return texts.mapInArrow(run, "doc_id long, license string, coverage double, start int, end int, density double")
 
 
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages of the whole texts of `documents` that a template covers: doc_id, license, coverage, start, end."""
+    """Passages of the whole texts of `documents` that a template covers: doc_id, license, coverage, start, end,
+    density; nulls, repeats and empty tables as the module says."""
     return scan_licenses(table(spark, sf_dir, "documents"))

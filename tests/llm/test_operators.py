@@ -127,14 +127,73 @@ def test_notices_of_other_licenses():
 
 
 def test_spread_templates_are_found():
-    """The words of a long template may lie far apart, in several copies, and in large tables."""
+    """A few foreign words after each word of a long template still give every copy; a span of many times its words is none."""
     grant = licenses.TEMPLATES["MIT-grant"].split()
     split = {"MIT-grant": licenses._WORD.findall(licenses.TEMPLATES["MIT-grant"].lower())}
-    for between in (1, 3, 40):
-        for times in (1, 2):
+    for between in (0, 1, 3, 40):
+        for times in (1, 2, 5):
             text = " ".join(w + " foo bar baz"[: 4 * min(between, 3)] + " qux" * max(0, between - 3) for w in grant * times)
             found = licenses.scan("filler " * 50 + text, split)
-            assert found and found[0][1] == 1.0 and (times == 1 or between > 1 or len(found) == 2)
+            assert [x[1] for x in found] == ([1.0] * times if between < 40 else [])
+            assert all(abs(x[4] * (between + 1) - 1) < 0.05 for x in found)
+
+
+def naive_align(text, template, first=(0, 0)):
+    """Patience alignment as it reads: equal ends, words that are unique on both sides, the longest rising run, the gaps."""
+    x, y = first
+    if not text or not template:
+        return []
+    if text[0] == template[0]:
+        return [(x, y), *naive_align(text[1:], template[1:], (x + 1, y + 1))]
+    if text[-1] == template[-1]:
+        return [*naive_align(text[:-1], template[:-1], first), (x + len(text) - 1, y + len(template) - 1)]
+    unique = [w for w in text if text.count(w) == 1 and template.count(w) == 1]
+    run = licenses._rising([(text.index(w), template.index(w)) for w in unique])
+    if not run:
+        fits = len(text) <= (licenses.SPREAD + 1) * len(template) + licenses.SLACK
+        return [(x + p, y + q) for p, q in licenses.longest_common(text, template)] if fits else []
+    out, a, c = [], 0, 0
+    for p, q in [*run, (len(text), len(template))]:
+        out += naive_align(text[a:p], template[c:q], (x + a, y + c)) + ([(x + p, y + q)] if p < len(text) else [])
+        a, c = p + 1, q + 1
+    return out
+
+
+def test_alignment_equals_a_naive_one():
+    rng = np.random.default_rng(3)
+    for k in range(400):
+        size = 3 + k % 60
+        a, b = (rng.integers(0, size, rng.integers(0, 60)).astype(str).tolist() for _ in range(2))
+        assert licenses.align(a, b) == naive_align(a, b)
+    for _ in range(200):  # the rising run is a longest one
+        places = rng.permutation(rng.integers(1, 12)).tolist()
+        best = [1] * len(places)
+        for i, p in enumerate(places):
+            best[i] = 1 + max([best[j] for j in range(i) if places[j] < p], default=0)
+        run = licenses._rising(list(enumerate(places)))
+        assert len(run) == max(best) and all(p[1] < q[1] for p, q in zip(run, run[1:]))
+
+
+def test_scan_of_long_texts():
+    """Edited copies of a long license are all found in linear time; a manual of the language holds none."""
+    import pydoc_data.topics
+
+    split = {k: licenses._WORD.findall(v.lower()) for k, v in licenses.TEMPLATES.items()}
+    numbered, draw = licenses.number_words(split), random.Random(1)
+    words = licenses.TEMPLATES["GPL-2.0"].split()
+    edited = lambda: " ".join("zzz" if draw.random() < 0.03 else w for w in words if draw.random() > 0.03)
+    began = time.perf_counter()
+    found = licenses.scan(" some filler text ".join(edited() for _ in range(10)), split, numbered=numbered)
+    assert [x[0] for x in found] == ["GPL-2.0"] * 10 and min(x[1] for x in found) > 0.88
+    manual = "\n".join(pydoc_data.topics.topics.values())
+    assert len(manual) > 400_000 and licenses.scan(manual, split, numbered=numbered) == []
+    assert time.perf_counter() - began < 20
+
+
+def test_scan_of_clashing_columns(spark):
+    notice = licenses.TEMPLATES["GPL-3.0-notice"]
+    df = spark.createDataFrame([(1, notice, "x", 0.5, 1), (None, notice, "y", 0.5, 2)], "doc_id long, text string, license string, coverage double, start int")
+    assert sorted((r.doc_id is None, r.license, r.coverage) for r in licenses.scan_licenses(df).collect()) == [(False, "GPL-3.0-notice", 1.0), (True, "GPL-3.0-notice", 1.0)]
 
 
 @pytest.mark.parametrize("cells", [1, 40, 10**9])
