@@ -3,56 +3,31 @@ empty strings are alike, an empty and a full one are not, a null on either side
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-#: Rows of a keyboard, as fixed values: letters beside each other in a row, or at most one place apart in the next, are neighbours.
-KEYS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
-PLACES = {c: (r, k) for r, row in enumerate(KEYS) for k, c in enumerate(row)}
-
-
-def substitution(a: str, b: str) -> float:
-    """0 for equal letters, half for neighbours on the keyboard, else 1."""
-    if a == b:
-        return 0.0
-    p, q = PLACES.get(a), PLACES.get(b)
-    return 0.5 if p and q and abs(p[0] - q[0]) <= 1 and abs(p[1] - q[1]) <= 1 else 1.0
-
-
-def alignment_cost(a: str, b: str, keyboard: bool = False) -> float:
-    """Edits from a to b, where two letters that changed places are one (each letter in one edit only); with `keyboard`,
-    substitutions cost what `substitution` says and swaps don't count."""
-    before, row = None, [float(k) for k in range(len(b) + 1)]
-    for i, x in enumerate(a, 1):
-        now = [float(i)]
-        for j, y in enumerate(b, 1):
-            cost = substitution(x, y) if keyboard else float(x != y)
-            least = min(row[j] + 1, now[j - 1] + 1, row[j - 1] + cost)
-            if not keyboard and before and i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                least = min(least, before[j - 2] + 1)
-            now.append(least)
-        before, row = row, now
-    return row[-1]
+from fieldlab.functions import kernels as k
 
 
 def _each(one):
+    """A kernel over the pairs of a batch that have both strings; the others are null."""
+
     def run(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([None if a is None or b is None else one(a, b) for a, b in zip(left, right)], dtype="float64")
+        there = (left.notna() & right.notna()).to_numpy()
+        out = np.full(len(left), np.nan)
+        if there.any():
+            out[there] = one(left[there].tolist(), right[there].tolist())
+        return pd.Series(out).astype(object).where(there, None).astype("Float64")
 
     return run
 
 
-def _share(cost: float, a: str, b: str) -> float:
-    return 1.0 if not a and not b else max(0.0, 1 - cost / max(len(a), len(b)))
-
-
-swap_similarity = F.pandas_udf(_each(lambda a, b: _share(alignment_cost(a, b), a, b)), DoubleType())
-keyboard_similarity = F.pandas_udf(_each(lambda a, b: _share(alignment_cost(a, b, True), a, b)), DoubleType())
-sequence_ratio = F.pandas_udf(_each(lambda a, b: SequenceMatcher(None, a, b, autojunk=False).ratio()), DoubleType())
+swap_similarity = F.pandas_udf(_each(lambda a, b: k.shares(k.swap_distances(a, b), a, b)), DoubleType())
+keyboard_similarity = F.pandas_udf(_each(lambda a, b: k.shares(k.keyboard_distances(a, b), a, b)), DoubleType())
+sequence_ratio = F.pandas_udf(_each(k.ratios), DoubleType())
 
 
 def register(spark: SparkSession) -> None:
@@ -96,7 +71,7 @@ def token_sort(a: Column, b: Column) -> Column:
 def prefix_share(a: Column, b: Column) -> Column:
     """The common beginning by the shorter length."""
     n = F.least(F.length(a), F.length(b))
-    same = F.size(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda k: F.substring(a, F.lit(1), k) == F.substring(b, F.lit(1), k)))
+    same = F.size(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(a, F.lit(1), i) == F.substring(b, F.lit(1), i)))
     return F.when(n == 0, 0.0).otherwise(same / n)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldlab.operators.matching import similar_pairs
 from fieldlab.sources.tables import table
 
 #: Whole words that stand for an intent, with weights, as fixed values of this demonstration catalogue.
@@ -86,30 +87,6 @@ def lev_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("place = 1 and score >= 0.7").select("asked", "p_name", F.round("score", 6).alias("score"), F.round(F.coalesce("margin", F.lit(1.0)), 6).alias("margin"))
 
 
-def similar_pairs(asked: DataFrame, names: DataFrame) -> DataFrame:
-    """All pairs of distinct (asked, name) whose edit distance is at most 0.3 of the longer one's length, with their score.
-
-    A name cut in d + 1 pieces has one that d edits leave whole, moved by d places at most. So equi joins on length, d,
-    number of the piece and its text find every pair, wherever its edits are."""
-    start, to = "i * {n} div (d + 1)", "(i + 1) * {n} div (d + 1)"
-
-    def piece(n: str, text: str, shift: str) -> str:
-        first, end = start.format(n=n), to.format(n=n)
-        return f"named_struct('n', int({n}), 'd', int(d), 'i', int(i), 'piece', substring({text}, int({first} + {shift} + 1), int({end} - {first})))"
-
-    own = "length(name)"
-    in_name = f"flatten(transform(sequence({own} * 3 div 10, {own} * 3 div 7), d -> transform(sequence(0L, d), i -> {piece(own, 'name', '0')})))"
-    inside = f"s -> {start.format(n='x.n')} + s >= 0 and {to.format(n='x.n')} + s <= length(asked)"
-    moved = f"flatten(transform(sequence(0L, d), i -> transform(filter(sequence(-d, d), {inside}), s -> {piece('x.n', 'asked', 's')})))"
-    sizes = "transform(sequence(greatest(1L, length(asked) * 7 div 10), length(asked) * 10 div 7), n -> named_struct('n', n, 'd', greatest(n, length(asked)) * 3 div 10))"
-    in_asked = f"array_distinct(flatten(transform({sizes}, x -> flatten(transform(array(x.d), d -> {moved})))))"
-    left = asked.where("asked <> ''").distinct().select("asked", F.explode(F.expr(in_asked)).alias("key"))
-    right = names.where("name <> ''").distinct().select("name", F.explode(F.expr(in_name)).alias("key"))
-    pairs = left.join(right, "key").select("asked", "name").distinct()
-    longer = F.greatest(F.length("asked"), F.length("name"))
-    return pairs.withColumn("d", F.levenshtein("asked", "name")).where(10 * F.col("d") <= 3 * longer).select("asked", "name", (1 - F.col("d") / longer).alias("score"))
-
-
 def lev_match_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names with a character left out or replaced, at a place that the part's number gives, back to catalogue names:
     the best of all names at an edit similarity of 0.7 at least, with its margin to the next of those."""

@@ -12,13 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldlab.functions import similarity as s
-from fieldlab.plans.messages import phonetic_key, similar_pairs, tokens
+from fieldlab.operators import matching
 from fieldlab.sources.tables import table
 
-#: Weights of the parts of a fuzzy score (the parts that need a text beside the names are left to the caller).
-PARTS = {"edit": 0.14, "swap": 0.21, "keyboard": 0.06, "ratio": 0.12, "token_set": 0.14, "token_sort": 0.12, "prefix": 0.08, "initials": 0.04, "length": 0.04, "phonetic": 0.05}
-#: Least scores by length of what was said: up to 3, up to 5 letters, longer.
-THRESHOLDS = ((3, 0.95), (5, 0.84), (10**6, 0.72))
 ALIAS_SCORES = {"name": 0.99, "alias": 0.94, "abbreviation": 0.86, "surname": 0.78}
 
 
@@ -59,7 +55,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """asked, name: what is said and the names within three tenths of edits of it, none left out."""
     asked = requests(spark, sf_dir).select(F.col("said").alias("asked"))
     names = table(spark, sf_dir, "part").select(F.lower("p_name").alias("name")).distinct()
-    return similar_pairs(asked, names).select("asked", "name")
+    return matching.similar_pairs(asked, names).select("asked", "name")
 
 
 def token_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,33 +72,13 @@ def kernel_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("asked", "name", *[F.round(c, 6).alias(c) for c in ("swap", "keyboard", "ratio")], F.round(s.blended(a, b, F.col("ratio")), 6).alias("blended"))
 
 
-def scored_pairs(pairs: DataFrame) -> DataFrame:
-    """pairs (asked, name) with the weighted score of their parts, and 0.03 more where they begin alike, at most 1."""
-    a, b = F.col("asked"), F.col("name")
-    rows = pairs.withColumns({"swap": s.swap_similarity(a, b), "keyboard": s.keyboard_similarity(a, b), "ratio": s.sequence_ratio(a, b)})
-    parts = {
-        "edit": s.edit_similarity(a, b), "swap": F.col("swap"), "keyboard": F.col("keyboard"), "ratio": F.col("ratio"), "token_set": s.token_set(a, b), "token_sort": s.token_sort(a, b),
-        "prefix": s.prefix_share(a, b), "initials": s.initials_match(a, b), "length": s.length_share(a, b), "phonetic": s.edit_similarity(phonetic_key(a), phonetic_key(b)),
-    }
-    score = reduce(lambda x, y: x + y, [parts[k] * w for k, w in PARTS.items()]) + F.when(F.substring(a, 1, 1) == F.substring(b, 1, 1), 0.03).otherwise(0.0)
-    return rows.withColumn("score", F.round(F.least(score, F.lit(1.0)), 9)).drop("swap", "keyboard", "ratio")
-
-
-def decided(scored: DataFrame) -> DataFrame:
-    """The best name of each asked text with the margin to the next and the decision: accepted from the threshold of its
-    length on, ambiguous where the next name is as near as .02 (.05 below a score of .9), else rejected."""
-    best = Window.partitionBy("asked").orderBy(F.desc("score"), "name")
-    rows = scored.withColumns({"place": F.row_number().over(best), "margin": F.col("score") - F.lead("score").over(best)}).where("place = 1")
-    n = F.length(F.regexp_replace("asked", " ", ""))
-    threshold = reduce(lambda w, t: w.when(n <= t[0], t[1]), THRESHOLDS[1:], F.when(n <= THRESHOLDS[0][0], THRESHOLDS[0][1]))
-    wide = F.when(F.col("score") >= 0.9, 0.02).otherwise(0.05)
-    decision = F.when(F.col("score") < threshold, "rejected").when(F.coalesce(F.col("margin"), F.lit(1.0)) < wide, "ambiguous").otherwise("accepted")
-    return rows.select("asked", "name", F.round("score", 6).alias("score"), F.round("margin", 6).alias("margin"), decision.alias("decision"))
-
-
 def fuzzy_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each said name is taken for."""
-    return decided(scored_pairs(_pairs(spark, sf_dir)))
+    return _rounded(matching.decide(matching.fuzzy_scores(_pairs(spark, sf_dir))))
+
+
+def _rounded(decisions: DataFrame) -> DataFrame:
+    return decisions.withColumns({"score": F.round("score", 6), "margin": F.round("margin", 6)})
 
 
 def best_cover(segments: list, n_tokens: int, most: int = 4) -> list:
@@ -130,9 +106,9 @@ def corrected_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored, the best cover of the message is chosen, and its spans are rewritten from the right."""
     rows = requests(spark, sf_dir).select("msg_id", "text", F.split("text", " ").alias("w"))
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))), lambda k: F.struct(k.alias("start"), n.alias("n"), F.array_join(F.slice("w", k + 1, n), " ").alias("asked")))))
-    windows = rows.select("msg_id", F.explode(spans).alias("x")).select("msg_id", "x.*").where("length(asked) > 4")
+    windows = rows.select("msg_id", F.explode(spans).alias("x")).select("msg_id", "x.*")
     names = table(spark, sf_dir, "part").select(F.lower("p_name").alias("name")).distinct()
-    taken = decided(scored_pairs(similar_pairs(windows.select("asked"), names).select("asked", "name"))).where("decision = 'accepted'")
+    taken = matching.decide(matching.fuzzy_scores(matching.similar_pairs(windows.select("asked"), names).select("asked", "name"))).where("decision = 'accepted'")
     hits = windows.join(taken, "asked").groupBy("msg_id").agg(F.collect_list(F.struct("start", "n", "score", "name")).alias("hits"))  # a few for each message
 
     @F.pandas_udf("string")

@@ -1,8 +1,13 @@
 """Fuzzy matching and corrections against brute force."""
 
 import random
+import time
+from difflib import SequenceMatcher
 
-from fieldlab.functions import similarity
+import numpy as np
+
+from fieldlab.functions import kernels, similarity
+from fieldlab.operators import matching
 from fieldlab.plans import understanding
 
 DATA = "/root/testdata/sf0.001"
@@ -26,12 +31,55 @@ def swaps(a, b):
     return cost(len(a), len(b))
 
 
+def keyboard(a, b):
+    """Plain rows of the table with a neighbour's cost."""
+    row = [float(j) for j in range(len(b) + 1)]
+    where = {c: (r, i) for r, keys in enumerate(kernels.KEYS) for i, c in enumerate(keys)}
+    near = lambda x, y: x in where and y in where and abs(where[x][0] - where[y][0]) <= 1 and abs(where[x][1] - where[y][1]) <= 1
+    for i, x in enumerate(a, 1):
+        now = [float(i)]
+        for j, y in enumerate(b, 1):
+            cost = 0 if x == y else kernels.NEIGHBOUR if near(x, y) else 1
+            now.append(min(now[-1] + 1, row[j] + 1, row[j - 1] + cost))
+        row = now
+    return row[-1]
+
+
+def strings(n, seed, most):
+    r = random.Random(seed)
+    one = lambda: "".join(r.choice("abcdqwe é漢") for _ in range(r.randint(0, most)))
+    return [one() for _ in range(n)], [one() for _ in range(n)]
+
+
 def test_costs():
-    r = random.Random(9)
-    for _ in range(400):
-        a, b = ("".join(r.choice("abcd ") for _ in range(r.randint(0, 8))) for _ in range(2))
-        assert similarity.alignment_cost(a, b) == swaps(a, b)
-    assert similarity.alignment_cost("cat", "vat", True) == 0.5 and similarity.alignment_cost("cat", "pat", True) == 1
+    a, b = strings(10_000, 9, 9)
+    assert kernels.swap_distances(a, b).tolist() == [swaps(x, y) for x, y in zip(a, b)]
+    assert np.allclose(kernels.keyboard_distances(a, b), [keyboard(x, y) for x, y in zip(a, b)])
+    assert np.allclose(kernels.ratios(a, b), [SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)])
+    assert np.allclose(kernels.keyboard_distances(["cat", "cat"], ["vat", "pat"]), [0.35, 1])
+    a, b = strings(60, 4, 150)  # longer than a word of bits, and of very unequal lengths
+    a[0], b[1] = "", "x" * 3000
+    assert kernels.swap_distances(a, b).tolist() == [swaps(x, y) if len(x) < 3000 > len(y) else kernels.keyboard_distances([x], [y], 1.0)[0] for x, y in zip(a, b)]
+    assert np.allclose(kernels.ratios(a, b), [SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)])
+    assert kernels.ratios([], []).tolist() == []
+
+
+def test_costs_take_a_batch_at_a_time():
+    a, b = strings(3000, 2, 30)
+    plain = time.perf_counter()
+    for x, y in zip(a[:100], b[:100]):
+        keyboard(x, y)
+    plain = (time.perf_counter() - plain) * 30
+    batch = time.perf_counter()
+    kernels.swap_distances(a, b)
+    assert time.perf_counter() - batch < plain / 5  # much more, on a machine at rest
+
+
+def test_words():
+    alike = lambda x, y: np.array([float(p == q) if p[0] != "z" else 0.5 for p, q in zip(x, y)])
+    left, right = [["a", "b"], ["a", "a"], [], ["z", "a"], ["a"]], [["b", "a"], ["a", "c"], ["a"], ["a", "b"], ["b", "a"]]
+    coverage, alignment = kernels.token_measures(left, right, alike)
+    assert coverage.tolist() == [1.0, 0.5, 0.0, 0.25, 0.5] and alignment.tolist() == [0.0, 0.5, 0.0, 0.25, 0.0]
 
 
 def test_kernels(spark):
@@ -57,6 +105,36 @@ def test_cover():
     assert sorted(chosen) == sorted(best) and understanding.best_cover([], 3) == []
 
 
+def test_similar_pairs_are_all_found(spark):
+    r = random.Random(5)
+    base = ["".join(r.choice("abcde ") for _ in range(r.randint(1, 40))) for _ in range(60)] + ["a", "ab", "aaaa", "aaaaaaaaaaaa", "é" * 9, "x" * 80]
+    def edited(t):
+        for _ in range(r.randint(0, 1 + len(t) // 3)):
+            at = r.randrange(len(t) + 1)
+            t = t[:at] + r.choice(["", "z", "a", "é"]) + t[at + r.randint(0, 1) :]
+        return t
+    asked = [edited(t) for t in base for _ in range(3)] + [None, ""]
+    frames = spark.createDataFrame([(t,) for t in asked], "asked string"), spark.createDataFrame([(t,) for t in [*base, None, "", base[0]]], "name string")
+    every = [(a, b) for a in set(asked) if a for b in set(base)]
+    cost = kernels.keyboard_distances([a for a, _ in every], [b for _, b in every], 1.0)
+    want = {(a, b) for (a, b), d in zip(every, cost) if 10 * d <= 3 * max(len(a), len(b))}
+    for hot in (4096, 9):
+        got = [(x.asked, x.name) for x in matching.similar_pairs(*frames, hot=hot).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_parts_of_the_score(spark):
+    rows = [("corbin carroll", "corbin carroll"), ("corbin carol", "corbin carroll"), ("carroll corbin", "corbin carroll"), ("cc", "corbin carroll"), ("the", "theo"), ("", "x"), (None, "x")]
+    got = {r.asked: r for r in matching.fuzzy_scores(spark.createDataFrame(rows, "asked string, name string")).collect()}
+    assert abs(sum(matching.WEIGHTS.values()) - 1) < 1e-9 and got["corbin carroll"].score == 1
+    assert got["corbin carol"].parts.token_alignment > 0.8 and got["corbin carol"].parts.coverage > 0.8 and got["corbin carol"].score > 0.85
+    assert got["carroll corbin"].parts.token_sort == 1 and got["carroll corbin"].parts.coverage == 1
+    assert got["cc"].parts.initials == 1 and got["the"].score < 0.6 and got[""].score == 0 and got[None].score is None
+    plain = lambda a, b: SequenceMatcher(None, a, b, autojunk=False).ratio()
+    partial = max(plain("corbin carol", "corbin carroll"[k : k + 12]) for k in range(3))
+    assert abs(got["corbin carol"].parts.partial - partial) < 1e-9 and abs(got["corbin carol"].parts.sequence - plain("corbin carol", "corbin carroll")) < 1e-9
+
+
 def test_decisions_and_corrections(spark):
     said = {r.msg_id: r for r in understanding.requests(spark, DATA).collect()}
     found = {r.asked: r for r in understanding.fuzzy_decisions(spark, DATA).collect()}
