@@ -67,11 +67,18 @@ def rolling(log: DataFrame, config: FeatureConfig = DEFAULT) -> DataFrame:
 
 
 def window_rates(log: DataFrame, config: FeatureConfig = DEFAULT) -> DataFrame:
-    """Every rate over the last n earlier games, for all windows: each field is summed once a window."""
+    """Every rate over the last n earlier games, for all windows. Fields of whole numbers have one running sum each, and each
+    window what it was n games before: their difference is exact. Other fields are summed once a window."""
     fields = sorted({f for pair in config.rates.values() for f in pair})
-    sums = {f"__{f}_{n}": GAME.last(n, F.sum(f)) for n in config.windows for f in fields}
-    found = with_history(log, sums)
-    return found.select(*log.columns, *[rate(f"__{a}_{n}", f"__{b}_{n}").alias(f"{name}_{n}") for n in config.windows for name, (a, b) in config.rates.items()])
+    whole = [f for f in fields if log.schema[f].dataType.typeName() in ("byte", "short", "integer", "long")]
+    so_far = F.struct(*[F.coalesce(GAME.last(None, F.sum(F.coalesce(F.col(f).cast("long"), F.lit(0)))), F.lit(0)).alias(f) for f in whole])
+    rows = log.withColumn("__sums", so_far)
+    before = {f"__before_{n}": F.lag("__sums", n).over(GAME.order) for n in config.windows}
+    rows = with_history(rows, before | {f"__{f}_{n}": GAME.last(n, F.sum(f)) for n in config.windows for f in fields if f not in whole})
+    rows = GAME.settle(rows, ["__sums"])
+    earlier = lambda f, n: F.coalesce(F.col(f"__before_{n}")[f], F.lit(0))
+    last = lambda f, n: F.col("__sums")[f] - earlier(f, n) if f in whole else F.col(f"__{f}_{n}")
+    return rows.select(*log.columns, *[rate(last(a, n), last(b, n)).alias(f"{name}_{n}") for n in config.windows for name, (a, b) in config.rates.items()])
 
 
 def feature_rows(log: DataFrame, config: FeatureConfig = DEFAULT) -> DataFrame:

@@ -102,3 +102,20 @@ def feedback_metrics(events: DataFrame, window: str = "1 hour", late: str = "2 h
     return marked.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("mean")).select(
         F.col("w.start").alias("start"), "event_type", "n", "mean"
     )
+
+
+def resolve_stream(forecasts: DataFrame, outcomes: DataFrame, within: str = "2 days", delay: str = "1 hour") -> DataFrame:
+    """forecasts (forecast_id, player_id, outcome, probability, made_at) with what came of them (outcomes: outcome_id,
+    player_id, outcome, happened, seen_at): the label, and a training weight 1 + |error|, at most 2. A forecast meets
+    the outcomes of its player and kind that are seen after it and within `within`; one that meets none comes out, without a label,
+    when the outcomes' watermark has passed. Rows of one id that come again within the watermark count once, so a replayed batch
+    adds nothing; rows later than `delay` are left out. Append output, for streams."""
+    f = forecasts.withWatermark("made_at", delay).dropDuplicatesWithinWatermark(["forecast_id"]).alias("f")
+    o = outcomes.withWatermark("seen_at", delay).dropDuplicatesWithinWatermark(["outcome_id"]).alias("o")
+    same = (F.col("f.player_id") == F.col("o.player_id")) & (F.col("f.outcome") == F.col("o.outcome"))
+    soon = (F.col("seen_at") >= F.col("made_at")) & (F.col("seen_at") <= F.col("made_at") + F.expr(f"INTERVAL {within}"))
+    error = F.abs(F.col("happened").cast("double") - F.col("probability"))
+    return f.join(o, same & soon, "left_outer").select(
+        "forecast_id", F.col("f.player_id").alias("player_id"), F.col("f.outcome").alias("outcome"), "probability", "made_at", "outcome_id",
+        F.col("happened").cast("double").alias("label"), F.when(F.col("outcome_id").isNotNull(), F.least(1 + error, F.lit(2.0))).alias("weight"), F.col("outcome_id").isNotNull().alias("resolved"),
+    )
