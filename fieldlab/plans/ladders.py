@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldlab.operators import profiles
+from fieldlab.operators.profiles import hitter_profiles
 from fieldlab.sources.tables import GAME_LOG_SQL, game_log, table
 
 # fixed values
@@ -88,21 +90,10 @@ def risk_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hitter_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Power, contact and discipline tiers, and the strength (largest rate by its baseline) and risk (its counterpart) of
-    every player; ties go to the name that comes first here."""
-    bases = F.col("hits") + F.col("doubles") + 2 * F.col("triples") + 3 * F.col("home_runs")
-    sums = [F.sum(c).alias(c) for c in ("plate_appearances", "at_bats", "hits", "walks", "strikeouts", "home_runs")]
-    rows = game_log(spark, sf_dir).groupBy("player_id").agg(*sums, F.sum(bases).alias("bases"))
-    per = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    c = F.col
-    rows = rows.withColumns({"hr": per(c("home_runs"), c("plate_appearances")), "iso": per(c("bases") - c("hits"), c("at_bats")), "avg": per(c("hits"), c("at_bats")), "bb": per(c("walks"), c("plate_appearances")), "k": per(c("strikeouts"), c("plate_appearances"))})
-    tier = lambda x, a, b: F.when(x >= a, "plus").when(x >= b, "average").otherwise("minus")
-    first = lambda pairs: F.array_max(F.array(*[F.struct(F.round(x, 9).alias("x"), F.lit(-k).alias("k"), F.lit(n).alias("name")) for k, (n, x) in enumerate(pairs)]))["name"]
-    return rows.select(
-        "player_id", tier(F.greatest(c("hr"), c("iso") / 5), 0.05, 0.03).alias("power"), tier(c("avg"), 0.28, 0.24).alias("contact"), tier(c("bb"), 0.10, 0.07).alias("discipline"),
-        first([("power", c("hr") / 0.032), ("contact", c("avg") / 0.245), ("discipline", c("bb") / 0.083)]).alias("strength"),
-        first([("strikeouts", c("k") / 0.225), ("weak_contact", 0.245 / F.greatest(c("avg"), F.lit(0.01))), ("few_walks", 0.083 / F.greatest(c("bb"), F.lit(0.01)))]).alias("risk"),
-    )
+    """The sample, seven tiers, strength and risk of every player over all games."""
+    names = ("plate_appearances", "at_bats", "hits", "doubles", "triples", "home_runs", "walks", "strikeouts", "rbi", "runs")
+    lines = game_log(spark, sf_dir).groupBy("player_id").agg(*[F.sum(c).alias(c) for c in names], F.sum(F.least("rbi", "walks")).alias("stolen_bases"))
+    return hitter_profiles(lines).select("player_id", "sample", "power", "contact", "discipline", "strikeout", "production", "speed", "ops", "strength", "risk")
 
 
 def row_group(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,7 +252,7 @@ def sanitised(spark: SparkSession, sf_dir: str) -> DataFrame:
     wild = F.when(c("o_orderkey") % 50 == 0, F.lit(float("inf"))).when(c("o_orderkey") % 50 == 1, c("o_totalprice") * 1e6).otherwise(c("o_totalprice") / 3)
     rows = table(spark, sf_dir, "orders").select("o_orderkey", (c("o_orderstatus") == "F").alias("closed"), wild.alias("x"), "o_orderdate")
     x = F.when(F.isnan("x") | c("x").isin(float("inf"), float("-inf")), 0.0).otherwise(F.least(F.greatest("x", F.lit(-1e8)), F.lit(1e8)))
-    return rows.select("o_orderkey", c("closed").cast("double").alias("closed"), F.round(x, 6).alias("x"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    return rows.select("o_orderkey", c("closed").cast("double").alias("closed"), F.round(x, 10).alias("x"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
 
 
 def context_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,6 +350,10 @@ QUERIES = {f.__name__: f for f in (
 
 _LOG = f"WITH {GAME_LOG_SQL}"
 _W = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
+def _tier(value: str, tiers) -> str:
+    return f"CASE WHEN n <= 0 THEN '{profiles.NO_SAMPLE}' " + " ".join(f"WHEN {value} >= {least}::DOUBLE THEN '{name}'" for least, name in tiers[0]) + f" ELSE '{tiers[1]}' END"
+
+
 ORACLE_SQL = {
     "strict_counts": f"""{_LOG}, x AS (SELECT game_id, hits, nullif(doubles, 0) AS d, triples, home_runs, CASE WHEN at_bats > 1 THEN at_bats END AS ab FROM log)
         SELECT game_id, CASE WHEN d IS NOT NULL THEN greatest(hits - d - triples - home_runs, 0) END AS singles, round(hits / ab, 6) AS avg FROM x""",
@@ -370,12 +365,16 @@ ORACLE_SQL = {
     "resolved_predictions": "SELECT o_orderkey, o_totalprice > 300000 OR o_orderstatus <> 'P' AS resolved FROM orders",
     "risk_profile": f"""{_LOG}, x AS (SELECT player_id, sum(plate_appearances) AS n, 100.0::DOUBLE * sum(home_runs) / sum(plate_appearances) AS pct FROM log GROUP BY 1)
         SELECT player_id, round(pct, 4) AS pct, CASE WHEN player_id % 10 = 0 THEN 'live_sample' WHEN n < 50 THEN 'small_sample' WHEN pct >= 50 THEN 'high_probability' WHEN pct <= 4 THEN 'low_probability' ELSE 'normal' END AS profile FROM x""",
-    "hitter_profile": f"""{_LOG}, s AS (SELECT player_id, sum(plate_appearances)::DOUBLE AS pa, sum(at_bats)::DOUBLE AS ab, sum(hits)::DOUBLE AS h, sum(walks)::DOUBLE AS w, sum(strikeouts)::DOUBLE AS so, sum(home_runs)::DOUBLE AS homers,
-        sum(doubles + 2 * triples + 3 * home_runs)::DOUBLE AS extra FROM log GROUP BY 1), r AS (SELECT player_id, homers / pa AS hr, coalesce(extra / nullif(ab, 0), 0) AS iso, coalesce(h / nullif(ab, 0), 0) AS avg, w / pa AS bb, so / pa AS k FROM s),
-        v AS (SELECT *, round(hr / 0.032e0, 9) AS s1, round(avg / 0.245e0, 9) AS s2, round(bb / 0.083e0, 9) AS s3, round(k / 0.225e0, 9) AS k1, round(0.245e0 / greatest(avg, 0.01), 9) AS k2, round(0.083e0 / greatest(bb, 0.01), 9) AS k3 FROM r)
-        SELECT player_id, CASE WHEN greatest(hr, iso / 5) >= 0.05e0 THEN 'plus' WHEN greatest(hr, iso / 5) >= 0.03e0 THEN 'average' ELSE 'minus' END AS power, CASE WHEN avg >= 0.28e0 THEN 'plus' WHEN avg >= 0.24e0 THEN 'average' ELSE 'minus' END AS contact,
-        CASE WHEN bb >= 0.1e0 THEN 'plus' WHEN bb >= 0.07e0 THEN 'average' ELSE 'minus' END AS discipline, CASE WHEN s1 >= s2 AND s1 >= s3 THEN 'power' WHEN s2 >= s3 THEN 'contact' ELSE 'discipline' END AS strength,
-        CASE WHEN k1 >= k2 AND k1 >= k3 THEN 'strikeouts' WHEN k2 >= k3 THEN 'weak_contact' ELSE 'few_walks' END AS risk FROM v""",
+    "hitter_profile": f"""{_LOG}, s AS (SELECT player_id, sum(plate_appearances)::DOUBLE AS pa, sum(at_bats)::DOUBLE AS ab, sum(hits)::DOUBLE AS h, sum(walks)::DOUBLE AS w, sum(strikeouts)::DOUBLE AS so, sum(home_runs)::DOUBLE AS homers, sum(rbi)::DOUBLE AS rbi, sum(runs)::DOUBLE AS runs,
+        sum(least(rbi, walks))::DOUBLE AS sb, sum(doubles + 2 * triples + 3 * home_runs)::DOUBLE AS extra FROM log GROUP BY 1),
+        r AS (SELECT player_id, greatest(pa, ab) AS n, coalesce(homers / nullif(pa, 0), 0) AS hr, coalesce(h / nullif(ab, 0), 0) AS hit, coalesce(w / nullif(pa, 0), 0) AS bb, coalesce(so / nullif(pa, 0), 0) AS k, greatest(coalesce(rbi / nullif(pa, 0), 0), coalesce(runs / nullif(pa, 0), 0)) AS made,
+          coalesce((h + extra) / nullif(ab, 0), 0) AS tb, coalesce(extra / nullif(ab, 0), 0) AS iso, coalesce((h + w) / nullif(pa, 0), 0) AS obp, sb / greatest(h + w, 1) AS steals FROM s),
+        v AS (SELECT *, hr / 0.032e0 AS s1, hit / 0.245e0 AS s2, bb / 0.086e0 AS s3, made / 0.135e0 AS s4, tb / 0.36e0 AS s5, CASE WHEN n BETWEEN 1 AND 149 THEN 1e0 ELSE 0e0 END AS k1, k / 0.22e0 AS k2, 0.245e0 / greatest(hit, 0.001e0) AS k3, 0.032e0 / greatest(hr, 0.001e0) AS k4 FROM r)
+        SELECT player_id, CASE WHEN n >= 350 THEN 'strong' WHEN n >= 150 THEN 'moderate' WHEN n >= 50 THEN 'weak' WHEN n > 0 THEN 'tiny' ELSE 'no_sample' END AS sample,
+        {_tier("greatest(hr, iso / 5)", profiles.POWER)} AS power, {_tier("hit", profiles.CONTACT)} AS contact, {_tier("bb", profiles.DISCIPLINE)} AS discipline, {_tier("k", profiles.STRIKEOUTS)} AS strikeout, {_tier("made", profiles.PRODUCTION)} AS production,
+        {_tier("steals", profiles.SPEED)} AS speed, {_tier("obp + tb", profiles.OPS)} AS ops,
+        CASE WHEN n <= 0 THEN 'Unavailable' WHEN s1 = greatest(s1, s2, s3, s4, s5) THEN 'Power' WHEN s2 = greatest(s2, s3, s4, s5) THEN 'Contact' WHEN s3 = greatest(s3, s4, s5) THEN 'Plate Discipline' WHEN s4 >= s5 THEN 'Run Production' ELSE 'Total Bases' END AS strength,
+        CASE WHEN n <= 0 THEN 'No usable hitting sample' WHEN k1 = greatest(k1, k2, k3, k4) THEN 'Small Sample' WHEN k2 = greatest(k2, k3, k4) THEN 'Strikeout Rate' WHEN k3 >= k4 THEN 'Low Contact' ELSE 'Low Power' END AS risk FROM v""",
     "row_group": """WITH x AS (SELECT event_id, event_type, list_distinct(list_filter([event_type, CASE WHEN value > 50 THEN 'view' END, CASE WHEN value > 100 THEN 'error' END], lambda s: s IS NOT NULL)) AS signs FROM events)
         SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'hitting' WHEN event_type LIKE 'sign%' THEN 'pitching' WHEN len(list_filter(signs, lambda s: s IN ('error', 'signup', 'view'))) > len(list_filter(signs, lambda s: s IN ('click', 'view', 'purchase'))) THEN 'pitching' ELSE 'hitting' END AS stat_group FROM x""",
     "sample_status": f"""{_LOG}, x AS (SELECT player_id, pitcher_throws, sum(plate_appearances)::BIGINT AS n FROM log GROUP BY 1, 2) SELECT *, CASE WHEN pitcher_throws = 'L' THEN CASE WHEN n < 100 THEN 'insufficient' WHEN n < 500 THEN 'limited' WHEN n < 1500 THEN 'usable' ELSE 'strong' END
@@ -397,7 +396,7 @@ ORACLE_SQL = {
     "parsed_times": "SELECT o_orderkey, CASE WHEN o_orderkey % 6 <> 4 THEN epoch(CASE WHEN o_orderkey % 6 IN (1, 2) THEN date_trunc('day', o_orderdate) ELSE o_orderdate END)::BIGINT END AS seconds FROM orders",
     "days_to_ship": "SELECT l_orderkey, l_linenumber, round(coalesce(date_diff('microsecond', o_orderdate, l_shipdate) / 8.64e10, -1), 6) AS days FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey",
     "inferred_season": "SELECT page_id, coalesce(nullif(regexp_extract(html, 'season=([0-9]{4})', 1), ''), nullif(regexp_extract(url, '(20[0-9]{2})', 1), ''), '2024')::INT AS season FROM pages",
-    "sanitised": """SELECT o_orderkey, (o_orderstatus = 'F')::INT::DOUBLE AS closed, round(CASE o_orderkey % 50 WHEN 0 THEN 0 WHEN 1 THEN least(o_totalprice * 1e6, 1e8) ELSE o_totalprice / 3 END, 6) AS x, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders""",
+    "sanitised": """SELECT o_orderkey, (o_orderstatus = 'F')::INT::DOUBLE AS closed, round(CASE o_orderkey % 50 WHEN 0 THEN 0 WHEN 1 THEN least(o_totalprice * 1e6, 1e8) ELSE o_totalprice / 3 END, 10) AS x, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders""",
     "context_features": f"""{_LOG}, x AS (SELECT *, CASE WHEN game_id % 4 = 0 THEN 1.1e0 ELSE 0.9e0 + team_id * 0.01e0 END AS pk, CASE WHEN (game_id % 3 = 0) = (player_id % 2 = 0) THEN 1e0 ELSE -1e0 END AS pl FROM log)
         SELECT player_id, game_id, round((game_id % 25) * cos(radians(game_id % 360)), 6) + 0 AS wind_out, round((game_id % 25) * sin(radians(game_id % 360)), 6) + 0 AS wind_cross, (game_id % 2 = 0)::INT::DOUBLE AS is_home, (game_id % 5 < 2)::INT::DOUBLE AS is_day,
         round(pk, 6) AS park, pl AS platoon, round(hits * pk, 6) AS hits_park, round((game_id % 5) * pl, 6) + 0 AS rest_platoon, round(ln(1 + game_id % 360) / (1 + game_id % 5), 6) AS travel_fatigue FROM x""",

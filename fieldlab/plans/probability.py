@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldlab.operators.profiles import park_factor, team_runs, weather_factor
 from fieldlab.sources.tables import GAME_LOG_SQL, game_log
 
 # fixed values: league means of the outcomes, and the range that a rate is held to
@@ -246,16 +247,22 @@ def context_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def expected_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs that each team can expect at home against the next team by number, and away: the geometric mean of what it
-    scores and what the other allows, its strength, the park, and the other side's pitching."""
+    scores and what the other allows, its strength, the park and the weather of the place (fixed functions of the home team's
+    number, for the tables have neither), and the other side's pitching."""
     log = game_log(spark, sf_dir)
     teams = log.groupBy("team_id").agg((F.sum("runs") / F.count(F.lit(1)) * 2).alias("scored"), (F.sum("rbi") / F.count(F.lit(1)) * 2).alias("allowed"), (F.sum("hits") / F.sum("at_bats") * 2).alias("ops"))
     away = teams.select((F.col("team_id") - 1).alias("team_id"), F.col("team_id").alias("opponent_id"), F.col("allowed").alias("other_allowed"))
     rows = teams.join(away, "team_id")
     strength = held(mean_of([(F.col("scored") / TEAM_RUNS, 0.45), (F.col("ops") / 0.720, 0.30)]), 0.65, 1.45)
     pitching = held(F.col("other_allowed") / TEAM_RUNS, 0.72, 1.35)
-    base = F.sqrt(F.greatest("scored", F.lit(0.1)) * F.greatest("other_allowed", F.lit(0.1))) * F.exp((strength - 1) * 0.18) * pitching
-    runs = lambda home: six(held(base * home, 1.2, 10.5))
-    return rows.select("team_id", "opponent_id", six(strength).alias("strength"), runs(1.035).alias("home_runs"), runs(0.985).alias("away_runs"))
+
+    def runs(home: bool) -> Column:
+        place = F.col("team_id") if home else F.col("opponent_id")
+        park = park_factor((85 + place * 2).cast("double"))
+        weather = weather_factor((50 + place * 2).cast("double"), (place % 11 - 5).cast("double"), F.when(place % 3 > 0, 40 + place).cast("double"))
+        return six(team_runs(F.col("scored"), F.col("other_allowed"), strength, pitching, park, weather, F.lit(home)))
+
+    return rows.select("team_id", "opponent_id", six(strength).alias("strength"), runs(True).alias("home_runs"), runs(False).alias("away_runs"))
 
 
 # --- the workbench
@@ -406,8 +413,11 @@ ORACLE_SQL = {
         round(schedule + 1e-10, 6) AS schedule, round(lineup + 1e-10, 6) AS lineup, round(platoon + 1e-10, 6) AS platoon, round(p + 1e-10, 6) AS p, round(1 - pow(1 - p, n) + 1e-10, 6) AS game_p, round(p * n + 1e-10, 6) AS expected, round(n * p * (1 - p) + 1e-10, 6) AS variance FROM g""",
     "expected_runs": f"""WITH {GAME_LOG_SQL}, t AS (SELECT team_id, sum(runs) * 2e0 / count(*) AS scored, sum(rbi) * 2e0 / count(*) AS allowed, sum(hits) * 2e0 / sum(at_bats) AS ops FROM log GROUP BY 1),
         x AS (SELECT a.team_id, b.team_id AS opponent_id, a.scored, b.allowed, least(greatest((0.45e0 * a.scored / 4.4e0 + 0.3e0 * a.ops / 0.72e0) / 0.75e0, 0.65), 1.45) AS strength FROM t a JOIN t b ON b.team_id = a.team_id + 1),
-        y AS (SELECT *, sqrt(greatest(scored, 0.1e0) * greatest(allowed, 0.1e0)) * exp((strength - 1) * 0.18e0) * least(greatest(allowed / 4.4e0, 0.72), 1.35) AS base FROM x)
-        SELECT team_id, opponent_id, round(strength + 1e-10, 6) AS strength, round(least(greatest(base * 1.035e0, 1.2), 10.5) + 1e-10, 6) AS home_runs, round(least(greatest(base * 0.985e0, 1.2), 10.5) + 1e-10, 6) AS away_runs FROM y""",
+        y AS (SELECT *, sqrt(greatest(scored, 0.1e0) * greatest(allowed, 0.1e0)) * exp((strength - 1) * 0.18e0) * least(greatest(allowed / 4.4e0, 0.72), 1.35) AS base FROM x),
+        z AS (SELECT *, unnest([team_id, opponent_id]) AS place, unnest([1.035e0, 0.985e0]) AS side FROM y),
+        w AS (SELECT *, least(greatest((85 + place * 2) / 100e0, 0.75), 1.3) AS park, least(greatest(exp(least(greatest((place * 2 - 22) * 0.0018e0, -0.055), 0.065) + least(greatest((place % 11 - 5) * 0.004e0, -0.075), 0.075) + CASE WHEN place % 3 > 0 THEN least(greatest((place - 15) * -0.0004e0, -0.02), 0.02) ELSE 0 END), 0.85), 1.16) AS weather FROM z),
+        v AS (SELECT *, least(greatest(base * side * park * weather, 1.2), 10.5) AS runs FROM w)
+        SELECT team_id, opponent_id, round(strength + 1e-10, 6) AS strength, round(max(runs) FILTER (side > 1) + 1e-10, 6) AS home_runs, round(max(runs) FILTER (side < 1) + 1e-10, 6) AS away_runs FROM v GROUP BY ALL""",
     "observed_rates": f"{_PROFILE}, r AS (SELECT player_id, {', '.join(f'{v} AS {k}' for k, v in _OBSERVED.items())} FROM w) UNPIVOT r ON {', '.join(_RATES)} INTO NAME rate VALUE value",
     "workbench": f"""{_PROFILE}, e AS (SELECT player_id, greatest(pa, ab) AS n, unnest([{', '.join(f"{{'outcome': '{k}', 'observed': {_OBSERVED[r]}, 'baseline': {PRIORS[k]}::DOUBLE, 'lo': {BOUNDS[k][0]}::DOUBLE, 'hi': {BOUNDS[k][1]}::DOUBLE}}" for k, r in BENCH.items())}], recursive := true) FROM w),
         v AS (SELECT *, CASE WHEN n >= 600 THEN 0.9e0 WHEN n >= 500 THEN 0.88e0 WHEN n >= 350 THEN 0.82e0 WHEN n >= 150 THEN 0.68e0 WHEN n >= 50 THEN 0.45e0 WHEN n > 0 THEN 0.25e0 ELSE 0e0 END AS weight FROM e),
