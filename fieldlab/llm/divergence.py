@@ -35,7 +35,7 @@ from fieldlab.llm.common import bounded_batches, stage, table
 
 SCALE, MIN_DOCS, TOP = 1_000_000_000, 3, 200
 #: Sources in a block and terms in a block, on average; distinct terms that a counting task holds before it passes them on.
-SOURCE_BLOCK, TERM_BLOCK, HELD = 8, 2048, 300_000
+SOURCE_BLOCK, TERM_BLOCK, HELD = 8, 2048, 600_000
 #: In UTF-8 every byte of a character beyond ASCII is 0x80 or more.
 _TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
 COUNTS = "lang string, source string, term binary, count long, docs long"
@@ -84,9 +84,11 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(SCALE * (count + 1) / (total + terms)), exactly."""
-    whole = F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * (count + 1).cast("decimal(19,0)"), F.greatest(total + terms, F.lit(1)).cast("decimal(19,0)"))
-    return whole.cast("long") + 1
+    """1 + floor(SCALE * (count + 1) / (total + terms)), exactly: in 64 bits while the product fits, else in decimals."""
+    base = F.greatest(total + terms, F.lit(1))
+    long = F.call_function("div", F.lit(SCALE).cast("long") * (count + 1), base)
+    wide = F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * (count + 1).cast("decimal(19,0)"), base.cast("decimal(19,0)"))
+    return F.when(count < 9_000_000_000, long).otherwise(wide.cast("long")) + 1
 
 
 def _block(of: Column, blocks: Column) -> Column:
