@@ -140,36 +140,54 @@ def _message(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", low.alias("low"), F.array_distinct(F.split(low, " ")).alias("w"))
 
 
+def _rule_met(kind: str, pattern: str) -> Column:
+    if kind in ("phrase", "word"):
+        return F.contains(F.concat(F.lit(" "), "low", F.lit(" ")), F.lit(f" {pattern} "))
+    if kind == "set":
+        return F.size(F.array_intersect("w", F.array(*[F.lit(p) for p in pattern.split()]))) == len(pattern.split())
+    return F.col("low").startswith(pattern) if kind == "prefix" else F.col("low").rlike(pattern)
+
+
+def _nets() -> Column:
+    """Array of (intent, net, rules) of the intents that a message has evidence for; all within its own row."""
+    out = []
+    for intent in PRECEDENCE:
+        met = [(_rule_met(k, p).cast("int"), w) for k, p, i, w in RULES if i == intent]
+        net, rules = reduce(lambda x, y: x + y, [m * F.lit(w) for m, w in met]), reduce(lambda x, y: x + y, [m for m, _ in met])
+        out.append(F.when(rules > 0, F.struct(F.lit(intent).alias("intent"), net.alias("net"), rules.cast("long").alias("rules"))))
+    return F.array_compact(F.array(*out))
+
+
 def rule_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Net weight of the rules by message and intent: all rules are tried in one pass, as columns of the message's row."""
-    def met(kind: str, pattern: str) -> Column:
-        if kind in ("phrase", "word"):
-            return F.contains(F.concat(F.lit(" "), "low", F.lit(" ")), F.lit(f" {pattern} "))
-        if kind == "set":
-            return F.size(F.array_intersect("w", F.array(*[F.lit(p) for p in pattern.split()]))) == len(pattern.split())
-        return F.col("low").startswith(pattern) if kind == "prefix" else F.col("low").rlike(pattern)
+    """Net weight of the rules by message and intent: all rules are tried in one pass over the message's row, no shuffle."""
+    return _message(spark, sf_dir).select("conv_id", "turn", F.explode(_nets()).alias("x")).select("conv_id", "turn", "x.*")
+
 
-    hits = F.array_compact(F.array(*[F.when(met(k, p), F.struct(F.lit(i).alias("intent"), F.lit(w).alias("weight"))) for k, p, i, w in RULES]))
-    rows = _message(spark, sf_dir).select("conv_id", "turn", F.explode(hits).alias("x"))
-    return rows.groupBy("conv_id", "turn", F.col("x.intent").alias("intent")).agg(F.sum("x.weight").alias("net"), F.count(F.lit(1)).alias("rules"))
+def _with_intent(rows: DataFrame) -> DataFrame:
+    """rows with the intent of each message, its score and confidence; null without evidence. No shuffle."""
+    rank = lambda x: F.array_position(F.array(*[F.lit(p) for p in PRECEDENCE]), x["intent"])
+    score = lambda net: 1 - F.exp(-F.greatest(net, F.lit(0.0)) / 10)
+    ordered = F.array_sort(F.transform("nets", lambda x: F.struct((-x["net"]).alias("back"), rank(x).alias("rank"), x.alias("of"))))
+    rows = rows.withColumn("nets", _nets()).withColumn("ranked", ordered)
+    best, second = F.get("ranked", F.lit(0))["of"], F.get("ranked", F.lit(1))["of"]
+    rows = rows.withColumns({"intent": best["intent"], "top": score(best["net"]), "next": F.coalesce(score(second["net"]), F.lit(0.0)), "met": best["rules"]})
+    confidence = F.least(0.30 + 0.48 * F.col("top") + 0.18 * (F.col("top") - F.col("next")) + F.when(F.col("met") > 1, 0.05).otherwise(0.0), F.lit(0.99))
+    known = F.col("intent").isNotNull()
+    rows = rows.withColumns({"score": F.when(known, F.round("top", 6)), "confidence": F.when(known, F.round(confidence, 6))})
+    return rows.drop("nets", "ranked", "top", "next", "met")
 
 
 def intent_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The intent of each message: saturated net weights, ties by precedence; confidence .30 + .48 of the top, .18 of its
     margin, .05 with two rules, at most .99."""
-    rank = F.array_position(F.array(*[F.lit(p) for p in PRECEDENCE]), F.col("intent"))
-    best = Window.partitionBy("conv_id", "turn").orderBy(F.desc("net"), rank)
-    score = 1 - F.exp(-F.greatest("net", F.lit(0.0)) / 10)
-    rows = rule_evidence(spark, sf_dir).withColumn("score", score).withColumns({"place": F.row_number().over(best), "next": F.lead("score").over(best)})
-    confidence = F.least(0.30 + 0.48 * F.col("score") + 0.18 * (F.col("score") - F.coalesce("next", F.lit(0.0))) + F.when(F.col("rules") > 1, 0.05).otherwise(0.0), F.lit(0.99))
-    return rows.where("place = 1").select("conv_id", "turn", "intent", F.round("score", 6).alias("score"), F.round(confidence, 6).alias("confidence"))
+    return _with_intent(_message(spark, sf_dir)).where("intent IS NOT NULL").select("conv_id", "turn", "intent", "score", "confidence")
 
 
 def intent_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row a message: length, words, flags, and the net weight of each intent (0 without evidence)."""
-    wide = rule_evidence(spark, sf_dir).groupBy("conv_id", "turn").pivot("intent", list(PRECEDENCE)).agg(F.sum("net"))
-    rows = _message(spark, sf_dir).select("conv_id", "turn", F.length("low").alias("length"), F.size("w").alias("distinct_words"), F.col("low").rlike("[0-9]").cast("double").alias("has_number"))
-    return rows.join(wide, ["conv_id", "turn"], "left").fillna(0.0, list(PRECEDENCE))
+    of = lambda i: F.coalesce(F.get(F.filter("nets", lambda x: x["intent"] == i), F.lit(0))["net"], F.lit(0.0)).alias(i)
+    rows = _message(spark, sf_dir).withColumn("nets", _nets())
+    return rows.select("conv_id", "turn", F.length("low").alias("length"), F.size("w").alias("distinct_words"), F.col("low").rlike("[0-9]").cast("double").alias("has_number"), *[of(i) for i in PRECEDENCE])
 
 
 def follow_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +206,7 @@ def follow_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fallback_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a message goes to the fallback route, by the first rule that fits, and a quality from 0 to 100."""
-    rows = _message(spark, sf_dir).join(intent_decisions(spark, sf_dir), ["conv_id", "turn"], "left")
+    rows = _with_intent(_message(spark, sf_dir))
     reason = (
         F.when(F.col("intent").isNull(), "no_primary").when(F.col("low").rlike("(^| )explain( |$)"), "explicit_request").when(F.col("intent").isin("compare") & (F.size("w") < 8), "missing_entity")
         .when(F.col("confidence") >= 0.45, "accepted").when(F.col("confidence") < 0.38, "low_confidence").otherwise("unresolved")
@@ -215,7 +233,7 @@ def guard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def training_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages as examples to learn from: quality, whether they need review (below 60), and every reason why they failed."""
-    rows = _message(spark, sf_dir).join(intent_decisions(spark, sf_dir), ["conv_id", "turn"], "left")
+    rows = _with_intent(_message(spark, sf_dir))
     c = F.col
     failed = F.array_compact(F.array(
         F.when(c("intent").isNull(), "no_intent"), F.when(c("confidence") < 0.4, "low_confidence"), F.when(F.size("w") < 3, "too_short"), F.when(F.size("w") > 60, "too_long"),
