@@ -61,70 +61,63 @@ def logistic(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def posterior(outcome: str, successes: Column, trials: Column, strength: float = STRENGTH) -> Column:
-    n = F.greatest(trials, F.lit(0))
-    rate = (PRIORS[outcome] * strength + F.least(F.greatest(successes, F.lit(0)), n)) / (strength + n)
-    return held(rate, *BOUNDS[outcome])
+#: What an outcome's successes and trials are counted by, and its successes in the last ten games.
+COUNTED = {
+    "hit": ("hits", "at_bats", "recent_hits"), "single": ("hits - (doubles + triples + home_runs)", "at_bats", None), "double": ("doubles", "at_bats", None), "triple": ("triples", "at_bats", None),
+    "home_run": ("home_runs", "plate_appearances", "recent_home_runs"), "walk": ("walks", "plate_appearances", "recent_walks"), "strikeout": ("strikeouts", "plate_appearances", "recent_strikeouts"), "rbi": ("rbi", "plate_appearances", None),
+    "run": ("runs", "plate_appearances", None), "extra_base_hit": ("doubles + triples + home_runs", "at_bats", None), "reach_base": ("hits + walks", "plate_appearances", None), "total_bases": ("total_bases", "plate_appearances", None),
+}
 
 
-def base_rates() -> dict[str, Column]:
-    """The twelve rates of a profile with counts, and of its tracking measures where they are known."""
-    c = F.col
-    hit = posterior("hit", c("hits"), c("at_bats"))
-    hit = F.when(c("xba").isNotNull(), logistic(0.78 * logit(hit) + 0.22 * logit(part(c("xba"))))).otherwise(hit)
-    homer = mean_of([
-        (posterior("home_run", c("home_runs"), c("plate_appearances")), 0.72),
-        (held(part(c("barrel_rate")) * 0.42, 0.002, 0.180), 0.16),
-        (held((part(c("hard_hit_rate")) - 0.20) * 0.13, 0.002, 0.120), 0.07),
-        (held((part(c("xslg")) - 0.250) * 0.10, 0.002, 0.150), 0.05),
-    ])
-    extra = c("doubles") + c("triples") + c("home_runs")
-    bases = F.when(c("plate_appearances") > 0, c("total_bases") / c("plate_appearances")).otherwise(PRIORS["total_bases"])
-    return {
-        "hit": held(hit, *BOUNDS["hit"]),
-        "single": posterior("single", c("hits") - extra, c("at_bats")),
-        "double": posterior("double", c("doubles"), c("at_bats")),
-        "triple": posterior("triple", c("triples"), c("at_bats")),
-        "home_run": held(homer, *BOUNDS["home_run"]),
-        "walk": posterior("walk", c("walks"), c("plate_appearances")),
-        "strikeout": posterior("strikeout", c("strikeouts"), c("plate_appearances")),
-        "rbi": posterior("rbi", c("rbi"), c("plate_appearances")),
-        "run": posterior("run", c("runs"), c("plate_appearances")),
-        "extra_base_hit": posterior("extra_base_hit", extra, c("at_bats")),
-        "reach_base": posterior("reach_base", c("hits") + c("walks"), c("plate_appearances")),
-        "total_bases": held(bases, *BOUNDS["total_bases"]),
-    }
+def counted_outcomes(profiles: DataFrame, keep: list[str]) -> DataFrame:
+    """A row for each profile and outcome: seen, of (trials), lately, the prior and the bounds of the outcome; and the measures
+    that some outcomes need. Counts come first and rates after, so that no row has twelve rates' code at once."""
+    prior, low, high = (F.create_map(*[x for k in COUNTED for x in (F.lit(k), F.lit(float(v(k))))]) for v in (PRIORS.get, lambda k: BOUNDS[k][0], lambda k: BOUNDS[k][1]))
+    whole = lambda e: F.expr(e or "NULL").cast("double")
+    rows = F.array(*[F.struct(F.lit(k).alias("outcome"), whole(s).alias("seen"), whole(n).alias("of"), whole(r).alias("lately")) for k, (s, n, r) in COUNTED.items()])
+    long = profiles.select(*keep, *[F.col(m).alias(f"_{m}") for m in MEASURES], F.explode(rows).alias("x")).select(*keep, *[f"_{m}" for m in MEASURES], "x.*")
+    return long.withColumns({"_prior": prior[F.col("outcome")], "_low": low[F.col("outcome")], "_high": high[F.col("outcome")]})
 
 
-def recent_rates() -> dict[str, Column]:
-    seen = {"hit": "recent_hits", "home_run": "recent_home_runs", "walk": "recent_walks", "strikeout": "recent_strikeouts"}
-    n = F.col("recent_pa")
-    return {k: F.when(n > 0, posterior(k, F.col(v), n, RECENT_STRENGTH)) for k, v in seen.items()}
+MEASURES = ("xba", "barrel_rate", "hard_hit_rate", "xslg", "xwoba", "recent_pa")
 
 
-def tracking_rates() -> dict[str, Column]:
-    c = F.col
+def _bounded(x: Column) -> Column:
+    return F.least(F.greatest(x, F.col("_low")), F.col("_high"))
+
+
+def _posterior(seen: Column, of: Column, strength: float) -> Column:
+    n = F.greatest(of, F.lit(0))
+    return _bounded((F.col("_prior") * strength + F.least(F.greatest(seen, F.lit(0)), n)) / (strength + n))
+
+
+def base_rate() -> Column:
+    """The rate of a counted outcome, and of its tracking measures where they are known."""
+    c, is_ = (lambda m: F.col(f"_{m}")), (lambda k: F.col("outcome") == k)
+    rate = F.col("_rate")
+    hit = F.when(c("xba").isNotNull(), logistic(0.78 * logit(rate) + 0.22 * logit(part(c("xba"))))).otherwise(rate)
+    homer = mean_of([(rate, 0.72), (held(part(c("barrel_rate")) * 0.42, 0.002, 0.180), 0.16), (held((part(c("hard_hit_rate")) - 0.20) * 0.13, 0.002, 0.120), 0.07), (held((part(c("xslg")) - 0.250) * 0.10, 0.002, 0.150), 0.05)])
+    bases = F.when(F.col("of") > 0, F.col("seen") / F.col("of")).otherwise(F.col("_prior"))
+    return F.when(is_("hit"), _bounded(hit)).when(is_("home_run"), _bounded(homer)).when(is_("total_bases"), _bounded(bases)).otherwise(rate)
+
+
+def tracking_rate() -> Column:
+    """What tracking measures alone say of an outcome; null for the others."""
+    c = lambda m: F.col(f"_{m}")
     power = [(held(part(c("barrel_rate")) * 0.42, 0.002, 0.20), 0.45), (held((part(c("hard_hit_rate")) - 0.18) * 0.16, 0.002, 0.20), 0.25)]
-    slug = [(held(part(c("xslg")), 0.05, 0.80), 0.30)]
-    found = {
-        "hit": part(c("xba")),
-        "home_run": mean_of([*power, (held((part(c("xslg")) - 0.250) * 0.10, 0.002, 0.18), 0.30)]),
-        "extra_base_hit": mean_of(power + slug),
-        "total_bases": mean_of(power + slug),
-        "reach_base": held(part(c("xwoba")), 0.10, 0.60),
-    }
-    return {k: held(v, 0.0, 1.0) for k, v in found.items()}
+    slug = held(part(c("xslg")), 0.05, 0.80)
+    homers = held((part(c("xslg")) - 0.250) * 0.10, 0.002, 0.18)
+    is_ = lambda *ks: F.col("outcome").isin(*ks)
+    mixed = mean_of([*power, (F.when(is_("home_run"), homers).otherwise(slug), 0.30)])
+    found = F.when(is_("hit"), part(c("xba"))).when(is_("home_run", "extra_base_hit", "total_bases"), mixed).when(is_("reach_base"), held(part(c("xwoba")), 0.10, 0.60))
+    return F.when(found.isNotNull(), held(found, 0.0, 1.0))
 
 
 def outcome_table(profiles: DataFrame, keep: list[str]) -> DataFrame:
     """keep, outcome, base, recent, tracking and their blend by log-odds (1, 0.20, 0.18), a row for each of the twelve."""
-    base, recent, track = base_rates(), recent_rates(), tracking_rates()
-    none = F.lit(None).cast("double")
-    rows = F.array(*[
-        F.struct(F.lit(k).alias("outcome"), v.cast("double").alias("base"), recent.get(k, none).alias("recent"), track.get(k, none).alias("tracking"))
-        for k, v in base.items()
-    ])
-    long = profiles.select(*keep, F.explode(rows).alias("x")).select(*keep, "x.*")
+    long = counted_outcomes(profiles, keep).withColumn("_rate", _posterior(F.col("seen"), F.col("of"), STRENGTH))
+    lately = F.when(F.col("lately").isNotNull() & (F.col("_recent_pa") > 0), _posterior(F.col("lately"), F.col("_recent_pa"), RECENT_STRENGTH))
+    long = long.select(*keep, "outcome", base_rate().cast("double").alias("base"), lately.alias("recent"), tracking_rate().alias("tracking"))
     blend = logistic(mean_of([(logit(F.col("base")), 1.0), (logit(F.col("recent")), 0.20), (logit(F.col("tracking")), 0.18)]))
     return long.withColumn("blended", blend)
 
@@ -159,9 +152,10 @@ def outcome_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plate_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shares of the seven ways that a plate appearance ends, expected bases, chance to get on base, entropy in bits."""
-    rates = base_rates()
     names = ["single", "double", "triple", "home_run", "walk", "strikeout"]
-    rows = profiles(game_log(spark, sf_dir)).select("player_id", F.array(*[rates[k].cast("double") for k in names]).alias("p"))
+    rates = outcome_table(profiles(game_log(spark, sf_dir)), ["player_id"]).where(F.col("outcome").isin(names))
+    rows = rates.groupBy("player_id").agg(*[F.max(F.when(F.col("outcome") == k, F.col("base"))).alias(k) for k in names])
+    rows = rows.select("player_id", F.array(*names).alias("p"))
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
     rows = rows.withColumn("p", F.array_append("p", F.greatest(1 - total(F.col("p")), F.lit(0.01))))
     rows = rows.withColumn("p", F.transform("p", lambda x: x / total(F.col("p"))))

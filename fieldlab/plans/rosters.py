@@ -103,9 +103,9 @@ def best_of_team(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = rows.unpivot(["team_id", "player_id", "plate_appearances"], ["hits", "home_runs", "walks"], "outcome", "seen")
     prior = F.create_map(F.lit("hits"), F.lit(0.23), F.lit("home_runs"), F.lit(0.031), F.lit("walks"), F.lit(0.085))
     p = (prior[F.col("outcome")] * 120 + F.col("seen")) / (120 + F.col("plate_appearances"))
-    best = Window.partitionBy("team_id", "outcome").orderBy(F.desc("p"), "player_id")
-    ranked = long.withColumn("p", F.round(p, 9)).withColumns({"place": F.row_number().over(best), "of": F.count(F.lit(1)).over(Window.partitionBy("team_id", "outcome"))})
-    return ranked.where("place = 1").select("team_id", "outcome", "player_id", F.round("p", 6).alias("p"), "of")
+    best = F.max_by(F.struct("player_id", "p"), F.struct("p", -F.col("player_id")))  # combined within each task, no window over a team
+    found = long.withColumn("p", F.round(p, 9)).groupBy("team_id", "outcome").agg(best.alias("best"), F.count(F.lit(1)).alias("of"))
+    return found.select("team_id", "outcome", F.col("best.player_id").alias("player_id"), F.round("best.p", 6).alias("p"), "of")
 
 
 def player_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
