@@ -47,3 +47,28 @@ def test_language_stage_without_languages(spark):
     assert corpus_pipeline.language_id(spark, docs, DATA).count() == docs.count()
     blank = docs.withColumns({"lang": F.lit("en"), "text": F.lit("123")})
     assert corpus_pipeline.language_id(spark, blank, DATA).count() == docs.count()
+
+
+def test_stages_take_awkward_rows(spark):
+    """Nulls in any column, empty texts, repeated rows and copies, each stage by itself; and the empty table."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    text = docs.where("doc_id = 5").first().text
+    odd = [(None, None, None, None, None), (None, "", None, "src1", 0), (-1, "", "en", None, 0), (-2, None, "en", "src1", None), (-3, "123 !!", None, "src2", 7)]
+    odd += [(-4, text, "en", "src1", len(text))] * 3 + [(-5, text, None, None, None)]
+    rows = docs.unionByName(spark.createDataFrame(odd, docs.schema))
+    n = rows.count()
+    for k, (name, function) in enumerate(corpus_pipeline.STAGES):
+        got = function(spark, rows, DATA)
+        kept = [r.doc_id for r in got.select("doc_id").collect()]
+        assert k == 4 or got.columns == docs.columns, name
+        assert function(spark, docs.limit(0), DATA).count() == 0, name
+        if k < 2:
+            assert len(kept) <= n and kept.count(-4) in (0, 3), name
+        if k == 1:
+            assert not {-1, -2, -3} & set(kept) and None not in kept  # no letter
+        if k == 2:
+            assert kept.count(-4) + kept.count(-5) + kept.count(5) == 1 and sum(i in (None, -1, -2) for i in kept) == 1  # one of the copies, one of the empty
+        if k == 3:
+            assert not {-1, -2, None} & set(kept)  # no words, nothing to mix
+        if k == 4:
+            assert len(kept) == n
