@@ -35,3 +35,16 @@ def medians(df: DataFrame, keys: list[str], value: str, name: str = "median") ->
     last = F.col("total") - 1
     low, high = value_at(value, F.floor(last / 2)), value_at(value, F.ceil(last / 2))
     return value_places(df, keys, value).groupBy(*keys).agg(((low + high) / 2).alias(name))
+
+
+def places(df: DataFrame, keys: list[str], order: list, name: str = "place") -> DataFrame:
+    """df with each row's place from 1 in its group by the order, whatever the group's size: rows are dealt out by ranges of
+    group and order, and a row's place is the group's rows in earlier ranges and those before it in its own. Null keys are
+    a group. The order must tell rows apart, else ties are placed anyhow."""
+    dealt = stage(df.repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id()), "dealt")
+    sums = dealt.groupBy(*keys, "__range").agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    sums = sums.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__range").alias("__of"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "__range").orderBy(*order))
+    met = dealt.withColumn("__inside", inside).join(sums, [F.col("__range") == F.col("__of"), *[F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]])
+    return met.select(*df.columns, (F.col("__before") + F.col("__inside")).alias(name))

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fieldlab.operators.memory import append_records
 from fieldlab.operators.merge import classify
 from fieldlab.sources.tables import GAME_LOG_SQL, game_log, table
 
@@ -93,9 +94,9 @@ def interaction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", F.sha2(F.coalesce("text", F.lit("")), 256).alias("message_sha256"), F.length(F.when(F.col("speaker") == "assistant", F.col("reply"))).alias("reply_chars"), F.least(35 + known, F.lit(95)).alias("importance"), F.to_json(F.struct("conv_id", "turn")).alias("context"))
 
 
-def append_interactions(spark: SparkSession, sf_dir: str, path: str) -> None:
-    """interaction_log appended to a Parquet log."""
-    interaction_log(spark, sf_dir).write.mode("append").parquet(path)
+def append_interactions(spark: SparkSession, sf_dir: str, path: str, batch: str = "0") -> None:
+    """interaction_log appended to a Parquet log as the part `batch`; the same batch again replaces its part."""
+    append_records(interaction_log(spark, sf_dir), path, batch)
 
 
 # --- stat lines, packets and feedback
