@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldlab.operators import audits, memory
+from fieldlab.operators import audits, coverage, memory
 from fieldlab.operators.dialogue import understand
 from fieldlab.operators.ranks import places
 from fieldlab.plans import dialogues
 from fieldlab.plans.ladders import SUSPICIOUS
+from fieldlab.plans.rosters import _profile_parts
 from fieldlab.plans.understanding import fuzzy_decisions, requests
 from fieldlab.sources.shared import stage
 from fieldlab.sources.tables import GAME_LOG_SQL, game_log, table
@@ -161,8 +162,35 @@ def corrected_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.corrected_aliases(requests(spark, sf_dir).select("said"), fuzzy_decisions(spark, sf_dir))
 
 
+# --- coverage and readiness
+
+
+def metric_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seasons of the game log as metrics of hitting and (against a left hand) pitching, taken at the season's end: what they
+    cover of the customers. Home runs of none are unknown; lines of many games are told again."""
+    group = F.when(c("pitcher_throws") == "L", "pitching").otherwise("hitting")
+    log = game_log(spark, sf_dir).groupBy("season", group.alias("group"), "player_id").agg(F.sum("plate_appearances").alias("sample"), F.max("game_date").alias("updated_at"), F.sum("hits").alias("hits"), F.sum("home_runs").alias("hr"), F.count(F.lit(1)).alias("games"))
+    end = F.make_timestamp_ntz(c("season"), F.lit(12), F.lit(31), F.lit(0), F.lit(0), F.lit(0))
+    rows = stage(log.select("season", "group", "player_id", "sample", "updated_at", end.alias("retrieved_at"), "hits", F.when(c("hr") > 0, c("hr")).alias("hr"), "games"), "metrics")
+    people = table(spark, sf_dir, "customer").select(c("c_custkey").alias("player_id"), F.explode(F.array(F.lit("hitting"), F.lit("pitching"))).alias("group"))
+    return coverage.metric_coverage(people, rows.unionByName(rows.where("games >= 8")).drop("games"), ["hits", "hr"])
+
+
+def profile_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's profile by the states of its parts: identity, season, form, and tracking, which is stale with two kinds of
+    events and less."""
+    rows = _profile_parts(spark, sf_dir)
+    kinds = F.coalesce("kinds", F.lit(0))
+    states = {
+        "identity": F.when(c("c_name").isNotNull() & (c("c_acctbal") > 0), "ready").otherwise("partial"), "season": F.when(c("games") > 0, "ready").otherwise("missing"),
+        "form": F.when(c("recent") > 0, "ready").otherwise("missing"), "tracking": F.when(kinds > 2, "ready").when(kinds > 0, "stale").otherwise("missing"),
+    }
+    score, overall = coverage.profile_state(states)
+    return rows.select("player_id", *[s.alias(k) for k, s in states.items()], score.alias("score"), overall.alias("overall"))
+
+
 QUERIES = {f.__name__: f for f in (
-    integrity_failures, integrity_report, roster_failures, roster_gate, inventory_differences, inventory_balance, roster_sizes, load_states, feature_leaks, leak_report, shared_names, team_places, interaction_memory, unsaid_names,
+    metric_coverage, profile_states, integrity_failures, integrity_report, roster_failures, roster_gate, inventory_differences, inventory_balance, roster_sizes, load_states, feature_leaks, leak_report, shared_names, team_places, interaction_memory, unsaid_names,
     corrected_aliases,
 )}
 
@@ -207,6 +235,15 @@ def _memory_sql() -> str:
 
 
 ORACLE_SQL = {
+    "metric_coverage": f"""WITH {GAME_LOG_SQL}, g AS (SELECT season, CASE WHEN pitcher_throws = 'L' THEN 'pitching' ELSE 'hitting' END AS grp, player_id, sum(plate_appearances) AS sample, max(game_date) AS told, sum(home_runs) AS hr, count(*) AS games FROM log GROUP BY ALL),
+        x AS (SELECT *, date_diff('hour', told, make_timestamp(season, 12, 31, 0, 0, 0.0)) AS age, CASE grp WHEN 'pitching' THEN 500 ELSE 100 END AS least FROM g), n AS (SELECT count(*) AS n FROM customer)
+        SELECT season, grp AS "group", n AS eligible, n - count(*) FILTER (player_id IN (SELECT c_custkey FROM customer)) AS missing, count(*) AS covered, count(*) FILTER (games >= 8) AS repeated, count(*) FILTER (hr = 0) AS incomplete, count(*) FILTER (sample >= least) AS usable,
+        count(*) FILTER (age <= 36) AS fresh, count(*) FILTER (age > 108) AS stale, count(*) FILTER (games >= 8) = 0 AND count(*) FILTER (sample >= least) > 0 AND count(*) FILTER (age <= 36 OR age > 108) > 0 AS open FROM x, n GROUP BY season, grp, n""",
+    "profile_states": f"""WITH {GAME_LOG_SQL}, g AS (SELECT player_id, count(*) AS games FROM log GROUP BY 1), k AS (SELECT user_id, count(DISTINCT event_type) AS kinds FROM events GROUP BY 1),
+        s AS (SELECT c_custkey AS player_id, CASE WHEN c_name IS NOT NULL AND c_acctbal > 0 THEN 'ready' ELSE 'partial' END AS identity, CASE WHEN games > 0 THEN 'ready' ELSE 'missing' END AS season, CASE WHEN games > 0 THEN 'ready' ELSE 'missing' END AS form,
+        CASE WHEN kinds > 2 THEN 'ready' WHEN kinds > 0 THEN 'stale' ELSE 'missing' END AS tracking FROM customer LEFT JOIN g ON g.player_id = c_custkey LEFT JOIN k ON k.user_id = c_custkey),
+        v AS (SELECT *, round(100 * ((CASE identity WHEN 'ready' THEN 0.25e0 ELSE 0.125e0 END) + (CASE season WHEN 'ready' THEN 0.3e0 ELSE 0 END) + (CASE form WHEN 'ready' THEN 0.2e0 ELSE 0 END) + (CASE tracking WHEN 'ready' THEN 0.25e0 WHEN 'stale' THEN 0.125e0 ELSE 0 END)), 1) AS score FROM s)
+        SELECT *, CASE WHEN score >= 95 THEN 'ready' WHEN score >= 50 THEN 'partial' ELSE 'missing' END AS overall FROM v""",
     "integrity_failures": f"WITH {_INTEGRITY} SELECT * FROM fails",
     "integrity_report": f"""WITH {_INTEGRITY}, {_COUNTED(("player_fields", "player_source_ids", "roster_players", "roster_teams", "statistic_players"))}, rep AS (FROM rep0 UNION ALL SELECT 'team_count', abs(count(*) - 25) FROM teams UNION ALL SELECT 'players_present', (count(*) = 0)::INT FROM players
         UNION ALL SELECT 'rosters_present', (count(*) = 0)::INT FROM rosters UNION ALL SELECT 'players_of_all_teams', greatest(25 - count(DISTINCT team_id), 0) FROM players UNION ALL SELECT 'from_the_warehouse', 0 UNION ALL SELECT 'no_made_up_zeros', 0), {_GATE}""",

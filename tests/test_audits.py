@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from fieldlab.operators import audits, memory
+from fieldlab.operators import audits, coverage, memory
 from fieldlab.operators.ranks import places
 
 PLAYERS = "player_id long, source_id long, name string, team_id int, position string, active string, check string"
@@ -200,3 +200,28 @@ def test_corrected_aliases(spark):
     decisions = spark.createDataFrame([("jugde", "judge", 0.9, 0.3, "accepted"), ("judge", "judge", 1.0, 0.3, "accepted"), ("jdg", "judge", 0.5, 0.1, "rejected"), ("jude", "judge", 0.9, 0.0, "ambiguous")], "asked string, name string, score double, margin double, decision string")
     said = spark.createDataFrame([("jugde",), ("jugde",), ("judge",), ("jdg",), (None,), ("",)], "said string")
     assert [tuple(r) for r in memory.corrected_aliases(said, decisions).collect()] == [("jugde", "judge", 0.9, 2)]
+
+
+def test_sample_and_freshness(spark):
+    df = spark.createDataFrame([(24, "hitting"), (25, "hitting"), (100, "hitting"), (250, "hitting"), (99, "pitching"), (100, "pitching"), (500, "pitching"), (1500, "pitching"), (None, "hitting"), (9, "x"), (9, None)], "n int, g string")
+    got = [r[0] for r in df.select(coverage.sample_state(F.col("n"), F.col("g"))).collect()]
+    assert got == ["insufficient", "limited", "usable", "strong"] * 2 + ["unknown"] * 3
+    hours = spark.createDataFrame([(0,), (36,), (37,), (108,), (109,), (-5,), (None,)], "h int")
+    now = F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")
+    at = F.expr("timestamp_ntz'2024-03-01 00:00:00' - make_interval(0, 0, 0, 0, h, 0, 0)")
+    assert [r[0] for r in hours.select(coverage.freshness(at, now)).collect()] == ["fresh", "fresh", "aging", "aging", "stale", "fresh", "unknown"]
+
+
+def test_metric_coverage(spark):
+    rows = [(2023, "hitting", 1, 300, 0, 5.0), (2023, "hitting", 1, 10, 200, None), (2023, "hitting", 2, 99, 50, 1.0), (2023, "hitting", 9, 100, 1, 1.0), (2024, "hitting", 1, None, None, 1.0), (2023, "pitching", 3, 600, 0, 1.0), (2023, "hitting", None, 1, 1, 1.0)]
+    metrics = spark.createDataFrame(rows, "season int, `group` string, player_id int, sample int, h int, speed double").withColumns({"retrieved_at": F.expr("timestamp_ntz'2024-03-01 00:00:00'"), "updated_at": F.expr("timestamp_ntz'2024-03-01 00:00:00' - make_interval(0, 0, 0, 0, h, 0, 0)")})
+    eligible = spark.createDataFrame([("hitting", i) for i in (1, 1, 2, 4, None)] + [("pitching", 3)], "`group` string, player_id int")
+    got = {(r.season, r.group): tuple(r)[2:] for r in coverage.metric_coverage(eligible, metrics, ["speed"]).collect()}
+    assert got == {(2023, "hitting"): (3, 1, 3, 1, 0, 2, 2, 0, False), (2024, "hitting"): (3, 2, 1, 0, 0, 0, 0, 0, False), (2023, "pitching"): (1, 0, 1, 0, 0, 1, 1, 0, True)}
+    assert coverage.metric_coverage(eligible, metrics.limit(0), ["speed"]).count() == 0
+
+
+def test_profile_state(spark):
+    df = spark.createDataFrame([("ready", "ready", "ready", "ready"), ("ready", "ready", "ready", "stale"), ("partial", "missing", "ready", "error"), (None, "ready", "ready", "x")], "a string, b string, c string, d string")
+    states = dict(zip(coverage.WEIGHTS, (F.col(x) for x in "abcd")))
+    assert [tuple(r) for r in df.select(*coverage.profile_state(states)).collect()] == [(100.0, "ready"), (87.5, "partial"), (32.5, "missing"), (50.0, "partial")]
