@@ -41,7 +41,8 @@ def similar_pairs(asked: DataFrame, names: DataFrame, hot: int = HOT) -> DataFra
     Texts are cut into trigrams (the second one of a kind is another one), ordered from the rarest by their counts in both
     tables. d edits spoil 3 d trigrams at most, so two texts that match share one of the first 3 d + 1 of each; only those
     are keys: about as many as letters, for each of three buckets of partner lengths. A trigram of more than `hot` texts is
-    parted by the names' hash. What meets is measured."""
+    parted by the names' hash. What meets is measured. The joins are by merging: Spark's estimates, by which it would send a
+    side to all tasks, do not see how many rows an explode gives."""
     padded = "concat(repeat(chr(1), 2), text, repeat(chr(2), 2))"
     grams = F.expr(f"transform(sequence(1, length(text) + 2), i -> named_struct('at', i, 'gram', substring({padded}, i, {GRAM})))")
     one = lambda df, c, side: df.where(F.col(c) != "").select(F.col(c).alias("text")).distinct().withColumn("side", F.lit(side))
@@ -50,7 +51,7 @@ def similar_pairs(asked: DataFrame, names: DataFrame, hot: int = HOT) -> DataFra
     again = F.row_number().over(Window.partitionBy("text", "side", "gram").orderBy("at"))
     cut = cut.select("text", "side", F.concat("gram", again.cast("string")).alias("gram"))
     counted = cut.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rare = cut.join(counted, "gram").groupBy("text", "side").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("grams"))
+    rare = cut.join(counted.hint("merge"), "gram").groupBy("text", "side").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("grams"))
     own, size = F.expr(_bucket("length(text)")), "length(text)"
     most = f"floor({EDITS} * least(greatest({size}, ceil(pow(1.5, other + 1))), ceil({size} / (1 - {EDITS}))))"
     keyed = (
@@ -62,7 +63,7 @@ def similar_pairs(asked: DataFrame, names: DataFrame, hot: int = HOT) -> DataFra
     left = left.select(F.col("text").alias("asked"), "gram", "part", F.col("own").alias("x"), F.col("other").alias("y"))
     right = keyed.where("side = 'n'").withColumn("part", F.pmod(F.xxhash64("text"), F.col("parts")).cast("int"))
     right = right.select(F.col("text").alias("name"), "gram", "part", F.col("other").alias("x"), F.col("own").alias("y"))
-    pairs = left.join(right, ["gram", "part", "x", "y"]).select("asked", "name").distinct()
+    pairs = left.join(right.hint("merge"), ["gram", "part", "x", "y"]).select("asked", "name").distinct()
     longer = F.greatest(F.length("asked"), F.length("name"))
     return pairs.withColumn("d", F.levenshtein("asked", "name")).where(10 * F.col("d") <= 3 * longer).select("asked", "name", (1 - F.col("d") / longer).alias("score"))
 

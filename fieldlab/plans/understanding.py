@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from fieldlab.functions import similarity as s
 from fieldlab.operators import matching
+from fieldlab.sources.shared import stage
 from fieldlab.sources.tables import table
 
+#: Counted rows that are sent to all tasks at most.
+SENT = 100_000
 ALIAS_SCORES = {"name": 0.99, "alias": 0.94, "abbreviation": 0.86, "surname": 0.78}
 
 
@@ -103,12 +106,17 @@ def best_cover(segments: list, n_tokens: int, most: int = 4) -> list:
 
 def corrected_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests with the accepted names in place of what was said: windows of one to three words that are near a name are
-    scored, the best cover of the message is chosen, and its spans are rewritten from the right."""
-    rows = requests(spark, sf_dir).select("msg_id", "text", F.split("text", " ").alias("w"))
+    scored, the best cover of the message is chosen, and its spans are rewritten from the right.
+
+    Messages are dealt out once, by number, and their windows stay where they are: Spark's estimates do not see how many an
+    explode gives, so no join is left to them. The accepted texts go to all tasks up to SENT of them, else they are joined."""
+    rows = requests(spark, sf_dir).select("msg_id", F.split("text", " ").alias("w")).repartition("msg_id")
     spans = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))), lambda k: F.struct(k.alias("start"), n.alias("n"), F.array_join(F.slice("w", k + 1, n), " ").alias("asked")))))
     windows = rows.select("msg_id", F.explode(spans).alias("x")).select("msg_id", "x.*")
     names = table(spark, sf_dir, "part").select(F.lower("p_name").alias("name")).distinct()
     taken = matching.decide(matching.fuzzy_scores(matching.similar_pairs(windows.select("asked"), names).select("asked", "name"))).where("decision = 'accepted'")
+    taken = stage(taken.select("asked", "name", "score"), "taken")
+    taken = F.broadcast(taken) if taken.count() <= SENT else taken.hint("merge")
     hits = windows.join(taken, "asked").groupBy("msg_id").agg(F.collect_list(F.struct("start", "n", "score", "name")).alias("hits"))  # a few for each message
 
     @F.pandas_udf("string")
@@ -122,7 +130,7 @@ def corrected_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
             out.append(" ".join(ws))
         return pd.Series(out)
 
-    return rows.join(hits, "msg_id", "left").select("msg_id", rewrite("w", "hits").alias("text"))
+    return rows.join(hits.hint("merge"), "msg_id", "left").select("msg_id", rewrite("w", "hits").alias("text"))
 
 
 # --- intents

@@ -147,3 +147,14 @@ def test_decisions_and_corrections(spark):
     mended = [f"please compare {r.meant} of " in texts[k] for k, r in said.items()]
     changed = [m for m, (k, r) in zip(mended, said.items()) if texts[k] != f"please compare {r.said} of " + texts[k].split(" of ")[-1]]
     assert len(texts) == len(said) and sum(mended) >= 0.75 * len(mended) and sum(changed) >= 0.95 * len(changed)  # short or doubtful names stay
+
+
+def test_windows_of_requests_are_not_sent_to_all_tasks(spark):
+    """No side of an explode, whose rows no estimate counts, is broadcast: only the counted accepted texts are."""
+    plan = understanding.corrected_requests(spark, DATA)._jdf.queryExecution().executedPlan().toString().split("\n")
+    sent = [k for k, line in enumerate(plan) if "BroadcastExchange" in line]
+    depth = lambda k: len(plan[k]) - len(plan[k].lstrip(" :+-"))
+    for k in sent:
+        below = [line for j, line in enumerate(plan[k + 1 :], k + 1) if all(depth(i) > depth(k) for i in range(k + 1, j + 1))]
+        assert not any("Generate" in line for line in below)
+    assert len(sent) == 1
