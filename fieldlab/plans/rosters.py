@@ -349,7 +349,7 @@ ORACLE_SQL = {
     "profile_readiness": f"""{_PARTS}, q AS (SELECT player_id, (1 + (c_acctbal > 0)::INT) / 2e0 AS i, ((games IS NOT NULL)::INT + coalesce(pa >= 50, false)::INT + coalesce(home_runs > 0, false)::INT) / 3e0 AS s, coalesce(recent, 0) / 10e0 AS f, coalesce(kinds, 0) / 5e0 AS t FROM p),
         z AS (SELECT *, 20 * i + 30 * s + 25 * f + 25 * t AS score FROM q) SELECT player_id, ((i >= 0.9)::INT + (s >= 0.9)::INT + (f >= 0.9)::INT + (t >= 0.9)::INT)::INT AS ready_parts, round(score, 4) AS score,
         CASE WHEN round(score, 6) >= 90 THEN 'ready' WHEN round(score, 6) >= 50 THEN 'partial' ELSE 'not_ready' END AS status FROM z""",
-    "dataset_availability": f"""{_PARTS}, q AS (SELECT player_id, (1 + (games IS NOT NULL)::INT + coalesce(recent >= 5, false)::INT + (events IS NOT NULL)::INT) / 4e0 AS s FROM p) SELECT player_id, round(s, 4) AS share, s >= 0.65 AS ready FROM q""",
+    "dataset_availability": f"""{_PARTS}, q AS (SELECT player_id, (1 + (games IS NOT NULL)::INT + coalesce(games >= 5, false)::INT + (events IS NOT NULL)::INT) / 4e0 AS s FROM p) SELECT player_id, round(s, 4) AS share, s >= 0.65 AS ready FROM q""",
     "metric_availability": f"""{_PARTS}, q AS (SELECT player_id, concat_ws(',', CASE WHEN events IS NULL THEN 'events' END, CASE WHEN games IS NULL THEN 'games' END, CASE WHEN coalesce(hits, 0) < 10 THEN 'hits' END, CASE WHEN coalesce(home_runs, 0) < 5 THEN 'home_runs' END,
         CASE WHEN coalesce(pa, 0) < 25 THEN 'pa' END) AS pending FROM p), r AS (SELECT *, 5 - len(list_filter(string_split(pending, ','), lambda x: x <> '')) AS available FROM q) SELECT player_id, available, available * 20e0 AS percent, pending, available * 20 >= 50 AS ready FROM r""",
     "data_truth_gate": """WITH c(layer, n, least, w) AS (SELECT 'teams', count(*), 25, 15 FROM nation UNION ALL SELECT 'players', count(*), 100, 20 FROM customer UNION ALL SELECT 'games', count(*), 1000, 25 FROM orders UNION ALL SELECT 'signals', count(*), 5000, 15 FROM events

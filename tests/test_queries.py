@@ -52,3 +52,26 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_every_oracle_has_a_query():
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
+
+
+def _with_newcomer(duck, folder):
+    """DATA beside one more customer, who has neither orders nor events, and a connection over it."""
+    for name in TABLES:
+        more = " UNION ALL SELECT -1, 'Customer#new', 3, 10.5, 'FURNITURE'" if name == "customer" else ""
+        duck.sql(f"COPY (SELECT * FROM {name}{more}) TO '{folder}/{name}.parquet'")
+    found = duckdb.connect()
+    for name in TABLES:
+        found.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    return found
+
+
+def _of_newcomer(spark, duck, tmp_path, name):
+    over = _with_newcomer(duck, tmp_path)
+    got, want = registry.QUERIES[name](spark, str(tmp_path)).toPandas(), over.sql(registry.ORACLE_SQL[name]).df()
+    assert plain(got).equals(plain(want))
+    return got[got.player_id == -1].iloc[0]
+
+
+def test_availability_of_a_player_without_games(spark, duck, tmp_path):
+    row = _of_newcomer(spark, duck, tmp_path, "dataset_availability")
+    assert row.share == 0.25 and not row.ready
