@@ -346,7 +346,7 @@ ORACLE_SQL = {
     "warehouse_status": """WITH t(category, n) AS (SELECT 'core', count(*) FROM region UNION ALL SELECT 'core', count(*) FROM nation UNION ALL SELECT 'core', count(*) FROM customer UNION ALL SELECT 'core', count(*) FROM supplier UNION ALL SELECT 'facts', count(*) FROM orders UNION ALL
         SELECT 'facts', count(*) FROM lineitem UNION ALL SELECT 'facts', count(*) FROM events UNION ALL SELECT 'texts', count(*) FROM documents UNION ALL SELECT 'texts', count(*) FROM pages UNION ALL SELECT 'texts', count(*) FROM conversations UNION ALL SELECT 'texts', count(*) FROM labels
         UNION ALL SELECT 'models', 0) SELECT category, count(*) AS expected, count(*) FILTER (n > 0) AS present, round(100e0 * count(*) FILTER (n > 0) / count(*), 2) AS percent FROM t GROUP BY 1""",
-    "profile_readiness": f"""{_PARTS}, q AS (SELECT player_id, (1 + (c_acctbal > 0)::INT) / 2e0 AS i, ((games IS NOT NULL)::INT + coalesce(pa >= 50, false)::INT + coalesce(home_runs > 0, false)::INT) / 3e0 AS s, coalesce(recent, 0) / 10e0 AS f, coalesce(kinds, 0) / 5e0 AS t FROM p),
+    "profile_readiness": f"""{_PARTS}, q AS (SELECT player_id, (1 + (c_acctbal > 0)::INT) / 2e0 AS i, ((games IS NOT NULL)::INT + coalesce(pa >= 50, false)::INT + coalesce(home_runs > 0, false)::INT) / 3e0 AS s, least(coalesce(games, 0), 10) / 10e0 AS f, coalesce(kinds, 0) / 5e0 AS t FROM p),
         z AS (SELECT *, 20 * i + 30 * s + 25 * f + 25 * t AS score FROM q) SELECT player_id, ((i >= 0.9)::INT + (s >= 0.9)::INT + (f >= 0.9)::INT + (t >= 0.9)::INT)::INT AS ready_parts, round(score, 4) AS score,
         CASE WHEN round(score, 6) >= 90 THEN 'ready' WHEN round(score, 6) >= 50 THEN 'partial' ELSE 'not_ready' END AS status FROM z""",
     "dataset_availability": f"""{_PARTS}, q AS (SELECT player_id, (1 + (games IS NOT NULL)::INT + coalesce(games >= 5, false)::INT + (events IS NOT NULL)::INT) / 4e0 AS s FROM p) SELECT player_id, round(s, 4) AS share, s >= 0.65 AS ready FROM q""",

@@ -75,3 +75,8 @@ def _of_newcomer(spark, duck, tmp_path, name):
 def test_availability_of_a_player_without_games(spark, duck, tmp_path):
     row = _of_newcomer(spark, duck, tmp_path, "dataset_availability")
     assert row.share == 0.25 and not row.ready
+
+
+def test_readiness_of_a_player_without_games(spark, duck, tmp_path):
+    row = _of_newcomer(spark, duck, tmp_path, "profile_readiness")
+    assert (row.ready_parts, row.score, row.status) == (1, 20.0, "not_ready")
