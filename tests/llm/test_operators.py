@@ -652,3 +652,21 @@ def test_clashing_columns_and_nothing(spark, docs):
     none = wide.limit(0)
     for got in (near_dups.keep_first(none), near_dups.near_duplicates(none), mixing.mix_documents(none), language.keep_known(none, profiles), byte_bpe.encoding_digests(none), token_counts.count_tokens(none), language.op8_language, quality.quality_scores(none, None)):
         assert callable(got) or got.count() == 0
+
+
+def test_quality_learns_from_every_label(spark):
+    """More labels than a block: every learnable document is in its own block once, every block has both labels, the sums and the
+    cut are those of all rows."""
+    rows = spark.range(26_000).select(F.col("id").alias("doc_id"), F.expr("concat(repeat('word ', int(id % 13) + 1), repeat('!', int(id % 7)), id)").alias("text"), F.expr("int(id % 5 > 0)").alias("quality"))
+    n = rows.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % quality.FOLDS != 0).count()
+    blocks, sizes = quality.labelled_features(rows.drop("quality"), rows.drop("text"))
+    assert sizes.sum() == n > 20_000 and blocks.count() == -(-n // quality.BLOCK)
+    blocks, sizes = quality.labelled_features(rows.drop("quality").where("doc_id < 900"), rows.drop("text").where("doc_id % 5 > 0 or doc_id % 50 = 0"), block=60, sent=5)
+    sides = [[np.frombuffer(x).reshape(-1, len(quality.NAMES) + 1) for x in (r.bad, r.good)] for r in blocks.collect()]
+    assert len(sides) > 5 and all(len(bad) and len(good) for bad, good in sides)
+    own = [np.vstack([s[k][s[k][:, -1] == 1, :-1] for s in sides]) for k in (0, 1)]
+    assert [len(x) for x in own] == sizes.tolist()
+    found, every = quality.fit_ranking(blocks, sizes), np.vstack(own)
+    assert np.allclose(found.mean, every.mean(axis=0)) and np.allclose(np.quantile(found.raw(every), sizes[0] / sizes.sum()), found.threshold)
+    plain = quality.fit_ranking(every, np.repeat([0, 1], sizes))
+    assert np.corrcoef(found.score(every), plain.score(every))[0, 1] > 0.99
