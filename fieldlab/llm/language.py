@@ -5,8 +5,8 @@ the n-gram's end, multiplied. A text bundles its n-grams: the sum of their vecto
 the unit vectors of its learned texts, less what all languages share. A text gets the language whose prototype has the
 largest cosine with it.
 
-At most about MAX_TEXTS texts of each language (those of low hashes) are learned; the number of languages is taken to
-be bounded (MAX_LANGUAGES; more raise an error). Null texts and texts without a letter are `und` with score 0; so is
+Every text with a language is learned, but those held out; the number of languages is taken to be bounded (MAX_LANGUAGES;
+more raise an error). Null texts and texts without a letter are `und` with score 0; so is
 every text if there is nothing to learn from.
 
 A text equally near to several languages gets the first of them by name; repeated rows stay, an empty table gives an
@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField
 
 from fieldlab.llm.common import bounded_batches, filter_by_text, steps, table, with_text_columns
+from fieldlab.operators.ranks import value_at, value_places
 
 DIMENSIONS, GRAM, SEED, FOLDS, HELD_OUT = 1024, 3, 23, 4, 2
-MAX_TEXTS, MAX_LANGUAGES, UNKNOWN = 2000, 1000, "und"
+MAX_LANGUAGES, UNKNOWN = 1000, "und"
 #: The share of learned texts (the shortest and oddest) that may lie below the threshold of rejection.
 LOW_QUANTILE = 0.005
 
@@ -135,18 +136,18 @@ class Profiles:
         return names, scores
 
 
-def learn_profiles(docs: DataFrame, max_texts: int = MAX_TEXTS, dimensions: int = DIMENSIONS, seed: int = SEED) -> Profiles:
+def learn_profiles(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = SEED) -> Profiles:
     """Prototypes of the non-null languages of docs, but of rows whose crc32 of doc_id mod 4 is 2.
 
     Tasks add up vectors by language, and the sums are added by language and place; one number for each of them reaches
     the driver."""
-    counts, picked = _learned(docs, max_texts)
+    counts, picked = _learned(docs)
     return _profiles(docs, counts, picked, dimensions, seed)
 
 
 def learn_with_threshold(docs: DataFrame, quantile: float = LOW_QUANTILE) -> tuple[Profiles, float]:
     """As learn_profiles, and the cosine that all but `quantile` of the learned texts reach; -1 without a learned text."""
-    counts, picked = _learned(docs, MAX_TEXTS)
+    counts, picked = _learned(docs)
     profiles = _profiles(docs, counts, picked, DIMENSIONS, SEED)
     if not profiles.languages:
         return profiles, -1.0
@@ -156,12 +157,13 @@ def learn_with_threshold(docs: DataFrame, quantile: float = LOW_QUANTILE) -> tup
         names, cosines = held.value.nearest(texts)
         return {"cosine": [None if name == UNKNOWN else x for name, x in zip(names, cosines.tolist())]}
 
-    own = with_text_columns(picked, [StructField("cosine", DoubleType())], compute, [])
-    least = own.agg(F.percentile_approx("cosine", quantile, 10_000)).first()[0]
+    own = value_places(with_text_columns(picked, [StructField("cosine", DoubleType())], compute, []), [], "cosine")
+    place = F.greatest(F.ceil(F.col("total") * F.lit(quantile)) - 1, F.lit(0))
+    least = own.agg(value_at("cosine", place)).first()[0]
     return profiles, -1.0 if least is None else least - 1e-5  # sums of other batches differ in their last digits
 
 
-def _learned(docs: DataFrame, max_texts: int) -> tuple[dict[str, int], DataFrame | None]:
+def _learned(docs: DataFrame) -> tuple[dict[str, int], DataFrame | None]:
     """The number of texts that can be learned by language, and those that are."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.crc32(key.cast("binary")) % FOLDS != HELD_OUT))
@@ -170,9 +172,7 @@ def _learned(docs: DataFrame, max_texts: int) -> tuple[dict[str, int], DataFrame
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not counts:
         return counts, None
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, max_texts / n))])
-    draw = F.pmod(F.xxhash64(F.lit("learn"), key), F.lit(1 << 30)) / float(1 << 30)
-    return counts, learn.where(draw < share[F.col("lang")]).select("lang", "text")
+    return counts, learn.select("lang", "text")
 
 
 def _profiles(docs: DataFrame, counts: dict[str, int], picked: DataFrame | None, dimensions: int, seed: int) -> Profiles:

@@ -670,3 +670,14 @@ def test_quality_learns_from_every_label(spark):
     assert np.allclose(found.mean, every.mean(axis=0)) and np.allclose(np.quantile(found.raw(every), sizes[0] / sizes.sum()), found.threshold)
     plain = quality.fit_ranking(every, np.repeat([0, 1], sizes))
     assert np.corrcoef(found.score(every), plain.score(every))[0, 1] > 0.99
+
+
+def test_language_learns_from_every_text(spark):
+    """More texts of a language than were learned once: prototypes and threshold are those of all of them."""
+    rows = spark.range(9_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("lang"), F.expr("concat('words of ', substring(sha2(string(id), 256), 1, 20))").alias("text"))
+    learned = [r.text for r in rows.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % language.FOLDS != language.HELD_OUT).collect()]
+    total = language.Letters().bundles(learned).sum(axis=0)
+    profiles, least = language.learn_with_threshold(rows)
+    assert len(learned) > 6_000 and np.allclose(profiles.prototypes[0], total / np.linalg.norm(total), atol=1e-5)
+    cosines = sorted(profiles.nearest(learned)[1])
+    assert abs(cosines[int(np.ceil(len(learned) * language.LOW_QUANTILE)) - 1] - 1e-5 - least) < 1e-6
