@@ -5,6 +5,8 @@ share one partitioning and one sort. Times of an entity may repeat; a null time
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -40,17 +42,19 @@ def with_history(log: DataFrame, columns: dict[str, Column], history: History =
     return history.settle(log.withColumns(columns), list(columns))
 
 
-def exponential_means(log: DataFrame, value: str, half_lives: list[float], history: History = GAME) -> DataFrame:
-    """entity, time, tie, and ewm_<h> for each half-life: the fold of `exponential_mean` over all rows of strictly earlier
+def exponential_means(log: DataFrame, value: str, half_lives: list[float], history: History = GAME, keep: Sequence[str] = ()) -> DataFrame:
+    """entity, time, tie, the columns to keep, and ewm_<h> for each half-life: the fold of `exponential_mean` over all rows of strictly earlier
     time that have a value; null without one, and on rows without a time.
 
-    One pass over each entity's rows in order, which carries one number for each half-life: an entity of any size takes
+    With columns to keep, an entity's rows are to be in one partition of the log already. One pass over each entity's rows in order, which carries one number for each half-life: an entity of any size takes
     linear time and no memory."""
     weights = [1 - 0.5 ** (1 / h) for h in half_lives]
     keys = [history.entity, history.time, history.tie]
     names = [f"ewm_{h:g}" for h in half_lives]
-    rows = log.select(*keys, F.col(value).cast("double").alias("__x")).repartition(history.entity).sortWithinPartitions(*keys)
-    schema = rows.select(*keys).schema
+    kept = [*keys, *[c for c in keep if c not in keys]]
+    rows = log.select(*kept, F.col(value).cast("double").alias("__x"))
+    rows = (rows if keep else rows.repartition(history.entity)).sortWithinPartitions(*keys)
+    schema = rows.select(*kept).schema
     for name in names:
         schema = schema.add(name, "double")
 
@@ -58,7 +62,7 @@ def exponential_means(log: DataFrame, value: str, half_lives: list[float], histo
         entity = time = None
         begun, known, means = False, [None] * len(weights), [None] * len(weights)  # known: before the rows of this time
         for batch in batches:
-            who, when, xs = batch.column(0).to_pylist(), batch.column(1).cast(pa.int64()).to_pylist(), batch.column(3).to_pylist()
+            who, when, xs = batch.column(0).to_pylist(), batch.column(1).cast(pa.int64()).to_pylist(), batch.column(len(kept)).to_pylist()
             out = [[] for _ in weights]
             for e, t, x in zip(who, when, xs):
                 if not begun or e != entity:
@@ -69,7 +73,7 @@ def exponential_means(log: DataFrame, value: str, half_lives: list[float], histo
                     out[k].append(None if t is None else known[k])
                     if x is not None and t is not None:
                         means[k] = x if means[k] is None else means[k] * (1 - a) + x * a
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *[pa.array(c, pa.float64()) for c in out]], names=[*keys, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *[pa.array(c, pa.float64()) for c in out]], names=[*kept, *names])
 
     return rows.mapInArrow(run, schema)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fieldlab.operators.history import GAME, exponential_means, with_history
 from fieldlab.operators.ranks import medians, value_at, value_places
 from fieldlab.plans.ladders import SUSPICIOUS, TARGETS, game_outcomes, target_columns
-from fieldlab.sources.shared import stage, with_position
+from fieldlab.sources.shared import dealt, stage, with_position
 from fieldlab.sources.tables import GAME_LOG_SQL, game_log
 
 RATES = {
@@ -83,8 +83,13 @@ def window_rates(log: DataFrame, config: FeatureConfig = DEFAULT) -> DataFrame:
 
 def feature_rows(log: DataFrame, config: FeatureConfig = DEFAULT) -> DataFrame:
     """The point-in-time table: a row a game with all features of strictly earlier games, the calendar, the sample and its
-    uncertainty. Frames share one partitioning on the player; the exponential means are a second pass joined on the game."""
-    rows = window_rates(rolling(counted(log), config), config)
+    uncertainty. The log is staged and counted, and dealt out by player over as many tasks as its rows ask for. The exponential means run over
+    it with all its columns, then all frames share one such partitioning: nothing is joined back."""
+    log = stage(log, "log")
+    n = log.count()
+    by_player = lambda df: dealt(df, n, "player_id")
+    log = exponential_means(by_player(log.repartition("player_id")), "hits", list(config.half_lives), keep=log.columns)
+    rows = window_rates(rolling(counted(by_player(log)), config), config)
     expanding = {"prior_games": GAME.last(None, F.count("game_id")), "prior_pa": GAME.last(None, F.sum("plate_appearances")), "volatility": GAME.last(None, F.stddev_pop("hits"))}
     rows = with_history(rows, expanding).fillna(0, ["prior_pa"]).fillna(0.0, ["volatility"])
     day = F.dayofyear("game_date")
@@ -93,9 +98,7 @@ def feature_rows(log: DataFrame, config: FeatureConfig = DEFAULT) -> DataFrame:
         "month_sin": F.round(F.sin(2 * F.pi() * F.month("game_date") / 12), 6) + 0.0, "season_progress": F.round(F.least(F.greatest((day - 80) / 210, F.lit(0.0)), F.lit(1.0)), 6),
         "is_home": (F.col("home_away") == "home").cast("double"),
     })
-    ewm = exponential_means(log, "hits", list(config.half_lives))
-    means = [F.round(F.coalesce(f"ewm_{h:g}", F.lit(0.0)), 6).alias(f"ewm_{h:g}") for h in config.half_lives]
-    return rows.join(ewm.select("player_id", "game_id", *means), ["player_id", "game_id"])
+    return rows.withColumns({f"ewm_{h:g}": F.round(F.coalesce(f"ewm_{h:g}", F.lit(0.0)), 6) for h in config.half_lives})
 
 
 def feature_names(config: FeatureConfig = DEFAULT) -> list[str]:
@@ -105,8 +108,10 @@ def feature_names(config: FeatureConfig = DEFAULT) -> list[str]:
 
 
 def split_rows(rows: DataFrame, train: float = 0.70, check: float = 0.15) -> DataFrame:
-    """rows with `part`, by place in time, player and game; cuts are whole numbers of rows."""
-    placed = with_position(rows, ["game_date", "player_id", "game_id"], "__place")
+    """rows with `part`, by place in time, player and game; cuts are whole numbers of rows. The rows are staged and
+    counted, so their features are made once, and there are as many ranges as they ask for."""
+    rows = stage(rows, "features")
+    placed = with_position(rows, ["game_date", "player_id", "game_id"], "__place", rows.count())
     total = placed.agg(F.count(F.lit(1)).alias("__n"))
     a, b = F.floor(F.col("__n") * train), F.floor(F.col("__n") * check)
     part = F.when(F.col("__place") < a, "train").when(F.col("__place") < a + b, "validation").otherwise("test")
@@ -251,8 +256,9 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = stage(_dataset(spark, sf_dir).select("player_id", "game_id", "game_date", "target_hit", *feature_names(SMALL)), "report")
     names = feature_names(SMALL)
     order = Window.partitionBy("player_id").orderBy("game_id")
-    late = rows.withColumn("late", F.col("game_date") < F.lag("game_date").over(order)).agg(F.count_if("late").alias("out_of_order"))
-    keys = rows.groupBy("player_id", "game_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated"))
+    games = dealt(rows.select("player_id", "game_id", "game_date"), rows.count(), "player_id")
+    late = games.withColumn("late", F.col("game_date") < F.lag("game_date").over(order)).agg(F.count_if("late").alias("out_of_order"))
+    keys = games.groupBy("player_id", "game_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated"))
     flat = rows.agg(*[(F.var_pop(n) <= 1e-12).cast("int").alias(n) for n in names]).select(reduce(lambda a, b: a + b, [F.col(n) for n in names]).alias("constant"))
     odd = sum(any(s in n for s in SUSPICIOUS) for n in names)
     base = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("target_hit") >= 0.5).alias("positive"))

@@ -36,16 +36,35 @@ def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_position(df: DataFrame, order: Sequence, name: str) -> DataFrame:
+#: Rows of a counted table that a task holds, about.
+ROWS = 100_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df by keys over so many tasks that one of them holds about ROWS of `rows` rows, whatever the session's number of
+    partitions; df as it is where that number will do."""
+    parts = _parts(df.sparkSession, rows)
+    return df if parts is None else df.repartition(parts, *keys)
+
+
+def _parts(spark: SparkSession, rows: int) -> int | None:
+    parts = -(-rows // ROWS)
+    return parts if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def with_position(df: DataFrame, order: Sequence, name: str, rows: int = 0) -> DataFrame:
     """df with its rows' positions from 0 in the given order, without bringing all rows into one task: rows are dealt
-    out by ranges, staged, and numbered within a range; the driver sees one count for each range."""
+    out by ranges, staged, and numbered within a range; the driver sees one count for each range. `rows`, where the caller has counted them, gives as
+    many ranges as `dealt` gives tasks."""
     spark = df.sparkSession
-    dealt = stage(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
-    counts = sorted((r["__range"], r["n"]) for r in dealt.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect())
+    parts = _parts(spark, rows)
+    ranged = df.repartitionByRange(*order) if parts is None else df.repartitionByRange(parts, *order)
+    ranges = stage(ranged.withColumn("__range", F.spark_partition_id()), "ranges")
+    counts = sorted((r["__range"], r["n"]) for r in ranges.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).collect())
     starts, total = [], 0
     for part, n in counts:
         starts.append((part, total))
         total += n
     offsets = F.broadcast(spark.createDataFrame(starts, "__range int, __start long"))  # a row for each range
     number = F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1
-    return dealt.join(offsets, "__range").withColumn(name, F.col("__start") + number).drop("__range", "__start")
+    return dealt(ranges, rows, "__range").join(offsets, "__range").withColumn(name, F.col("__start") + number).drop("__range", "__start")

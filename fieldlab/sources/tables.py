@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldlab.sources.shared import dealt
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def game_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each player (customer) and game (order) with counted outcomes of its lines."""
+    """One row for each player (customer) and game (order) with counted outcomes of its lines. Tasks grow in number with the
+    orders, so that each join and count holds about as many rows in a task at any size."""
     orders, items, customers = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "customer"))
+    n = orders.count()
+    orders = orders.select(F.col("o_orderkey").alias("game_id"), "o_custkey", "o_orderdate")
+    items = items.select("l_orderkey", "l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax")
+    customers = customers.select("c_custkey", "c_nationkey")
     hit = F.col("l_returnflag") == "R"
     count = lambda condition: F.count_if(condition)
-    lines = items.groupBy(F.col("l_orderkey").alias("game_id")).agg(
+    lines = dealt(items, n, "l_orderkey").groupBy(F.col("l_orderkey").alias("game_id")).agg(
         F.count(F.lit(1)).alias("plate_appearances"),
         count(F.col("l_returnflag") != "A").alias("at_bats"),
         count(F.col("l_returnflag") == "A").alias("walks"),
@@ -29,9 +36,8 @@ def game_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     key = F.col("game_id")
     return (
-        orders.withColumnRenamed("o_orderkey", "game_id")
-        .join(lines, "game_id")
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        dealt(dealt(orders, n, "game_id").join(lines, "game_id"), n, "o_custkey")
+        .join(dealt(customers, n, "c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
         .select(
             F.col("o_custkey").alias("player_id"),
             "game_id",

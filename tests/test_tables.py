@@ -119,3 +119,17 @@ def test_feedback_stream(spark, tmp_path):
     stream = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(str(tmp_path / "in"))
     feeds.feedback_metrics(stream).writeStream.outputMode("complete").format("memory").queryName("feedback").trigger(availableNow=True).start().awaitTermination(90)
     assert sorted((r.event_type, r.n, r["mean"]) for r in spark.table("feedback").collect()) == [("a", 2, 2.0), ("b", 1, 5.0)]
+
+
+def test_tasks_grow_with_the_rows(spark, monkeypatch):
+    """Features, splits and reports over more tasks than the session's partitions where a task's rows ask for them, with the same rows."""
+    from fieldlab.plans import training
+    from fieldlab.sources import shared
+
+    data = "/root/testdata/sf0.001"
+    names = ("feature_table", "quality_report", "robust_scale")
+    plain = {name: sorted(map(tuple, training.QUERIES[name](spark, data).collect())) for name in names}
+    monkeypatch.setattr(shared, "ROWS", 100)
+    found = training.QUERIES["feature_table"](spark, data)
+    assert found.rdd.getNumPartitions() == -(-len(plain["feature_table"]) // 100) > 4
+    assert {name: sorted(map(tuple, training.QUERIES[name](spark, data).collect())) for name in names} == plain
