@@ -11,7 +11,7 @@ from fieldlab.operators import drift
 from fieldlab.operators.prepare import Preparer
 from fieldlab.plans.relational import _NEW, _snapshot
 from fieldlab.plans.training import ORACLE_SQL as TRAINING_SQL
-from fieldlab.sources.shared import stage, with_position
+from fieldlab.sources.shared import dealt, stage, with_position
 from fieldlab.sources.tables import GAME_LOG_SQL, game_log, table
 
 NUMBERS, LAST_TRAIN_DAY = ["plate_appearances", "home_runs", "rbi"], 180
@@ -37,12 +37,15 @@ def drift_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fold_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The folds of `sliding_folds` by a table function in SQL, dealt out by team."""
+    """The folds of `sliding_folds` by a table function in SQL. It takes each row for itself, so rows stay in the ranges they were
+    placed in, as many as their count asks for; dealt out by team they were a few uneven tasks."""
     tables.register(spark)
-    placed = stage(with_position(game_log(spark, sf_dir).select("game_id", "game_date", "team_id"), ["game_date", "game_id"], "place"), "placed")
+    games = stage(game_log(spark, sf_dir).select("game_id", "game_date"), "games")
+    placed = stage(with_position(games, ["game_date", "game_id"], "place", games.count()).select("game_id", "place"), "placed")
     n = placed.count()
     s = n // 10
-    return spark.sql(f"SELECT game_id, fold, part FROM expand_folds(TABLE(SELECT * FROM {{rows}}) PARTITION BY (team_id), 'place', {n}, {4 * s}, {s}, {s}, {s}, false)", rows=placed)
+    placed = dealt(placed, n)
+    return spark.sql(f"SELECT game_id, fold, part FROM expand_folds(TABLE(SELECT * FROM {{rows}}), 'place', {n}, {4 * s}, {s}, {s}, {s}, false)", rows=placed)
 
 
 QUERIES = {f.__name__: f for f in (prepared_matrix, drift_keys, fold_expansion)}

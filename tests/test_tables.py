@@ -133,3 +133,12 @@ def test_tasks_grow_with_the_rows(spark, monkeypatch):
     found = training.QUERIES["feature_table"](spark, data)
     assert found.rdd.getNumPartitions() == -(-len(plain["feature_table"]) // 100) > 4
     assert {name: sorted(map(tuple, training.QUERIES[name](spark, data).collect())) for name in names} == plain
+
+
+def test_folds_are_expanded_where_rows_lie(spark, monkeypatch):
+    """As many tasks as the rows ask for expand them, not one for each team that has rows."""
+    from fieldlab.plans import artifacts
+    from fieldlab.sources import shared
+
+    monkeypatch.setattr(shared, "ROWS", 100)
+    assert artifacts.fold_expansion(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() > 4
