@@ -35,11 +35,23 @@ def six(x: Column | str) -> Column:
     return F.round((F.col(x) if isinstance(x, str) else x) + 1e-10, 6)
 
 
+def sixth(x: Column) -> Column:
+    """six for positive values below a billion, in doubles alone: round goes by way of decimal numbers, at about a microsecond
+    a value."""
+    return F.rint((x + 1e-10) * 1e6) / 1e6
+
+
 def held(x: Column, low: float, high: float) -> Column:
     """x in a range; null stays null."""
     return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(low)), F.lit(high)))
 
 
+def within(name: str, low: float, high: float) -> Column:
+    """held for a column: short code, which names the column three times."""
+    x = F.col(name)
+    return F.when(x < low, low).when(x > high, high).otherwise(x)
+
+
 def part(x: Column) -> Column:
     """A rate: above 1 and up to 100 is a percentage."""
     return F.when((x > 1) & (x <= 100), x / 100).otherwise(x)
@@ -49,7 +61,7 @@ def mean_of(parts: list[tuple[Column, float]]) -> Column:
     """Weighted mean of the parts that are known; null without any."""
     total = reduce(lambda a, b: a + b, [F.when(x.isNotNull(), F.lit(w)).otherwise(0.0) for x, w in parts])
     value = reduce(lambda a, b: a + b, [F.coalesce(x * w, F.lit(0.0)) for x, w in parts])
-    return F.when(total > 0, value / total)
+    return F.try_divide(value, total)
 
 
 def logit(p: Column) -> Column:
@@ -69,19 +81,43 @@ COUNTED = {
 }
 
 
+MEASURES = ("xba", "barrel_rate", "hard_hit_rate", "xslg", "xwoba")
+#: What base rates need of the measures; bounded parts of the measures: the part, its rate's slope and mean, bounds.
+KEPT = ["_xba", "_barrel", "_hard", "_slg", "recent_pa"]
+BOUNDED = {
+    "_barrel": ("barrel_rate", 0.42, 0.0, 0.002, 0.180), "_hard": ("hard_hit_rate", 0.13, 0.20, 0.002, 0.120), "_slg": ("xslg", 0.10, 0.250, 0.002, 0.150),
+    "_barrel_alone": ("barrel_rate", 0.42, 0.0, 0.002, 0.20), "_hard_alone": ("hard_hit_rate", 0.16, 0.18, 0.002, 0.20), "_homers": ("xslg", 0.10, 0.250, 0.002, 0.18),
+    "_slug": ("xslg", 1.0, 0.0, 0.05, 0.80), "_woba": ("xwoba", 1.0, 0.0, 0.10, 0.60),
+}
+#: outcome: what tracking measures alone say of it; nothing of the others
+TRACKED = {"hit": "_xba", "home_run": "_power_homers", "extra_base_hit": "_power_slug", "total_bases": "_power_slug", "reach_base": "_woba"}
+
+
+def tracked(profiles: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, KEPT and the columns of TRACKED, once a profile. Each step's values are columns of the next, so that no step's
+    code holds another's."""
+    c, counts = F.col, [x for x in keep if x not in KEPT] + ["recent_pa"]
+    parts = profiles.select(*counts, *[part(c(m)).alias(m) for m in MEASURES])
+    raw = parts.select(*counts, c("xba").alias("_xba"), *[((c(m) - mean) * slope).alias(k) for k, (m, slope, mean, _, _) in BOUNDED.items()])
+    held_ = raw.select(*counts, "_xba", *[within(k, low, high).alias(k) for k, (*_, low, high) in BOUNDED.items()])
+    power = lambda k: mean_of([(c("_barrel_alone"), 0.45), (c("_hard_alone"), 0.25), (c(k), 0.30)])
+    mixed = held_.select(*counts, *KEPT[:-1], "_woba", power("_homers").alias("_power_homers"), power("_slug").alias("_power_slug"))
+    return mixed.select(*counts, *KEPT[:-1], *[within(k, 0.0, 1.0).alias(f"_tracked{k}") for k in dict.fromkeys(TRACKED.values())])
+
+
 def counted_outcomes(profiles: DataFrame, keep: list[str]) -> DataFrame:
-    """A row for each profile and outcome: seen, of (trials), lately, the prior and the bounds of the outcome; and the measures
-    that some outcomes need. Counts come first and rates after, so that no row has twelve rates' code at once."""
+    """A row for each profile and outcome: seen, of (trials), lately, what tracking says, the prior and the bounds of the outcome;
+    and KEPT. Counts come first and rates after, so that no row has twelve rates' code at once."""
     prior, low, high = (F.create_map(*[x for k in COUNTED for x in (F.lit(k), F.lit(float(v(k))))]) for v in (PRIORS.get, lambda k: BOUNDS[k][0], lambda k: BOUNDS[k][1]))
+    counts = ["plate_appearances", "at_bats", "walks", "hits", "doubles", "triples", "home_runs", "strikeouts", "rbi", "runs", "total_bases", "recent_hits", "recent_home_runs", "recent_walks", "recent_strikeouts"]
     whole = lambda e: F.expr(e or "NULL").cast("double")
-    rows = F.array(*[F.struct(F.lit(k).alias("outcome"), whole(s).alias("seen"), whole(n).alias("of"), whole(r).alias("lately")) for k, (s, n, r) in COUNTED.items()])
-    long = profiles.select(*keep, *[F.col(m).alias(f"_{m}") for m in MEASURES], F.explode(rows).alias("x")).select(*keep, *[f"_{m}" for m in MEASURES], "x.*")
+    said = lambda k: F.col(f"_tracked{TRACKED[k]}") if k in TRACKED else F.lit(None).cast("double")
+    rows = F.array(*[F.struct(F.lit(k).alias("outcome"), whole(s).alias("seen"), whole(n).alias("of"), whole(r).alias("lately"), said(k).alias("tracking")) for k, (s, n, r) in COUNTED.items()])
+    found = tracked(profiles, list(dict.fromkeys([*keep, *counts])))
+    long = found.select(*keep, *KEPT, F.explode(rows).alias("x")).select(*keep, *KEPT, "x.*")
     return long.withColumns({"_prior": prior[F.col("outcome")], "_low": low[F.col("outcome")], "_high": high[F.col("outcome")]})
 
 
-MEASURES = ("xba", "barrel_rate", "hard_hit_rate", "xslg", "xwoba", "recent_pa")
-
-
 def _bounded(x: Column) -> Column:
     return F.least(F.greatest(x, F.col("_low")), F.col("_high"))
 
@@ -93,31 +129,19 @@ def _posterior(seen: Column, of: Column, strength: float) -> Column:
 
 def base_rate() -> Column:
     """The rate of a counted outcome, and of its tracking measures where they are known."""
-    c, is_ = (lambda m: F.col(f"_{m}")), (lambda k: F.col("outcome") == k)
-    rate = F.col("_rate")
-    hit = F.when(c("xba").isNotNull(), logistic(0.78 * logit(rate) + 0.22 * logit(part(c("xba"))))).otherwise(rate)
-    homer = mean_of([(rate, 0.72), (held(part(c("barrel_rate")) * 0.42, 0.002, 0.180), 0.16), (held((part(c("hard_hit_rate")) - 0.20) * 0.13, 0.002, 0.120), 0.07), (held((part(c("xslg")) - 0.250) * 0.10, 0.002, 0.150), 0.05)])
-    bases = F.when(F.col("of") > 0, F.col("seen") / F.col("of")).otherwise(F.col("_prior"))
-    return F.when(is_("hit"), _bounded(hit)).when(is_("home_run"), _bounded(homer)).when(is_("total_bases"), _bounded(bases)).otherwise(rate)
-
-
-def tracking_rate() -> Column:
-    """What tracking measures alone say of an outcome; null for the others."""
-    c = lambda m: F.col(f"_{m}")
-    power = [(held(part(c("barrel_rate")) * 0.42, 0.002, 0.20), 0.45), (held((part(c("hard_hit_rate")) - 0.18) * 0.16, 0.002, 0.20), 0.25)]
-    slug = held(part(c("xslg")), 0.05, 0.80)
-    homers = held((part(c("xslg")) - 0.250) * 0.10, 0.002, 0.18)
-    is_ = lambda *ks: F.col("outcome").isin(*ks)
-    mixed = mean_of([*power, (F.when(is_("home_run"), homers).otherwise(slug), 0.30)])
-    found = F.when(is_("hit"), part(c("xba"))).when(is_("home_run", "extra_base_hit", "total_bases"), mixed).when(is_("reach_base"), held(part(c("xwoba")), 0.10, 0.60))
-    return F.when(found.isNotNull(), held(found, 0.0, 1.0))
+    c, is_ = F.col, (lambda k: F.col("outcome") == k)
+    hit = F.when(c("_xba").isNotNull(), logistic(0.78 * logit(c("_rate")) + 0.22 * logit(c("_xba")))).otherwise(c("_rate"))
+    homer = mean_of([(c("_rate"), 0.72), (c("_barrel"), 0.16), (c("_hard"), 0.07), (c("_slg"), 0.05)])
+    bases = F.when(c("of") > 0, c("seen") / c("of")).otherwise(c("_prior"))
+    return F.when(is_("hit"), hit).when(is_("home_run"), homer).when(is_("total_bases"), bases).otherwise(c("_rate"))
 
 
 def outcome_table(profiles: DataFrame, keep: list[str]) -> DataFrame:
     """keep, outcome, base, recent, tracking and their blend by log-odds (1, 0.20, 0.18), a row for each of the twelve."""
     long = counted_outcomes(profiles, keep).withColumn("_rate", _posterior(F.col("seen"), F.col("of"), STRENGTH))
-    lately = F.when(F.col("lately").isNotNull() & (F.col("_recent_pa") > 0), _posterior(F.col("lately"), F.col("_recent_pa"), RECENT_STRENGTH))
-    long = long.select(*keep, "outcome", base_rate().cast("double").alias("base"), lately.alias("recent"), tracking_rate().alias("tracking"))
+    lately = F.when(F.col("lately").isNotNull() & (F.col("recent_pa") > 0), _posterior(F.col("lately"), F.col("recent_pa"), RECENT_STRENGTH))
+    long = long.select(*keep, "outcome", "_low", "_high", base_rate().cast("double").alias("_base"), lately.alias("recent"), "tracking")
+    long = long.select(*keep, "outcome", _bounded(F.col("_base")).alias("base"), "recent", "tracking")
     blend = logistic(mean_of([(logit(F.col("base")), 1.0), (logit(F.col("recent")), 0.20), (logit(F.col("tracking")), 0.18)]))
     return long.withColumn("blended", blend)
 
@@ -186,56 +210,97 @@ def game_context(log: DataFrame) -> DataFrame:
     )
 
 
-def context_factors() -> dict[str, Column]:
-    """The eight factors of a row with an outcome and its context."""
-    c, o = F.col, F.col("outcome")
-    where = lambda names, x: F.when(o.isin(*names), x)
-    batted = ["hit", "single", "double", "triple", "home_run", "rbi", "run", "total_bases"]
-    pitcher = mean_of([
-        (where(batted, held((c("pitcher_era") - 4.20) * 0.045, -0.22, 0.22)), 0.28),
-        (where(["hit", "walk", "rbi", "run", "reach_base"], held((c("pitcher_whip") - 1.28) * 0.24, -0.20, 0.20)), 0.24),
-        (where(["strikeout"], held((c("pitcher_k") - 0.225) * 1.80, -0.30, 0.30)), 0.32),
-        (where(["hit", "home_run", "total_bases"], held((c("pitcher_k") - 0.225) * -0.80, -0.16, 0.16)), 0.20),
-        (where(["walk", "reach_base", "run"], held((c("pitcher_bb") - 0.083) * 1.50, -0.18, 0.18)), 0.20),
-        (where(["home_run"], held((c("pitcher_hr") - 0.032) * 3.50, -0.20, 0.20)), 0.25),
-    ])
-    team = mean_of([
-        (where(["rbi", "run"], held((c("team_runs") - 4.40) * 0.055, -0.20, 0.20)), 0.35),
-        (where(["hit", "home_run", "total_bases", "rbi", "run"], held((c("team_ops") - 0.720) * 0.75, -0.16, 0.16)), 0.25),
-    ])
-    weather = held((c("temperature") - 72) * 0.0018, -0.055, 0.065) + held(c("wind_out") * 0.004, -0.075, 0.075) + held((c("humidity") - 55) * -0.0004, -0.02, 0.02)
-    rest = F.when(c("rest_days") <= 0, -0.025).when(c("rest_days") >= 2, 0.010).otherwise(0.0)
-    travel = held(F.log1p(F.greatest(c("travel_miles"), F.lit(0))) / 450, 0.0, 0.025) + held(F.abs("zone_change") * 0.008, 0.0, 0.030)
-    slot = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), F.least(F.greatest(c("slot"), F.lit(1)), F.lit(9)))
-    one = lambda x: F.coalesce(x, F.lit(1.0))
+_BATTED = ("hit", "single", "double", "triple", "home_run", "rbi", "run", "total_bases")
+#: Parts of the pitcher's and the team's factor: outcomes, measure, its mean, slope and bound, weight.
+PITCHER_PARTS = [
+    (_BATTED, "pitcher_era", 4.20, 0.045, 0.22, 0.28), (("hit", "walk", "rbi", "run", "reach_base"), "pitcher_whip", 1.28, 0.24, 0.20, 0.24),
+    (("strikeout",), "pitcher_k", 0.225, 1.80, 0.30, 0.32), (("hit", "home_run", "total_bases"), "pitcher_k", 0.225, -0.80, 0.16, 0.20),
+    (("walk", "reach_base", "run"), "pitcher_bb", 0.083, 1.50, 0.18, 0.20), (("home_run",), "pitcher_hr", 0.032, 3.50, 0.20, 0.25),
+]
+TEAM_PARTS = [(("rbi", "run"), "team_runs", 4.40, 0.055, 0.20, 0.35), (("hit", "home_run", "total_bases", "rbi", "run"), "team_ops", 0.720, 0.75, 0.16, 0.25)]
+WEATHERED = ("hit", "double", "triple", "home_run", "rbi", "run", "total_bases")
+
+
+def _parts_of(outcome: str, parts: list[tuple]) -> tuple[int, ...]:
+    return tuple(i for i, x in enumerate(parts) if outcome in x[0])
+
+
+def factor_columns(outcome: str) -> dict[str, str]:
+    """The columns of game_factors that hold an outcome's eight factors. Outcomes with the same parts have the same column."""
+    name = lambda factor, parts: "_".join([factor, *map(str, _parts_of(outcome, parts))])
     return {
-        "park": held(F.when(c("park_factor") > 10, c("park_factor") / 100).otherwise(c("park_factor")), 0.75, 1.30),
-        "pitcher": one(held(F.exp(pitcher), 0.68, 1.38)),
-        "team": one(held(F.exp(team), 0.72, 1.32)),
-        "home": F.when(c("home"), 1.018).otherwise(0.990),
-        "weather": one(where(["hit", "double", "triple", "home_run", "rbi", "run", "total_bases"], held(F.exp(weather), 0.85, 1.16))),
-        "schedule": held(F.exp(rest - travel), 0.90, 1.08),
-        "lineup": F.when(o == "rbi", slot(RBI_SLOTS)).otherwise(slot(SLOTS)),
-        "platoon": held(F.exp(c("platoon") * F.when(o == "strikeout", -0.045).otherwise(0.06)), 0.90, 1.10),
-    }
+        "park": "park", "pitcher": name("pitcher", PITCHER_PARTS), "team": name("team", TEAM_PARTS), "home": "home", "weather": "weather_0" if outcome in WEATHERED else "weather",
+        "schedule": "schedule", "lineup": "lineup_0" if outcome == "rbi" else "lineup", "platoon": "platoon_0" if outcome == "strikeout" else "platoon",
+    }
+
+
+#: What place_factors needs of a game's surroundings.
+PLACE = ["park_factor", "home", "temperature", "wind_out", "humidity", "rest_days", "travel_miles", "zone_change", "slot", "platoon"]
+
+
+def opposing_factors(context: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, and the factors of pitcher and team of all outcomes (factor_columns), once a game and not once an outcome. Each
+    step's values are columns of the next, so that no step's code holds another's."""
+    split = {"pitcher": PITCHER_PARTS, "team": TEAM_PARTS}
+    bounds = {f"_{f}_{i}": x[4] for f, parts in split.items() for i, x in enumerate(parts)}
+    raw = context.select(*keep, *[((F.col(m) - mean) * slope).alias(f"_{f}_{i}") for f, parts in split.items() for i, (_, m, mean, slope, _, _) in enumerate(parts)])
+    scaled = raw.select(*keep, *[within(k, -b, b).alias(k) for k, b in bounds.items()])
+    named = {factor_columns(o)[f]: (f, _parts_of(o, parts)) for o in COUNTED for f, parts in split.items()}
+    sums = {k: F.exp(mean_of([(F.col(f"_{f}_{i}"), split[f][i][5]) for i in of])) if of else F.lit(1.0) for k, (f, of) in named.items()}
+    limits = {"pitcher": (0.68, 1.38), "team": (0.72, 1.32)}
+    return scaled.select(*keep, *[x.alias(k) for k, x in sums.items()]).select(*keep, *[F.coalesce(within(k, *limits[f]), F.lit(1.0)).alias(k) for k, (f, _) in named.items()])
+
+
+def place_factors(context: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, and the other six factors (factor_columns), by the same steps."""
+    c = F.col
+    slot = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), F.least(F.greatest(c("slot"), F.lit(1)), F.lit(9)))
+    straight = {"home": F.when(c("home"), 1.018).otherwise(0.990), "lineup": slot(SLOTS), "lineup_0": slot(RBI_SLOTS)}
+    raw = context.select(
+        *keep, *[x.alias(k) for k, x in straight.items()], ((c("temperature") - 72) * 0.0018).alias("_warm"), (c("wind_out") * 0.004).alias("_wind"), ((c("humidity") - 55) * -0.0004).alias("_humid"),
+        (F.log1p(F.greatest(c("travel_miles"), F.lit(0))) / 450).alias("_miles"), (F.abs("zone_change") * 0.008).alias("_zones"),
+        F.when(c("park_factor") > 10, c("park_factor") / 100).otherwise(c("park_factor")).alias("park"),
+        F.when(c("rest_days") <= 0, -0.025).when(c("rest_days") >= 2, 0.010).otherwise(0.0).alias("_rest"), "platoon",
+    )
+    bounds = {"_warm": (-0.055, 0.065), "_wind": (-0.075, 0.075), "_humid": (-0.02, 0.02), "_miles": (0.0, 0.025), "_zones": (0.0, 0.030), "park": (0.75, 1.30)}
+    scaled = raw.select(*keep, *straight, "_rest", "platoon", *[within(k, *b).alias(k) for k, b in bounds.items()])
+    sums = {"weather_0": c("_warm") + c("_wind") + c("_humid"), "schedule": c("_rest") - (c("_miles") + c("_zones")), "platoon": c("platoon") * 0.06, "platoon_0": c("platoon") * -0.045}
+    return scaled.select(*keep, *straight, "park", *[F.exp(x).alias(k) for k, x in sums.items()]).select(
+        *keep, *straight, "park", F.lit(1.0).alias("weather"), F.coalesce(within("weather_0", 0.85, 1.16), F.lit(1.0)).alias("weather_0"), within("schedule", 0.90, 1.08).alias("schedule"),
+        *[within(k, 0.90, 1.10).alias(k) for k in ("platoon", "platoon_0")],
+    )
 
 
 def context_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each game and outcome: the eight factors, and the player's blended rate after them by log-odds, for one plate
-    appearance and for the game. Rates of players are joined to their games, so a shuffle on the player is all."""
+    appearance and for the game. Players' rates, a row each, are joined to their games, so a shuffle on the player is all; a
+    game's factors, their rounded forms and their logarithms are made once and dealt to its twelve outcomes."""
     log = game_log(spark, sf_dir)
-    rates = outcome_table(profiles(log), ["player_id", "games", "plate_appearances"]).select("player_id", "outcome", "blended", (F.col("plate_appearances") / F.col("games")).alias("per_game"))
-    rows = game_context(log).join(rates, "player_id")
-    factors = context_factors()
-    rows = rows.select("player_id", "game_id", "outcome", "blended", "per_game", *[v.alias(k) for k, v in factors.items()])
-    delta = reduce(lambda a, b: a + b, [F.log(F.col(k)) * w for k, w in FACTOR_WEIGHTS.items()])
-    p = held(logistic(logit(F.col("blended")) + delta), 0.0001, 0.9999)
-    n = F.least(F.greatest("per_game", F.lit(1.0)), F.lit(7.0))
-    rows = rows.withColumns({"p": p, "n": n})
+    rates = outcome_table(profiles(log), ["player_id", "games", "plate_appearances"]).withColumn("odds", logit(F.col("blended")))
+    n = F.least(F.greatest(F.col("plate_appearances") / F.col("games"), F.lit(1.0)), F.lit(7.0))
+    players = rates.groupBy("player_id", "games", "plate_appearances").agg(*[F.max(F.when(F.col("outcome") == k, F.col("odds"))).alias(k) for k in COUNTED])
+    players = players.select("player_id", n.alias("n"), F.array(*COUNTED).alias("odds"))
+    games = opposing_factors(game_context(log), ["player_id", "game_id", *PLACE])
+    opposing = [x for x in games.columns if x not in {"player_id", "game_id", *PLACE}]
+    games = place_factors(games.join(players, "player_id"), ["player_id", "game_id", "n", "odds", *opposing])
+    made = games.columns[4:]
+    weight = lambda k: FACTOR_WEIGHTS[k.split("_")[0]]
+    factors = games.select("player_id", "game_id", "n", "odds", *[sixth(F.col(k)).alias(k) for k in made], *[(F.log(k) * weight(k)).alias(f"ln_{k}") for k in made])
+    same = [f for f in FACTOR_WEIGHTS if len({factor_columns(o)[f] for o in COUNTED}) == 1]
+    own = [f for f in FACTOR_WEIGHTS if f not in same]
+    cells = F.array(*[
+        F.struct(F.lit(o).alias("outcome"), F.get("odds", F.lit(i)).alias("odds"), *[F.col(p + factor_columns(o)[f]).alias(p + f) for f in own for p in ("", "ln_")])
+        for i, o in enumerate(COUNTED)
+    ])
+    rows = factors.select("player_id", "game_id", "n", *same, *[f"ln_{f}" for f in same], F.explode(cells).alias("x"))
+    at = lambda f, p="": F.col(p + f if f in same else f"x.{p}{f}")
+    delta = reduce(lambda a, b: a + b, [at(f, "ln_") for f in FACTOR_WEIGHTS])
+    rows = rows.select("player_id", "game_id", "x.outcome", "n", *[at(f).alias(f) for f in FACTOR_WEIGHTS], logistic(F.col("x.odds") + delta).alias("p"))
+    rows = rows.withColumn("p", held(F.col("p"), 0.0001, 0.9999))
     return rows.select(
-        "player_id", "game_id", "outcome", *[six(k).alias(k) for k in factors], six("p").alias("p"),
-        six(1 - F.pow(1 - F.col("p"), F.col("n"))).alias("game_p"), six(F.col("p") * F.col("n")).alias("expected"),
-        six(F.col("n") * F.col("p") * (1 - F.col("p"))).alias("variance"),
+        "player_id", "game_id", "outcome", *FACTOR_WEIGHTS, sixth(F.col("p")).alias("p"),
+        sixth(1 - F.pow(1 - F.col("p"), F.col("n"))).alias("game_p"), sixth(F.col("p") * F.col("n")).alias("expected"),
+        sixth(F.col("n") * F.col("p") * (1 - F.col("p"))).alias("variance"),
     )
 
 
